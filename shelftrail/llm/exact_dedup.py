@@ -75,7 +75,7 @@ def repeated_plane(hashes: DataFrame, segments: int) -> np.ndarray:
         for b in batches:
             seg = b.column(0).to_numpy()
             new = [s for s in np.unique(seg).tolist() if s not in place]
-            place.update((s, len(place) + i) for i, s in enumerate(new))
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
             if new:
                 more = np.zeros((len(new), SEGMENT_BITS // 8), np.uint8)
                 first, second = np.vstack([first, more]), np.vstack([second, more])
