@@ -58,28 +58,28 @@ def _shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, lower-cased UTF-8 texts) by `CHUNK_BYTES`; null counts as empty."""
-    part, first, size = [], 0, 0
-    for i, t in enumerate(texts):
-        raw = (t or "").encode("utf-8").lower()
+def _chunks(texts: list[str | bytes | None]) -> Iterator[list[bytes]]:
+    """Up to `CHUNK_BYTES` of UTF-8 at a time: bytes as they are, strings with A-Z lower-cased, null as empty."""
+    part, size = [], 0
+    for t in texts:
+        raw = t if isinstance(t, bytes) else (t or "").encode("utf-8").lower()
         if part and size + len(raw) > CHUNK_BYTES:
-            yield first, part
-            part, first, size = [], i, 0
+            yield part
+            part, size = [], 0
         part.append(raw)
         size += len(raw)
     if part:
-        yield first, part
+        yield part
 
 
-def shingle_sequences(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sequences(texts: list[str | bytes | None], k: int) -> Iterator[np.ndarray]:
     """For each text the hashes of its k-word shingles in order, repeats included."""
-    for _, part in chunks(texts):
+    for part in _chunks(texts):
         words, bounds = _word_hashes(part)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield _shingle_hashes(words[a:b], k)
 
 
-def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], k: int) -> Iterator[np.ndarray]:
     """For each text its distinct shingle hashes, sorted."""
     return map(np.unique, shingle_sequences(texts, k))

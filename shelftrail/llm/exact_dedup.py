@@ -13,100 +13,25 @@ result; other columns are carried by `drop_copies` and ignored by `find_copies`,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _bloom
 from ._common import ASCII_SPACE, materialise, whole_text
 
-SEGMENT_BITS = 1 << 16
-PROBES = 4
-BITS_PER_ROW = 16
-#: 64 MiB: the largest filter that is ever broadcast.
-MAX_FILTER_BITS = 1 << 29
-
 
 def normalised_digest(text):
     return F.sha2(F.regexp_replace(text, f"[{ASCII_SPACE}]+", ""), 256)
 
 
-def _segment_and_probes(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment of each hash (its top bits) and `PROBES` bit positions inside it."""
-    u = h.astype(np.uint64)
-    segment = (u >> np.uint64(40)) % np.uint64(segments)
-    mixed = (u ^ (u >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    shifts = np.arange(PROBES, dtype=np.uint64) * np.uint64(16)
-    return segment.astype(np.int64), ((mixed[:, None] >> shifts) % np.uint64(SEGMENT_BITS)).astype(np.int64)
-
-
-def _hits(plane: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return ((plane[rows[:, None], bits >> 3] >> (bits & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def _set(plane: np.ndarray, rows: np.ndarray, bits: np.ndarray) -> None:
-    flat = (np.repeat(rows, PROBES), (bits >> 3).ravel())
-    np.bitwise_or.at(plane, flat, np.left_shift(np.uint8(1), (bits & 7).astype(np.uint8)).ravel())
-
-
-def filter_segments(rows: int, max_bits: int = MAX_FILTER_BITS) -> int:
-    wanted = max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))
-    return min(1 << (wanted - 1).bit_length(), max(1, max_bits // SEGMENT_BITS))
-
-
-def repeated_plane(hashes: DataFrame, segments: int) -> np.ndarray:
-    """The second plane over column `h`: (segments, SEGMENT_BITS / 8) bytes."""
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a hash that is frequent here leaves this task once a batch
-            h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            if len(h):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_segment_and_probes(h, segments)[0].astype(np.int32)), pa.array(h), pa.array(n > 1)],
-                    names=["segment", "h", "again"],
-                )
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[int, int] = {}
-        first = second = np.zeros((0, SEGMENT_BITS // 8), np.uint8)
-        for b in batches:
-            seg = b.column(0).to_numpy()
-            new = [s for s in np.unique(seg).tolist() if s not in place]
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-            if new:
-                more = np.zeros((len(new), SEGMENT_BITS // 8), np.uint8)
-                first, second = np.vstack([first, more]), np.vstack([second, more])
-            h, at, n = np.unique(b.column(1).to_numpy(), return_index=True, return_counts=True)
-            again = np.zeros(len(h), bool)
-            np.logical_or.at(again, np.searchsorted(h, b.column(1).to_numpy()), b.column(2).to_numpy(zero_copy_only=False))
-            rows = np.array([place[s] for s in seg[at].tolist()], dtype=np.int64)
-            bits = _segment_and_probes(h, segments)[1]
-            seen = again | (n > 1) | _hits(first, rows, bits)
-            _set(second, rows[seen], bits[seen])
-            _set(first, rows, bits)
-        full = [s for s, i in place.items() if second[i].any()]
-        if full:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.array([second[place[s]].tobytes() for s in full], pa.binary())], names=["segment", "plane"]
-            )
-
-    spread = hashes.select("h").mapInArrow(combine, "segment int, h long, again boolean").repartition("segment")
-    plane = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in spread.mapInArrow(build, "segment int, plane binary").toLocalIterator():  # at most MAX_FILTER_BITS in all
-        plane[row.segment] |= np.frombuffer(row.plane, np.uint8)
-    return plane
-
-
 def _maybe_repeated(spark, plane: np.ndarray):
     shared = spark.sparkContext.broadcast(plane)
 
     @F.pandas_udf("boolean")
     def probe(h: pd.Series) -> pd.Series:
-        rows, bits = _segment_and_probes(h.to_numpy(np.int64), len(shared.value))
-        return pd.Series(_hits(shared.value, rows, bits))
+        return pd.Series(_bloom.contains(shared.value, h.to_numpy(np.int64)))
 
     return probe
 
@@ -118,10 +43,10 @@ def digests(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "n", "sha", F.xxhash64("sha").alias("h"), F.monotonically_increasing_id().alias("row"))
 
 
-def find_copies(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def find_copies(docs: DataFrame, max_filter_bits: int = _bloom.MAX_BITS) -> DataFrame:
     """One row per document: `doc_id, keep_id, group_size, kept, text_sha256`."""
     made = materialise(digests(docs), "digests")
-    plane = repeated_plane(made, filter_segments(made.count(), max_filter_bits))
+    plane = _bloom.build(made, _bloom.segments_for(made.count(), max_filter_bits), repeated=True)
     flagged = made.withColumn("maybe", _maybe_repeated(docs.sparkSession, plane)("h"))
     alone = flagged.where(~F.col("maybe")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
@@ -137,10 +62,10 @@ def find_copies(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> Data
     )
 
 
-def drop_copies(docs: DataFrame, max_filter_bits: int = MAX_FILTER_BITS) -> DataFrame:
+def drop_copies(docs: DataFrame, max_filter_bits: int = _bloom.MAX_BITS) -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns kept. Rows that are surely unique never shuffle."""
     made = materialise(digests(docs).select("h"), "hashes")
-    plane = repeated_plane(made, filter_segments(made.count(), max_filter_bits))
+    plane = _bloom.build(made, _bloom.segments_for(made.count(), max_filter_bits), repeated=True)
     row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
     keyed = docs.select(row.alias("_row")).withColumn("_sha", F.unhex(normalised_digest(text)))
     flagged = keyed.withColumn("_maybe", _maybe_repeated(docs.sparkSession, plane)(F.xxhash64("_sha")))

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, line_dedup, minhash_dedup
+from . import bpe, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup
 from ._common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
@@ -30,7 +34,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_line_dedup, op5_byte_bpe, op7_license_scan, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash_dedup, op3_line_dedup, op5_byte_bpe, op7_license_scan, op8_exact_dedup)}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
