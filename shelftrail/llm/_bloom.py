@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import map_arrow
+
 SEGMENT_BITS = 1 << 16
 PROBES = 4
 BITS_PER_HASH = 16
@@ -88,8 +90,8 @@ def build(hashes: DataFrame, segments: int, repeated: bool = False) -> np.ndarra
                 [pa.array(full, pa.int32()), pa.array([out[place[s]].tobytes() for s in full], pa.binary())], names=["segment", "plane"]
             )
 
-    spread = hashes.select("h").mapInArrow(combine, "segment int, h long, again boolean").repartition("segment")
+    spread = map_arrow(hashes.select("h"), combine, "segment int, h long, again boolean").repartition("segment")
     plane = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for row in spread.mapInArrow(fill, "segment int, plane binary").toLocalIterator():  # each segment once: at most max_bits in all
+    for row in map_arrow(spread, fill, "segment int, plane binary").toLocalIterator():  # each segment once: at most max_bits in all
         plane[row.segment] |= np.frombuffer(row.plane, np.uint8)
     return plane

@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
+
 #: Pieces of up to this many characters are encoded whole.
 LEAF_CHARS = 1024
 #: Pre-tokens longer than this are halved too.
@@ -242,7 +244,7 @@ def per_text(docs: DataFrame, columns: list[str], schema: str, make: Callable[[s
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema]
     some = docs.select(F.col("text").cast("string").alias("_text"), *columns)
-    return some.mapInArrow(run, ", ".join([*kept, schema]))
+    return map_arrow(some, run, ", ".join([*kept, schema]))
 
 
 def encode_texts(docs: DataFrame, columns: list[str], vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from . import _bloom
 from ._common import materialise
 from ._shingles import shingle_sequences
@@ -92,7 +93,7 @@ def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
 
     some = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    made = some.mapInArrow(run, "item_id long, words string, h array<long>, at array<int>")
+    made = map_arrow(some, run, "item_id long, words string, h array<long>, at array<int>")
     return made.withColumn("item", F.monotonically_increasing_id())
 
 
@@ -106,7 +107,7 @@ def _found_seeds(docs: DataFrame, plane: np.ndarray, seed_words: int) -> DataFra
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
 
-    return docs.select("text").mapInArrow(run, "h long")
+    return map_arrow(docs.select("text"), run, "h long")
 
 
 def _windows(docs: DataFrame, plane: np.ndarray, seed_words: int, around: int) -> DataFrame:
@@ -133,7 +134,7 @@ def _windows(docs: DataFrame, plane: np.ndarray, seed_words: int, around: int) -
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return some.mapInArrow(run, "doc_id long, start long, words string, h array<long>, at array<int>")
+    return map_arrow(some, run, "doc_id long, start long, words string, h array<long>, at array<int>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -164,7 +165,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     # the part of the window that the item can reach, with as much room for insertions as it is long
     first = F.greatest(F.lit(0), F.col("low") - F.col("n"))
     part = F.slice(F.split("words", " "), first + 1, F.col("high") + 2 * F.col("n") + seed_words - first)
-    scored = pairs.select("doc_id", "item_id", "wanted", F.array_join(part, " ").alias("part")).mapInArrow(_scores, "doc_id long, item_id long, score double")
+    cut = pairs.select("doc_id", "item_id", "wanted", F.array_join(part, " ").alias("part"))
+    scored = map_arrow(cut, _scores, "doc_id long, item_id long, score double")
     return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
 from . import _bloom
 from ._common import ASCII_SPACE, materialise, whole_text
 
@@ -27,6 +28,7 @@ def normalised_digest(text):
 
 
 def _maybe_repeated(spark, plane: np.ndarray):
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(plane)
 
     @F.pandas_udf("boolean")

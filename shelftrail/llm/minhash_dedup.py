@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
 from ._common import materialise
 from ._components import connected_components
 from ._shingles import mix, shingle_sets
@@ -81,8 +82,8 @@ def fingerprints(docs: DataFrame, shingle_words: int, bands: int, rows: int) ->
                 names=["doc_id", "n", "fa", "fb", "keys"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, fa long, fb long, keys array<long>"
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, fa long, fb long, keys array<long>"
     )
 
 
@@ -94,7 +95,7 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), shingle_words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "s"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, s binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "rep long, s binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,7 +119,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield b.select([0, 1]).take(pa.array(keep))
 
     left, right = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup
+from . import bpe, chat_quotes, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup, quality, token_counts, toxicity
 from ._common import table
 
 
@@ -22,10 +22,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -34,7 +42,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_minhash_dedup, op3_line_dedup, op5_byte_bpe, op7_license_scan, op8_exact_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.link_quotes(chat_quotes.with_quotes(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_minhash_dedup, op3_line_dedup, op4_token_counts, op5_byte_bpe, op6_quality, op7_license_scan,
+        op8_exact_dedup, op9_toxicity, op10_chat_quotes,
+    )
+}
 
 _SPACE = "[\\x20\\x09-\\x0D]"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,4 +98,18 @@ WITH d AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op10_chat_quotes": r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS k FROM conversations
+), p AS (
+  SELECT m.conv_id, m.turn, m.role, m.text, q.turn IS NOT NULL AS quotes1, r.turn IS NOT NULL AND q.turn IS NOT NULL AS quotes2,
+         (SELECT min(o.turn) FROM m o WHERE o.conv_id = m.conv_id AND o.k = q.k AND q.k <> '') AS parent_turn
+  FROM m LEFT JOIN m q ON q.conv_id = m.conv_id AND q.turn = m.turn - 1 LEFT JOIN m r ON r.conv_id = m.conv_id AND r.turn = m.turn - 2
+), d AS (
+  SELECT conv_id, turn, turn AS thread_turn, 0 AS depth FROM p WHERE parent_turn IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, d.thread_turn, d.depth + 1 FROM p JOIN d ON d.conv_id = p.conv_id AND d.turn = p.parent_turn
+)
+SELECT p.conv_id, p.turn, p.role, CASE WHEN parent_turn IS NOT NULL THEN p.conv_id END AS parent_conv, parent_turn, p.conv_id AS thread_conv,
+       d.thread_turn, d.depth, quotes1::INT + quotes2::INT AS n_quotes, quotes1::INT + quotes2::INT AS levels, p.text
+FROM p JOIN d USING (conv_id, turn)""",
 }
