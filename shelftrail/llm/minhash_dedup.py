@@ -6,9 +6,11 @@ ranks for all coordinates are then one run of memory, and a signature is the min
 are joined on equality; every link is confirmed on the full shingle sets.
 
 Nothing forms all pairs of a bucket. Documents with equal sets are one class from the start. In a bucket each member
-is first compared with one centre; components of the confirmed links are found; and only members of a bucket that are
-in different components still have to be compared, which is repeated with new centres and then done exhaustively, so
-no link that could join two components is left out.
+is first compared with one centre, components of the confirmed links are found, and this is repeated with new centres.
+Members of buckets that still hold more than one component are then joined exactly by prefix filter: two sets that
+are similar enough share one of their rarest shingles, as many as the threshold leaves room for. Only members outside a
+shingle's largest component look for partners there, so no link that could join two components is left out and a large
+group of copies is never held against itself.
 
 Defined cases: a null or empty text has an empty set and links with nothing, not even other empty texts; a text with
 fewer words than a shingle is one shingle; rows that share a doc_id are one document; a null doc_id is its own,
@@ -34,7 +36,7 @@ CIRCLE_BITS = 22
 CIRCLE = 1 << CIRCLE_BITS
 #: At similarity 0.8 all bands miss a pair with probability (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, ROWS = 40, 5
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
 
 _ranks: dict[int, np.ndarray] = {}
 
@@ -122,6 +124,59 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
+def _open_buckets(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
+    """Bucket members with their component so far, of the buckets that hold more than one."""
+    if component is None:
+        return buckets.withColumn("comp", F.col("rep"))
+    known = buckets.join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    apart = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    return known.join(apart, "key")
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
+def _centre_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each member with the centre of its bucket: the smallest document, in later turns the one with the smallest hash."""
+    order = F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "rep")
+    first = F.min(F.struct(order.alias("order"), F.col("rep"), F.col("comp"), F.col("n")))
+    centre = members.groupBy("key").agg(first.alias("c")).select("key", F.col("c.rep").alias("rep2"), F.col("c.comp").alias("comp2"), F.col("c.n").alias("n2"))
+    return _pairs(members.join(centre, "key").where(f"comp <> comp2 and {_FITS.format(percent)}"))
+
+
+_FITS = "100 * least(n, n2) >= {0} * greatest(n, n2)"
+
+
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among `members` (rep, comp, n) that can be similar enough, by exact prefix filter."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):  # one set at a time: an output batch is as large as its set
+                h = np.frombuffer(b.column(3)[i].as_py(), np.uint64).view(np.int64)
+                same = pa.array(np.full(len(h), i))
+                yield pa.RecordBatch.from_arrays([*(c.take(same) for c in b.columns[:3]), pa.array(h)], names=["rep", "comp", "n", "h"])
+
+    whole = members.join(sets, "rep").select("rep", "comp", "n", "s")
+    shingles = materialise(map_arrow(whole, spread, "rep long, comp long, n long, h long"), "shingles")
+    common = shingles.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    # shingles of one document or component sort first and join nothing, but they use up prefix places
+    ranked = shingles.join(common, "h").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("x") < F.col("y")).alias("shared")))).alias("s"))
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.select("rep", "comp", "n", F.posexplode(F.slice("s", 1, size.cast("int"))).alias("at", "t"))
+    prefix = materialise(prefix.where("t.shared").select("rep", "comp", "n", "at", "t.h"), "prefixes")
+    largest = prefix.groupBy("h", "comp").count().groupBy("h").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"))
+    largest = largest.where("comps > 1").select("h", "largest")
+    those = prefix.join(largest, "h")
+    seekers = those.where("comp <> largest").drop("largest")
+    others = those.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "at")])
+    # what is left behind the shared shingle on both sides must suffice for the overlap that is needed
+    enough = f"1 + least(n - at, n2 - at2) - 1 >= ceil({percent} * (n + n2) / {100 + percent})"
+    return _pairs(seekers.join(others, "h").where(f"comp <> comp2 and {_FITS.format(percent)} and {enough}"))
+
+
 def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id."""
     prints = materialise(fingerprints(docs, shingle_words, bands, rows), "prints")
@@ -135,35 +190,22 @@ def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, ban
     active = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialise(_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id", "left_semi"), shingle_words), "sets")
 
-    fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
-    tested = links = None
-    component = None
+    tested = links = component = None
     for turn in range(CENTRE_ROUNDS + 1):
-        if component is None:
-            open_ = buckets.withColumn("comp", F.col("rep"))
-        else:
-            known = buckets.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left")
-            known = known.withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            apart = known.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-            open_ = known.join(apart, "key")
+        open_ = _open_buckets(buckets, component)
         if turn < CENTRE_ROUNDS:
-            order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "rep"), F.col("rep").alias("rep"), F.col("comp").alias("comp"), F.col("n").alias("n"))
-            centre = open_.groupBy("key").agg(F.min(order).alias("c")).select("key", F.col("c.rep").alias("rep2"), F.col("c.comp").alias("comp2"), F.col("c.n").alias("n2"))
+            pairs = _centre_pairs(open_, turn, percent)
         else:
-            centre = open_.select("key", F.col("rep").alias("rep2"), F.col("comp").alias("comp2"), F.col("n").alias("n2"))
-        pairs = open_.join(centre, "key").where(f"rep <> rep2 and comp <> comp2 and {fits}" + (" and rep < rep2" if turn == CENTRE_ROUNDS else ""))
-        pairs = pairs.select(F.greatest("rep", "rep2").alias("b"), F.least("rep", "rep2").alias("a")).distinct()
+            left = materialise(open_.groupBy("rep").agg(F.min("comp").alias("comp"), F.min("n").alias("n")), "left")
+            pairs = _prefix_pairs(left, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn < CENTRE_ROUNDS:
-                continue
-            break
-        found = materialise(_confirmed(pairs, sets, percent), "found")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        component = materialise(connected_components(links), "components")
+        if not pairs.isEmpty():
+            found = materialise(_confirmed(pairs, sets, percent), "found")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = found if links is None else links.unionByName(found)
+            component = materialise(connected_components(links), "components")
 
     out = prints.select("doc_id", "n", "fa", "fb").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"], "left")
     if component is not None:
