@@ -100,7 +100,8 @@ def _price_texts(card: Node, layout: Layout) -> tuple[str, str]:
     sale, was = card.first(layout.sale_in), card.first(layout.list_in)
     amount = card.first(attr="data-price-amount")
     shown = card.first(classes=set(layout.price))
-    sold = sale.text() if sale else amount.attrs["data-price-amount"] if amount else shown.text() if shown else ""
+    found = re.search(r"\$\d[\d,.]*", card.text()) if layout.link_part else None
+    sold = sale.text() if sale else amount.attrs["data-price-amount"] if amount else shown.text() if shown else found[0] if found else ""
     return sold, was.text() if was else ""
 
 
@@ -118,14 +119,15 @@ def _cards(page: Node, layout: Layout) -> Iterator[tuple[Node, Node]]:
             if link:
                 yield card, link
         return
-    seen = set()
+    by_target: dict[str, list[Node]] = {}
     for link in page.all("a", attr="href"):
-        if layout.link_part in link.attrs["href"] and link.attrs["href"] not in seen and (link.text() or not seen):
-            card, up = link, 0
-            while card.parent and up < 5 and not re.search(r"\$\d", card.text()):
-                card, up = card.parent, up + 1
-            seen.add(link.attrs["href"])
-            yield card, link
+        if layout.link_part in link.attrs["href"]:
+            by_target.setdefault(link.attrs["href"], []).append(link)
+    for links in by_target.values():  # an image link and a title link for each product
+        card, up = links[0], 0
+        while card.parent and up < 5 and not re.search(r"\$\d", card.text()):
+            card, up = card.parent, up + 1
+        yield card, next((x for x in links if x.text()), links[0])
 
 
 SCHEMA = "page_id long, position int, url string, title string, image_url string, sale_text string, list_text string, stock_texts array<string>, category_path string, description string"

@@ -217,7 +217,8 @@ def category_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.category_scope(asked.select(F.col("o_orderkey").alias("ordinal"), url.alias("url")), known)
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS ordinal, 'https://shop.example/' || replace(p_name, ' ', '-') || '/' || p_partkey AS url FROM part WHERE contains(p_name, 'red ring') AND p_size > 25 ORDER BY p_partkey LIMIT 150")
+@query("""WITH hits AS (SELECT CAST(p_partkey AS BIGINT) AS ordinal, 'https://shop.example/' || replace(p_name, ' ', '-') || '/' || p_partkey AS url FROM part WHERE contains(p_name, 'red ring') AND p_size > 25)
+(SELECT * FROM hits ORDER BY ordinal LIMIT 150) UNION ALL SELECT 0, 'red-ring' WHERE NOT EXISTS (SELECT 1 FROM hits)""")
 def seed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("https://shop.example/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("/"), "p_partkey").alias("url"), F.col("p_name").alias("label"), "p_size")
     return U.category_text_filter(U.seed_scope(known.where("p_size > 25"), "red-ring"), "RING", ("label", "url")).select("ordinal", "url")
