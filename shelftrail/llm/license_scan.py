@@ -19,7 +19,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import materialise, whole_text
 
@@ -64,34 +63,28 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.filter(places, here)
 
 
-def template_table(spark: SparkSession, templates: dict[str, list[str]], threshold: float) -> DataFrame:
-    """(template, label, tokens, n, need), one row per notice."""
-    rows = [(f"{label}/{i}", label, sorted(set(words_of(t)))) for label, texts in templates.items() for i, t in enumerate(texts)]
-    return spark.createDataFrame(
-        [(name, label, t, len(t), math.ceil(threshold * len(t) - 1e-9)) for name, label, t in rows],
-        "template string, label string, tokens array<string>, n int, need int",
-    )
+def template_table(spark: SparkSession, templates: dict[str, list[str]], threshold: float, order: list[str]) -> DataFrame:
+    """(template, label, tokens, n, need), one row per notice, tokens in the given order."""
+    rank = {w: i for i, w in enumerate(order)}
+    rows = []
+    for label, texts in templates.items():
+        for i, text in enumerate(texts):
+            tokens = sorted(set(words_of(text)), key=rank.__getitem__)
+            rows.append((f"{label}/{i}", label, tokens, len(tokens), math.ceil(threshold * len(tokens) - 1e-9)))
+    return spark.createDataFrame(rows, "template string, label string, tokens array<string>, n int, need int")
 
 
-def match_blocks(blocks: DataFrame, templates: DataFrame, order: DataFrame) -> DataFrame:
+def match_blocks(blocks: DataFrame, templates: DataFrame, order: list[str]) -> DataFrame:
     """(row, pos, template, label, containment) for every block and template that meet the threshold.
 
-    blocks: `row, pos, tokens` with distinct template words. order: `token, rank`, rarest first.
+    blocks: `row, pos, tokens` with distinct template words. order: all template words, rarest first. The templates are
+    a constant of the program, so joining them by broadcast is bounded.
     """
-    ranked = lambda df, keys: (  # noqa: E731  tokens by rank, at most as many as the templates have words
-        df.select(*keys, F.explode("tokens").alias("token")).join(F.broadcast(order), "token")
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "token"))).alias("ranked"))
-    )
-    t = ranked(templates, ["template", "label", "n", "need"]).select(
-        "template", "n", "need", F.posexplode(F.slice("ranked", 1, F.col("n") - F.col("need") + 1)).alias("t_pos", "x")
-    ).select("template", "n", "need", "t_pos", "x.token")
-    local = F.array_sort(F.transform("tokens", lambda w: F.struct(F.element_at("ranks", w).alias("rank"), w.alias("token"))))
-    ranks = order.agg(F.map_from_entries(F.collect_list(F.struct("token", "rank"))).alias("ranks"))
-    b = blocks.crossJoin(F.broadcast(ranks)).select("row", "pos", F.size("tokens").alias("size"), F.posexplode(local).alias("b_pos", "x"))
-    b = b.select("row", "pos", "size", "b_pos", F.col("x.token").alias("token"))
-    pairs = b.join(F.broadcast(t), "token").where(
-        (F.col("size") >= F.col("need")) & (1 + F.least(F.col("n") - 1 - F.col("t_pos"), F.col("size") - 1 - F.col("b_pos")) >= F.col("need"))
-    )
+    prefix = templates.select("template", "n", "need", F.posexplode(F.slice("tokens", 1, F.col("n") - F.col("need") + 1)).alias("t_pos", "token"))
+    ordered = F.array_intersect(F.array(*map(F.lit, order)), "tokens")  # keeps the order of the first
+    b = blocks.select("row", "pos", F.size("tokens").alias("size"), F.posexplode(ordered).alias("b_pos", "token"))
+    left = 1 + F.least(F.col("n") - 1 - F.col("t_pos"), F.col("size") - 1 - F.col("b_pos"))
+    pairs = b.join(F.broadcast(prefix), "token").where((F.col("size") >= F.col("need")) & (left >= F.col("need")))
     pairs = pairs.select("row", "pos", "template").distinct()
     full = pairs.join(blocks, ["row", "pos"]).join(F.broadcast(templates.withColumnRenamed("tokens", "wanted")), "template")
     shared = F.size(F.array_intersect("tokens", "wanted"))
@@ -104,7 +97,6 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     score is the best containment of a reported notice, a phrase counting as contained whole.
     """
     spark = docs.sparkSession
-    notices = template_table(spark, templates, threshold)
     vocabulary = sorted({w for texts in templates.values() for t in texts for w in words_of(t)})
     least = min(math.ceil(threshold * len(set(words_of(t))) - 1e-9) for texts in templates.values() for t in texts)
 
@@ -121,10 +113,10 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold
     seen = materialise(seen.withColumn("row", F.monotonically_increasing_id()), "license_blocks")
 
     found = seen.select("row", F.explode("blocks").alias("b")).select("row", "b.pos", "b.tokens")
-    counts = found.select(F.explode("tokens").alias("token")).groupBy("token").count()  # as many rows as templates have words, at most
-    known = spark.createDataFrame([(w,) for w in vocabulary], "token string").join(counts, "token", "left")
-    order = known.select("token", F.row_number().over(Window.orderBy(F.coalesce("count", F.lit(0)), "token")).alias("rank"))
-    matches = match_blocks(found, notices, order).groupBy("row").agg(
+    counted = found.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    often = {r["token"]: r["count"] for r in counted.collect()}  # as many rows as the templates have words, at most
+    order = sorted(vocabulary, key=lambda w: (often.get(w, 0), w))
+    matches = match_blocks(found, template_table(spark, templates, threshold, order), order).groupBy("row").agg(
         F.collect_set("label").alias("found"), F.max("containment").alias("best"), F.countDistinct("pos").alias("blocks")
     )
     all_places = F.flatten("places")
