@@ -122,9 +122,9 @@ def natural_key(c: Column, width: int = 12) -> Column:
     return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
 
 
-def contains_all(haystack: Column, terms: list[str]) -> Column:
+def contains_all(haystack: Column, terms: list) -> Column:
     return reduce(lambda a, t: a & haystack.contains(t), terms, F.lit(True))
 
 
-def contains_any(haystack: Column, terms: list[str]) -> Column:
+def contains_any(haystack: Column, terms: list) -> Column:
     return reduce(lambda a, t: a | haystack.contains(t), terms, F.lit(False))

@@ -39,8 +39,9 @@ def count_recent(changes: DataFrame, at: str, as_of: Column, hours: int = 24) ->
 
 
 def price_drops(items: DataFrame, threshold: float, key: str = "url", order: tuple[str, ...] = ("seen_at", "ordinal")) -> DataFrame:
-    """Rows whose price fell by `threshold` or more since the last one of the same key: (.., last_price, drop)."""
+    """Rows whose price fell by `threshold` percent or more since the last price of the same key: (.., last_price, drop_percent)."""
     w = Window.partitionBy(key).orderBy(*order)
     last = F.last("price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    seen = items.withColumn("last_price", last).withColumn("drop", F.bround(F.col("last_price") - F.col("price"), 2))
-    return seen.where(F.col("drop") >= threshold)
+    seen = items.withColumn("last_price", last)
+    down = F.try_divide(F.col("last_price") - F.col("price"), F.col("last_price")) * 100
+    return seen.where(down >= threshold).withColumn("drop_percent", F.bround(down, 2))

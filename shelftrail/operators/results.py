@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, stock
@@ -24,14 +24,14 @@ class ResultOptions:
     order: str = "final-asc"
     page: int = 1
     page_size: int = 50
+    percent_off: float = 0.0
 
 
-#: Named settings: what a preset changes in the options.
+# The named settings that come with the list.
 PRESETS = {
-    "budget": {"most": 50.0},
-    "premium": {"least": 200.0},
-    "screens": {"include": ["lcd"], "exclude": ["used"]},
-    "clearance": {"most": 20.0, "exclude": ["refurbished"]},
+    "lcd-imports": {"percent_off": 15.0, "least": 50.0, "most": 500.0, "include": ["lcd", "incell", "oem"], "exclude": ["with frame", "grade b"]},
+    "oem-only": {"percent_off": 10.0, "include": ["oem", "original"], "exclude": ["aftermarket", "copy"]},
+    "refurbished": {"percent_off": 20.0, "include": ["refurbished", "renewed"], "most": 200.0},
 }
 
 
@@ -53,8 +53,10 @@ def enrich(items: DataFrame, sheet: DataFrame | None = None, row_id: str = "ordi
 
 
 def keyword_filter(rows: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
+    """Rows with all of the included and none of the excluded terms in title and URL, all in normal form."""
     text = normal_title(F.concat_ws(" ", "title", "url"))
-    return rows.where(contains_all(text, include) & ~contains_any(text, exclude))
+    plain = lambda terms: [normal_title(F.lit(t)) for t in terms]
+    return rows.where(contains_all(text, plain(include)) & ~contains_any(text, plain(exclude)))
 
 
 def price_filter(rows: DataFrame, least: float | None, most: float | None, price: str = "final") -> DataFrame:
@@ -92,13 +94,17 @@ def watched(rows: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int, order: str) -> DataFrame:
-    """A page, by its number or the last page there is."""
+    """A page, by its number or the last page there is, with the place of each row in the whole list."""
     pages = max(1, -(-rows.count() // size))
-    return rows.orderBy(*order_columns(order)).offset((min(number, pages) - 1) * size).limit(size)
+    before = (min(number, pages) - 1) * size
+    held = rows.orderBy(*order_columns(order)).offset(before).limit(size)  # at most `size` rows, so one window over them is small
+    return held.withColumn("position", F.lit(before) + F.row_number().over(Window.orderBy(*order_columns(order))))
 
 
 def results(items: DataFrame, options: ResultOptions, sheet: DataFrame | None = None, watchlist: DataFrame | None = None) -> DataFrame:
     rows = keyword_filter(enrich(items, sheet), options.include, options.exclude)
+    if options.percent_off:
+        rows = rows.withColumn("final", money.apply_discount(F.col("final"), F.lit(options.percent_off), F.lit(0.0)))
     rows = price_filter(rows, options.least, options.most)
     if options.hide_duplicates:
         rows = hide_duplicates(rows)

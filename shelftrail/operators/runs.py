@@ -99,5 +99,47 @@ def cut_pages(pages: DataFrame, keys: list[str], page: str, least_new: str) -> D
     return pages.withColumn("_e", empty_before).where("_e = 0").drop("_e")
 
 
+def cut_pages_after_two(pages: DataFrame, keys: list[str], page: str, least_new: str, most: int) -> DataFrame:
+    """Pages up to the second of two in a row that brought nothing new, and at most `most` of them."""
+    w = Window.partitionBy(*keys).orderBy(page)
+    two = (F.col(least_new) == 0) & (F.lag(least_new).over(w) == 0)
+    marked = pages.withColumns({"_two": F.coalesce(two, F.lit(False)).cast("int"), "_n": F.row_number().over(w)})
+    over = F.sum("_two").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return marked.withColumn("_over", F.coalesce(over, F.lit(0))).where(f"_over = 0 and _n <= {most}").drop("_two", "_n", "_over")
+
+
+def running_counters(steps: DataFrame, run: str, order: list[str], model: str) -> DataFrame:
+    """A run's counters after each step: rows, new ones, and distinct models by the flag of a model's first step."""
+    upto = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.row_number().over(Window.partitionBy(run, model).orderBy(*order)) == 1
+    flagged = steps.withColumn("_first", first.cast("int"))
+    return flagged.withColumns({"products": F.count("*").over(upto), "new_products": F.sum(F.col("is_new").cast("int")).over(upto), "models": F.sum("_first").over(upto)}).drop("_first")
+
+
+def timing_estimate(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Elapsed and remaining seconds of jobs (started_at, completed_at, done, total), and when they should finish."""
+    end = F.coalesce("completed_at", as_of)
+    elapsed = F.greatest(F.lit(0), F.timestamp_diff("SECOND", F.col("started_at"), end))
+    rest = F.when(F.col("completed_at").isNotNull(), F.lit(0.0)).when((F.col("done") > 0) & (F.col("total") >= F.col("done")), elapsed / F.col("done") * (F.col("total") - F.col("done")))
+    out = jobs.withColumns({"elapsed_s": F.coalesce(elapsed, F.lit(0)), "remaining_s": F.round(rest).cast("long")})
+    return out.withColumn("finish_at", F.coalesce("completed_at", F.timestamp_add("SECOND", F.col("remaining_s"), as_of)))
+
+
+def dashboard(totals: DataFrame, categories: DataFrame, runs: DataFrame, job: DataFrame) -> DataFrame:
+    """One row of single rows: totals, completion, last run and next due; while a job runs (done, total) its own progress
+    stands for completion."""
+    active = job.agg(F.max("done").alias("_done"), F.max("total").alias("_total"))
+    out = totals.crossJoin(categories).crossJoin(runs).crossJoin(active)
+    own = F.coalesce(F.col("_total") > 0, F.lit(False))
+    out = out.withColumns({"total": F.when(own, F.col("_total")).otherwise(F.col("total")), "completed": F.when(own, F.coalesce("_done", F.lit(0))).otherwise(F.col("completed"))})
+    return out.withColumn("completion_pct", F.bround(F.col("completed") / F.greatest(F.col("total"), F.lit(1)) * 100, 2)).drop("_done", "_total")
+
+
+def distinct_urls(urls: DataFrame) -> DataFrame:
+    """Requested URLs trimmed, without blanks and later repeats, in order."""
+    some = urls.withColumn("url", F.trim("url")).where("url <> ''")
+    return first_wins(some, ["url"], ["ordinal"]).orderBy("ordinal")
+
+
 def first_seen(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return first_wins(items, keys, order)

@@ -215,13 +215,49 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_price FROM events)
-SELECT event_id AS ordinal, user_id AS url, last_price, value AS price, round_even(last_price - value, 2) AS "drop" FROM o WHERE round_even(last_price - value, 2) >= 10""")
+SELECT event_id AS ordinal, user_id AS url, last_price, value AS price FROM o WHERE (last_price - value) / last_price * 100 >= 10""")
 def price_drop_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.col("user_id").alias("url"), F.col("value").alias("price"), F.col("ts").alias("seen_at"))
-    return H.price_drops(seen, 10.0).drop("seen_at")
+    return H.price_drops(seen, 10.0).drop("seen_at", "drop_percent")
+
+
+@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS first FROM events)
+SELECT event_id, user_id AS run_id, count(*) OVER w AS products, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS new_products, CAST(sum(first::INT) OVER w AS BIGINT) AS models
+FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run_id"), "ts", "event_type", (F.col("value") > 50).alias("is_new"))
+    return U.running_counters(steps, "run_id", ["ts", "event_id"], "event_type").select("event_id", "run_id", "products", "new_products", "models")
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_orderdate AS s, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 90 SECOND END AS c, o_custkey % 50 AS done, 40 AS total FROM orders),
+a AS (SELECT max(o_orderdate) + INTERVAL 1 DAY AS now FROM orders), e AS (SELECT *, CAST(epoch(coalesce(c, now)) - epoch(s) AS BIGINT) AS elapsed_s FROM j, a),
+r AS (SELECT *, CASE WHEN c IS NOT NULL THEN 0 WHEN done > 0 AND total >= done THEN CAST(round(elapsed_s / done * (total - done)) AS BIGINT) END AS remaining_s FROM e)
+SELECT id, elapsed_s, remaining_s, CAST(coalesce(c, now + to_seconds(remaining_s)) AS VARCHAR) AS finish_at FROM r""")
+def run_timing_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    now = orders.agg((F.max("o_orderdate") + F.expr("interval 1 day")).alias("now"))
+    jobs = orders.crossJoin(now).select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate") + F.expr("interval 90 seconds")).alias("completed_at"),
+        (F.col("o_custkey") % 50).alias("done"), F.lit(40).alias("total"), "now",
+    )
+    return U.timing_estimate(jobs, F.col("now")).select("id", "elapsed_s", "remaining_s", F.col("finish_at").cast("string"))
+
+
+@query("""WITH t AS (SELECT count(*) AS products, (SELECT count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) AS changes_24h FROM orders)
+SELECT products, changes_24h, CAST((SELECT max(ts) FROM events WHERE event_type = 'purchase') AS VARCHAR) AS last_run, 80 AS total, (SELECT max(value) FILTER (event_type = 'error')::INT % 80 FROM events) AS completed,
+  round_even((SELECT max(value) FILTER (event_type = 'error')::INT % 80 FROM events) / 80.0 * 100, 2) AS completion_pct FROM t""")
+def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, at = table(spark, sf_dir, "events"), _as_of(spark, sf_dir)
+    totals = products(spark, sf_dir).agg(F.count("*").alias("products"))
+    totals = totals.crossJoin(H.count_recent(events.crossJoin(at), "ts", F.col("as_of")).withColumnRenamed("n", "changes_24h"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category_id"))
+    done = U.completion(nations, catalog(spark, sf_dir).select("category_id"), "category_id")
+    last = U.last_run(events.select(F.col("event_type").alias("status"), F.col("ts").alias("started_at")), "purchase").select(F.col("last_run").cast("string"))
+    job = events.where("event_type = 'error'").agg(F.round(F.max("value")).cast("int").alias("v")).select((F.col("v") % 80).alias("done"), F.lit(80).alias("total"))
+    return U.dashboard(totals, done, last, job)
 
 
-UPSERT_SQL = """cut AS (SELECT CAST(quantile_disc(ts, 0.7) AS TIMESTAMP) AS cut_at FROM events), old AS (
+UPSERT_SQL = """cut AS (SELECT make_timestamp(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * 7 // 10) AS cut_at FROM events), old AS (
   SELECT user_id AS sku, arg_max(value, (ts, event_id)) AS price, arg_max(event_type, (ts, event_id)) AS stock_status, min(event_id) AS model_id FROM events, cut
   WHERE ts < cut_at AND user_id % 7 <> 0 GROUP BY 1
 ), new AS (
@@ -232,7 +268,8 @@ UPSERT_SQL = """cut AS (SELECT CAST(quantile_disc(ts, 0.7) AS TIMESTAMP) AS cut_
 def _upsert(spark: SparkSession, sf_dir: str) -> K.Upsert:
     """Products as they stood at a cut in time, and the events since as a batch: stored SKUs leave out every seventh."""
     events = table(spark, sf_dir, "events")
-    at = events.agg(F.expr("percentile_disc(0.7) within group (order by unix_micros(cast(ts as timestamp)))").alias("at"))
+    first, last = F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))
+    at = events.agg((first + F.floor((last - first) * 7 / 10)).alias("at"))
     timed = events.crossJoin(at).withColumn("before", F.unix_micros(F.col("ts").cast("timestamp")) < F.col("at"))
     order = F.struct("ts", "event_id")
     old = timed.where("before and user_id % 7 <> 0").groupBy(F.col("user_id").cast("string").alias("sku")).agg(

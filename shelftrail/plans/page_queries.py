@@ -64,6 +64,15 @@ def run_timing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.timing_rollup(log, ["site"]).select("site", "pages", "items", "mean_fetch_ms", "challenged", "errors")
 
 
+@query("""WITH c AS (SELECT user_id, count(*) AS pages, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS items, bool_or(value > 300) AS ch, count_if(value < 1) AS errors FROM events GROUP BY 1)
+SELECT count(*) AS found, count_if(pages > 0) AS scraped, CAST(sum(items) AS BIGINT) AS items, bool_or(ch) AS challenged, CAST(sum(errors) AS BIGINT) AS errors FROM c""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "events").select(
+        "user_id", F.get_json_object("props", "$.k").cast("long").alias("items"), F.col("value").alias("fetch_ms"), (F.col("value") > 300).alias("challenged"), F.when(F.col("value") < 1, "timeout").alias("error")
+    )
+    return U.run_summary(U.timing_rollup(pages, ["user_id"]))
+
+
 @query("""SELECT p_partkey AS page_id, p_name AS name, CAST(p_retailprice AS DOUBLE) AS price, CASE WHEN p_size % 2 = 0 THEN 'USD' ELSE 'CAD' END AS currency,
   CASE WHEN p_size % 3 = 0 THEN 'in_stock' WHEN p_size % 3 = 1 THEN 'out_of_stock' ELSE 'back_order' END AS stock_status FROM part""")
 def jsonld_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +121,10 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_price FROM events)
-SELECT event_id AS ordinal, user_id AS url, last_price, value AS price, round_even(last_price - value, 2) AS "drop" FROM o WHERE round_even(last_price - value, 2) >= 10""")
+SELECT event_id AS ordinal, user_id AS url, last_price, value AS price FROM o WHERE (last_price - value) / last_price * 100 >= 10""")
 def stream_price_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _event_stream(spark, sf_dir).select(F.col("user_id").alias("url"), F.col("value").alias("price"), F.col("ts").alias("seen_at"), F.col("event_id").alias("ordinal"))
-    return J.run_to_table(J.price_drop_alerts(seen, 10.0), scratch(spark, "alerts"), scratch(spark, "alerts-state")).drop("seen_at")
+    return J.run_to_table(J.price_drop_alerts(seen, 10.0), scratch(spark, "alerts"), scratch(spark, "alerts-state")).drop("seen_at", "drop_percent")
 
 
 @query("""WITH w AS (SELECT event_type AS change_type, date_trunc('hour', ts) - to_hours(CAST(h AS BIGINT)) AS s FROM events, unnest(range(24)) AS t(h))

@@ -14,7 +14,7 @@ from ..operators import runs as U
 from ..operators import sessions as S
 from ..operators.compare import with_compare_price
 from ..sources.readers import comparison_sheet
-from ..sources.writers import export_results, save_session
+from ..sources.writers import export_results, export_watchlist, save_session
 from .registry import query
 from .tables import ITEMS_SQL, items, scratch, sessions, table
 
@@ -149,9 +149,9 @@ def enriched_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.results(items(spark, sf_dir), options).select("ordinal", "title", "original", "final", "discount_percent", "discount_amount", "stock", "stock_label", "domain")
 
 
-@query(f"WITH {ENRICHED} SELECT ordinal, title, f AS final FROM enriched ORDER BY f DESC NULLS LAST, ordinal LIMIT 100 OFFSET 100")
+@query(f"WITH {ENRICHED} SELECT ordinal, title, f AS final, row_number() OVER (ORDER BY f DESC NULLS LAST, ordinal) AS position FROM enriched ORDER BY position LIMIT 100 OFFSET 100")
 def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.page(E.enrich(items(spark, sf_dir)), 2, 100, "final-desc").select("ordinal", "title", "final")
+    return E.page(E.enrich(items(spark, sf_dir)), 2, 100, "final-desc").select("ordinal", "title", "final", "position")
 
 
 @query(f"WITH {ENRICHED}, d AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY ordinal) AS rn FROM enriched) SELECT ordinal, title, site FROM d WHERE rn = 1")
@@ -159,9 +159,9 @@ def unique_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.results(items(spark, sf_dir), E.ResultOptions(hide_duplicates=True)).select("ordinal", "title", "site")
 
 
-@query(f"WITH {ENRICHED} SELECT ordinal, f AS final FROM enriched WHERE f <= 2000 AND title NOT LIKE '%refurbished%'")
+@query(f"WITH {ENRICHED} SELECT ordinal, round_even(f * 0.8 + 1e-9, 2) AS final FROM enriched WHERE round_even(f * 0.8 + 1e-9, 2) <= 2000 AND title LIKE '%ring%'")
 def preset_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.results(items(spark, sf_dir), E.with_preset("clearance", most=2000.0)).select("ordinal", "final")
+    return E.results(items(spark, sf_dir), E.with_preset("refurbished", most=2000.0, include=["Ring"])).select("ordinal", "final")
 
 
 @query(f"WITH {ITEMS_SQL} SELECT ordinal, url FROM items WHERE url IN (SELECT 'https://sitea.example/p/' || p_partkey FROM part WHERE p_size > 40)")
@@ -207,6 +207,27 @@ def page_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.cut_pages(pages, ["l_suppkey"], "page", "fresh")
 
 
+@query("""WITH pages AS (SELECT l_suppkey, l_linenumber AS page, count_if(l_quantity > 49) AS fresh FROM lineitem GROUP BY 1, 2),
+t AS (SELECT *, coalesce(fresh = 0 AND lag(fresh) OVER (PARTITION BY l_suppkey ORDER BY page) = 0, false) AS two, row_number() OVER (PARTITION BY l_suppkey ORDER BY page) AS n FROM pages)
+SELECT l_suppkey, page, fresh FROM t WHERE n <= 5 AND NOT EXISTS (SELECT 1 FROM t q WHERE q.l_suppkey = t.l_suppkey AND q.page < t.page AND q.two)""")
+def page_cutoff_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("page")).agg(F.count_if(F.col("l_quantity") > 49).alias("fresh"))
+    return U.cut_pages_after_two(pages, ["l_suppkey"], "page", "fresh", 5)
+
+
+@query("SELECT min(o_orderkey) AS ordinal, o_orderpriority AS url FROM orders GROUP BY 2")
+def requested_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("url"))
+    return U.distinct_urls(asked.unionByName(asked.limit(5).withColumn("url", F.lit("  "))))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT DISTINCT url FROM items WHERE url LIKE 'https://siter%'")
+def watchlist_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "watch")
+    export_watchlist(items(spark, sf_dir).where(F.col("url").startswith("https://siter")), path)
+    return spark.read.csv(path, header=True)
+
+
 @query("""SELECT o_orderkey AS ordinal, 'https://shop.example/' || lower(n_name) || '/' AS url, CASE WHEN n_nationkey < 15 THEN 'Known ' || n_name ELSE 'Nation ' || n_nationkey END AS label, n_nationkey >= 15 AS made_up
 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
 def category_scope(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import stock as K
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import sessions as S
+from ..operators.catalog import first_wins
 from .registry import query
 from .tables import table
 
@@ -37,6 +38,14 @@ def model_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some.select("page_id", U.model_name(F.col("url")).alias("model"))
 
 
+@query(f"""WITH m AS (SELECT page_id, CASE WHEN regexp_full_match({_PART}, '[a-z]?[0-9]+[a-z]?') THEN upper({_PART}) ELSE upper({_PART}[1]) || lower({_PART}[2:]) END AS model FROM pages WHERE regexp_matches(url, '^https?://[^/]+/.+'))
+SELECT model, 'S-US' AS source, min(page_id) AS page_id FROM m GROUP BY model""")
+def distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = table(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]+/.+"))
+    named = some.select(U.model_name(F.col("url")).alias("model"), U.region_source(F.col("url")).alias("source"), "page_id")
+    return first_wins(named, ["model", "source"], ["page_id"])
+
+
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=[0-9]+') THEN regexp_replace(url, '([?&]page=)[0-9]+', '\1' || (CAST(regexp_extract(url, '[?&]page=([0-9]+)', 1) AS BIGINT) + 1)) END AS next FROM pages""")
 def next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.next_page_url(F.col("url")).alias("next"))

@@ -14,8 +14,8 @@ from ..shipping import ship_package
 
 
 def price_drop_alerts(items: DataFrame, threshold: float) -> DataFrame:
-    """Alerts on a stream of (url, price, seen_at, ordinal): state is the last price of a url. Rows of one batch are put
-    in time order first, as a micro-batch has none."""
+    """Alerts on a stream of (url, price, seen_at, ordinal) when a price falls by `threshold` percent or more: state is the
+    last price of a url. Rows of one batch are put in time order first, as a micro-batch has none."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values(["seen_at", "ordinal"])
@@ -23,18 +23,18 @@ def price_drop_alerts(items: DataFrame, threshold: float) -> DataFrame:
         alerts = []
         for r in rows.itertuples(index=False):
             if r.price == r.price and r.price is not None:
-                if last is not None and round(last - r.price, 2) >= threshold:
-                    alerts.append((key[0], r.seen_at, r.ordinal, last, r.price, round(last - r.price, 2)))
+                if last and (last - r.price) / last * 100 >= threshold:
+                    alerts.append((key[0], r.seen_at, r.ordinal, last, r.price, round((last - r.price) / last * 100, 2)))
                 last = float(r.price)
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(alerts, columns=["url", "seen_at", "ordinal", "last_price", "price", "drop"])
+        yield pd.DataFrame(alerts, columns=["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"])
 
     ship_package(items.sparkSession)
     kind = items.schema["url"].dataType.simpleString()
     at = items.schema["seen_at"].dataType.simpleString()
     return items.select("url", "price", "seen_at", "ordinal").groupBy("url").applyInPandasWithState(
-        each, f"url {kind}, seen_at {at}, ordinal long, last_price double, price double, drop double", "last double", "append", GroupStateTimeout.NoTimeout
+        each, f"url {kind}, seen_at {at}, ordinal long, last_price double, price double, drop_percent double", "last double", "append", GroupStateTimeout.NoTimeout
     )
 
 
