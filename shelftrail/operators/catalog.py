@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.change import is_meaningful_change
-from ..functions.text import truncate_value
+from ..functions.text import derive_sku, slug, taxonomy, truncate_value
 
 
 def snowflake(products: DataFrame, models: DataFrame, categories: DataFrame, brands: DataFrame) -> DataFrame:
@@ -53,6 +53,32 @@ def upsert_dimension(stored: DataFrame, incoming: DataFrame, keys: list[str], or
     )
 
 
+@dataclass(frozen=True)
+class ItemBatch:
+    brands: DataFrame
+    categories: DataFrame
+    models: DataFrame
+    products: DataFrame
+
+
+def item_batch(items: DataFrame, order: list[str]) -> ItemBatch:
+    """Collected items (url, sku, title, description, price, stock_status, category_path, label, brand + order) as what the
+    dimension and product upserts take. Ids are hashes of natural keys, so they need no lookup; of items with the same
+    derived sku the first counts."""
+    t = taxonomy(F.col("category_path"), F.col("label"), F.col("brand"))
+    rows = items.withColumns({"sku": derive_sku(F.col("sku"), F.col("url")), "_t": t})
+    rows = rows.withColumns({f"{k}_slug": slug(F.col(f"_t.{k}")) for k in ("brand", "category", "model")})
+    levels = {"brand": ["brand_slug"], "category": ["brand_slug", "category_slug"], "model": ["brand_slug", "category_slug", "model_slug"]}
+    rows = first_wins(rows.withColumns({f"{k}_id": F.xxhash64(*slugs) for k, slugs in levels.items()}), ["sku"], order)
+
+    def dimension(name: str, parent: list[str]) -> DataFrame:
+        named = rows.select(*parent, F.col(f"{name}_slug").alias("slug"), F.col(f"_t.{name}").alias("name"), F.concat(F.lit("/"), F.array_join(F.array(*levels[name]), "/")).alias("url"), *order)
+        return first_wins(named, [*parent, "slug"], order)
+
+    products = rows.select("sku", F.col("url").alias("product_url"), "model_id", "title", "description", "price", "stock_status", *order)
+    return ItemBatch(dimension("brand", []), dimension("category", ["brand_id"]), dimension("model", ["category_id"]), products)
+
+
 @dataclass(frozen=True)
 class Upsert:
     products: DataFrame
@@ -63,6 +89,7 @@ class Upsert:
     summary: DataFrame
 
 
+STORED_PRODUCTS = "sku string, product_url string, model_id long, title string, description string, price double, stock_status string, created_at timestamp_ntz, updated_at timestamp_ntz"
 PRODUCT_ATTRIBUTES = ["title", "description", "price", "stock_status"]
 
 

@@ -300,6 +300,23 @@ def catalog_upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _upsert(spark, sf_dir).summary.select("saved", "new", "updated")
 
 
+@query("""WITH i AS (SELECT l_orderkey, l_partkey, p_brand, p_type, p_name, ((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS o FROM lineitem JOIN part ON p_partkey = l_partkey),
+f AS (SELECT l_partkey, arg_min(p_brand, o) AS b, arg_min(p_type, o) AS c, arg_min(p_name, o) AS m FROM i GROUP BY 1)
+SELECT 'brands' AS "table", count(DISTINCT b) AS n, min(b) AS first FROM f UNION ALL SELECT 'categories', count(DISTINCT (b, c)), min(c) FROM f
+UNION ALL SELECT 'models', count(DISTINCT (b, c, m)), min(m) FROM f UNION ALL SELECT 'products', count(*), 'P-' || min(CAST(l_partkey AS VARCHAR)) FROM f""")
+def item_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    line = table(spark, sf_dir, "lineitem").join(part, "l_partkey")
+    batch = K.item_batch(line.select(
+        F.concat(F.lit("https://shop.example/p-"), "l_partkey", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("sku"), F.col("p_name").alias("title"), F.lit("").alias("description"),
+        F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("stock_status"), F.concat_ws(" > ", "p_brand", "p_type", "p_name").alias("category_path"),
+        F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("brand"), (((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("o"),
+    ), ["o"])
+    parts = [("brands", batch.brands, "name"), ("categories", batch.categories, "name"), ("models", batch.models, "name"), ("products", batch.products, "sku")]
+    counted = [df.agg(F.count("*").alias("n"), F.min(c).alias("first")).select(F.lit(name).alias("table"), "n", "first") for name, df, c in parts]
+    return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
+
+
 @query("""SELECT o_orderpriority AS slug, arg_min(o_custkey, o_orderkey)::VARCHAR AS name, 'https://shop.example/' || arg_min(o_orderkey, o_orderkey) AS url FROM orders GROUP BY 1
 UNION ALL SELECT c_mktsegment, 'kept', 'kept' FROM customer GROUP BY 1""")
 def dimension_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:

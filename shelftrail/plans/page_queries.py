@@ -155,6 +155,20 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.run_to_table(J.first_seen(seen, within="60 days"), scratch(spark, "seen"), scratch(spark, "seen-state")).select("url")
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS sku, arg_min(value, (ts, event_id)) AS price, 'new' AS change_type, 'Product ' || user_id AS new_value FROM events GROUP BY user_id")
+def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of products into an empty catalog: its price rows beside its change log."""
+    sku = F.col("user_id").cast("string")
+    seen = _event_stream(spark, sf_dir).select(
+        sku.alias("sku"), F.concat(F.lit("u"), sku).alias("product_url"), F.lit(1).cast("long").alias("model_id"), F.concat(F.lit("Product "), sku).alias("title"), F.lit("").alias("description"),
+        F.col("value").alias("price"), F.col("event_type").alias("stock_status"), "ts", "event_id",
+    )
+    root = scratch(spark, "catalog")
+    J.catalog_stream(seen, root, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), ["ts", "event_id"]).awaitTermination()
+    prices, changes = spark.read.parquet(f"{root}/prices"), spark.read.parquet(f"{root}/changes")
+    return prices.join(changes, "sku").select("sku", "price", "change_type", "new_value")
+
+
 @query("SELECT user_id AS url, arg_max(value, (ts, event_id)) AS price, count(*) AS n FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each micro-batch merged into the last snapshot; a snapshot is a new folder, and the last one is the result."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.catalog import STORED_PRODUCTS, upsert_products
 from ..shipping import ship_package
 
 
@@ -60,6 +61,21 @@ def upsert_stream(items: DataFrame, apply: Callable[[DataFrame, int], None], che
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def catalog_stream(products: DataFrame, root: str, as_of: Column, order: list[str]) -> StreamingQuery:
+    """Products (as `upsert_products` takes them) into a catalog under `root`: per batch a snapshot, and the prices, changes
+    and baselines it added. Batch n starts from the snapshot of batch n - 1 and overwrites only its own folders, so a batch
+    that runs again after a failure leaves the same state."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.parquet(f"{root}/products/batch={number - 1}") if number else spark.createDataFrame([], STORED_PRODUCTS)
+        out = upsert_products(stored, batch, as_of, order)
+        for name in ("products", "prices", "changes", "baselines"):
+            getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+
+    return upsert_stream(products, apply, f"{root}/checkpoint")
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table in the session's memory: for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

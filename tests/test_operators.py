@@ -61,6 +61,31 @@ def test_upsert_twice_logs_once(spark):
     assert once.changes.count() == 1 and twice.changes.count() == 0 and twice.prices.count() == 0 and twice.products.count() == 1
 
 
+def test_catalog_stream_equals_batches(spark, tmp_path):
+    rows = [(n, f"S{n % 5}", f"u/{n % 5}", 1, f"t{n}", None, float(n // 7), "In Stock" if n % 4 else "sold out") for n in range(45)]
+    now = F.lit("2024-02-01").cast("timestamp_ntz")
+    state, logged = spark.createDataFrame([], STORED), 0
+    for k in range(3):
+        part = spark.createDataFrame(rows[15 * k : 15 * k + 15], INCOMING)
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = catalog.upsert_products(state, part, now)
+        state, logged = spark.createDataFrame(out.products.collect(), STORED), logged + out.changes.count()
+    stream = spark.readStream.schema(INCOMING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.catalog_stream(stream, str(tmp_path / "cat"), now, ["ordinal"]).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "cat/products/batch=2")).select(*state.columns)
+    assert sorted(got.collect()) == sorted(state.collect()) and spark.read.parquet(str(tmp_path / "cat/changes")).count() == logged > 5
+
+
+def test_item_batch_makes_dimensions(spark):
+    rows = [(1, "https://a/x-1", None, "t1", "", 1.0, "yes", "A > B > C", None, None), (2, "https://a/x-1/", " ", "t2", "", 2.0, "yes", "Z", None, None), (3, "https://a/y", "k 9", "t3", "", None, None, "", "L", None), (4, "https://a/z", None, "t4", "", 1.0, "no", "A > b > D", None, None)]
+    schema = "o long, url string, sku string, title string, description string, price double, stock_status string, category_path string, label string, brand string"
+    batch = catalog.item_batch(spark.createDataFrame(rows, schema), ["o"])
+    assert sorted((r.sku, r.title) for r in batch.products.collect()) == [("K-9", "t3"), ("X-1", "t1"), ("Z", "t4")]
+    assert sorted(r.name for r in batch.brands.collect()) == ["A", "L"] and sorted(r.name for r in batch.categories.collect()) == ["B", "L"] and batch.models.count() == 3
+    new = catalog.upsert_products(spark.createDataFrame([], STORED), batch.products, F.lit("2024-02-01").cast("timestamp_ntz"), ["o"])
+    assert new.summary.first().new == 3
+
+
 def test_feed_fallback_only_when_empty(spark):
     feed = spark.createDataFrame([(1, "price")], "product_id long, change_type string")
     base = spark.createDataFrame([(2, "baseline"), (3, "baseline")], "product_id long, change_type string")
