@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from ..shipping import map_arrow
 from . import bpe
-from ._common import fresh_path
+from ._common import fresh_path, materialise
 
 #: The id after the last of the 50,256 ranks.
 END_OF_DOCUMENT = 50256
@@ -91,7 +91,7 @@ def document_token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tikto
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
     write_token_files(docs, path, vocabulary)
-    found = count_tokens(spark, path)
+    found = materialise(count_tokens(spark, path), "token_counts")
     names = F.regexp_extract("path", r"part-(\d+)-[^/]*?(?:-c(\d+))?[^/]*$", 1).cast("int")
     files = found.groupBy("path").agg(F.count("*").alias("docs")).withColumn("part", names)
     earlier = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
