@@ -58,6 +58,16 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, the same ones for the same table: those whose key has a hash below a bound, which leaves about
+    `rows` of them, so that no more than these move, and of them the smallest."""
+    n = df.count()
+    spread = F.xxhash64(F.lit(1), key)
+    if n > rows:
+        df = df.where(F.pmod(spread, F.lit(1 << 30)) <= int((1 << 30) * min(1.0, 1.1 * rows / n)))
+    return df.orderBy(spread, key).limit(rows)
+
+
 def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

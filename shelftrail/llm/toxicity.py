@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from ._common import materialise
+from ._common import hash_sample, materialise
 from ._linear import fit_logistic, linear, sigmoid
 
-#: Lexicons are induced from at most so many toxic and clean labelled training rows, by smallest hash of doc_id.
+#: Lexicons are induced from at most so many toxic and clean labelled training rows, by a hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 12_000
 #: The classifier is trained on at most so many training rows.
 FIT_ROWS = 20_000
 #: A word or stem enters a lexicon from so many toxic rows on, and so large a share of them, if it is so precise.
-SUPPORT, SHARE, PRECISION = 6, 0.01, 0.9
+SUPPORT, SHARE, PRECISION = 6, 0.01, 0.95
 #: The lexicons hold so many terms at most.
 LEXICON = 5_000
 #: Lengths of stems, and how many distinct words of a text on one stem are told apart.
@@ -79,7 +79,7 @@ def _induce(sample: DataFrame) -> list[tuple[str, int]]:
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not n.get(1):
         return []
-    often = {r.term: r.n for r in run(True, None).where(F.col("n") >= max(SUPPORT, SHARE * n[1])).orderBy(F.desc("n"), "term").limit(20 * LEXICON).collect()}
+    often = {r.term: r.n for r in run(True, None).where(F.col("n") >= max(SUPPORT, SHARE * n[1])).orderBy(F.desc("n"), "term").limit(2 * LEXICON).collect()}
     clean = {r.term: r.n for r in run(False, set(often)).collect()}
     good = [(t, k) for t, k in often.items() if k / (k + clean.get(t, 0)) >= PRECISION]
     return sorted(good, key=lambda x: (-x[1], x[0]))[:LEXICON]
@@ -158,7 +158,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     spark = docs.sparkSession
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     known = known.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
-    parts = [known.where(f"toxic = {x}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for x, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    parts = [hash_sample(known.where(f"toxic = {x}"), "doc_id", n) for x, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = materialise(parts[0].unionByName(parts[1]), "chosen")  # at most TOXIC_ROWS + CLEAN_ROWS
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     opening = F.xxhash64(F.slice(F.split(F.col("text"), " ", 9), 1, 8))  # near copies would count as support
@@ -194,7 +194,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     density = sum((F.col("h")[i] for i in range(1, 1 + 2 * PARTS)), F.col("h")[0]) / words
     featured = hit.withColumn("features", F.array(*counts, density, *[F.col("v")[i].cast("double") for i in range(1 + 2 * PARTS, N_VOTES)]))
     posterior = sigmoid(F.lit(intercept) + sum((F.col("v")[i] * float(weight[i]) for i in range(1, N_VOTES)), F.col("v")[0] * float(weight[0])))
-    fit = featured.where("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("features", posterior.alias("p")).toPandas()
+    fit = hash_sample(featured.where("not held_out"), "doc_id", fit_rows).select("features", posterior.alias("p")).toPandas()
     x = np.array(fit["features"].tolist(), float).reshape(len(fit), 2 + 2 * PARTS + N_VOTES - (1 + 2 * PARTS))
     model = fit_logistic(x, fit["p"].to_numpy(float))
     out = featured.select("doc_id", "held_out", sigmoid(linear("features", model)).alias("score"))
