@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from ._common import materialise
+from ._common import hash_sample, materialise
 from ._linear import fit_logistic, linear, logit, sigmoid
 
-#: The model is fitted on at most so many labelled rows, those with the smallest hash of doc_id.
+#: The model is fitted on at most so many labelled rows, chosen by a hash of doc_id.
 FIT_ROWS = 20_000
 #: Up to so many paths are sent to every executor to score full rows; beyond, rejected ids are joined instead.
 BROADCAST_PATHS = 100_000
@@ -79,8 +79,8 @@ def _place(column: str) -> F.Column:
 
 def fit(measured: DataFrame, labels: DataFrame, fit_rows: int) -> list[float]:
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = measured.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select("features", "quality").toPandas()
+    known = measured.select("doc_id", "features").join(known, "doc_id")
+    rows = hash_sample(known, "doc_id", fit_rows).select("features", "quality").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), N_FEATURES)
     return fit_logistic(x, (rows["quality"].to_numpy(float) > 0).astype(float))
 
