@@ -33,7 +33,8 @@ SEED_WORDS = 3
 #: A seed is rare in up to so many documents, or so many times the median of its item's n-grams.
 RARE_DOCS, RARE_TIMES = 8, 4
 MATCH, MISMATCH, GAP = 2, 1, 1
-THRESHOLD = 0.6
+#: Chance alignments of common words reach a third on the tables here; half an item, or all of it with a third of its words edited, counts.
+THRESHOLD = 0.5
 ALIGNED_TOGETHER = 64
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
