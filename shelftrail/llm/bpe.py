@@ -42,7 +42,7 @@ LONG_BYTES = 256
 #: "'re" can become one match only when all three characters are there, and white space looks one further.
 REACH = 3
 #: Encoded pre-tokens that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 #: Letters, numbers and white space up to U+00FF, and with them the split pattern of the rank files for such texts.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"

@@ -4,7 +4,7 @@
 end-of-document id: flat files without an index. `count_tokens` finds the documents again: files are read in blocks of
 fixed size, each block is searched for the separator in one vectorised pass, and a block's documents are completed
 across its borders by a prefix scan over block summaries (documents and tokens before the block, tokens since the last
-separator). Blocks, not documents, are the unit of work, so one document may span any number of them.
+separator). Blocks, not documents, are the unit of the search, so one document may span any number of them.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted each; tokens behind the last separator of a
 file are one more document; a last odd byte is ignored; empty files and tables give no rows; other columns are ignored.
@@ -44,28 +44,33 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50
     flat.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", DOCUMENTS_PER_FILE).text(path)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        tokens, lengths, tail = [], [], []
-        for raw in b.column(2):
-            ids = np.frombuffer(raw.as_buffer()[: len(raw.as_buffer()) // 2 * 2], "<u2")
-            ends = np.flatnonzero(ids == END_OF_DOCUMENT)
-            tokens.append(len(ids))
-            lengths.append((np.diff(ends, prepend=-1) - 1).tolist())  # the first is what of it lies in this block
-            tail.append(len(ids) - (int(ends[-1]) + 1 if len(ends) else 0))
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(tokens, pa.int64()), pa.array(lengths, pa.list_(pa.int64())), pa.array(tail, pa.int64())],
-            names=["path", "block", "tokens", "lengths", "tail"],
-        )
+def _scan_blocks(block_tokens: int):
+    """A row per block of each file: its tokens, the lengths that end in it, and the tokens behind the last separator."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("block", pa.int32()), ("tokens", pa.int64()), ("lengths", pa.list_(pa.int64())), ("tail", pa.int64())])
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = content.as_buffer()
+                flat = np.frombuffer(raw, "<u2", count=len(raw) // 2)  # a view: blocks are not copied
+                out = {f.name: [] for f in schema}
+                for k, at in enumerate(range(0, len(flat), block_tokens)):
+                    ids = flat[at : at + block_tokens]
+                    ends = np.flatnonzero(ids == END_OF_DOCUMENT)
+                    out["path"].append(path)
+                    out["block"].append(k)
+                    out["tokens"].append(len(ids))
+                    out["lengths"].append(np.diff(ends, prepend=-1) - 1)  # the first is what of it lies in this block
+                    out["tail"].append(len(ids) - (int(ends[-1]) + 1 if len(ends) else 0))
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return scan
 
 
 def count_tokens(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(path, ordinal, n_tokens) for every document of the token files in a folder; ordinals count from 0 in a file."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    last = F.floor((F.col("length") - 1) / block_bytes).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("content", i * block_bytes + 1, F.lit(block_bytes)))
-    cut = files.select("path", F.posexplode(blocks).alias("block", "bytes"))
-    found = map_arrow(cut, _scan, "path string, block int, tokens long, lengths array<long>, tail long")
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    found = map_arrow(files, _scan_blocks(block_bytes // 2), "path string, block int, tokens long, lengths array<long>, tail long")
 
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("lengths")
