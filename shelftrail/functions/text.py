@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -34,10 +35,18 @@ def normal_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(telling, r"\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def key_of_normal_title(title: Column) -> Column:
+    return let(F.array_join(F.regexp_extract_all(title, F.lit(MODEL_TOKEN), 0), " "), lambda k: F.when(k != "", k).otherwise(title))
+
+
 def model_key(c: Column) -> Column:
     """All model codes and family names of a title in order, or else its normal form."""
-    title = normal_title(c)
-    return F.coalesce(F.nullif(F.array_join(F.regexp_extract_all(title, F.lit(MODEL_TOKEN), 0), " "), F.lit("")), title)
+    return let(normal_title(c), key_of_normal_title)
 
 
 def slug(c: Column) -> Column:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import model_key, normal_title
+from ..functions.text import key_of_normal_title, let, normal_title
 
 
 def lookup_keys(title: Column, site: Column, url: Column) -> Column:
     """array<struct(priority, key)>: url, site and title, title, site and model, normal title, model. Empty parts give no key."""
     t, s, u = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (title, site, url))
-    norm, model = normal_title(title), model_key(title)
+    named = F.struct(t.alias("t"), s.alias("s"), u.alias("u"), normal_title(title).alias("norm"))
+    return let(named, lambda x: let(key_of_normal_title(x["norm"]), lambda model: _keys(x["t"], x["s"], x["u"], x["norm"], model)))
+
+
+def _keys(t: Column, s: Column, u: Column, norm: Column, model: Column) -> Column:
     parts = [
         (F.lit("url:"), u, u), (F.concat(F.lit("site:"), s, F.lit(":")), t, F.least(s, t)), (F.lit("title:"), t, t),
         (F.concat(F.lit("site-model:"), s, F.lit(":")), model, F.least(s, model)), (F.lit("norm:"), norm, norm), (F.lit("model:"), model, model),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, stock
-from ..functions.text import contains_all, contains_any, model_key, natural_key, normal_title
+from ..functions.text import contains_all, contains_any, let, model_key, natural_key, normal_title
 from ..functions.urls import domain
 from .catalog import first_wins
 from .compare import with_compare_price
@@ -56,7 +56,7 @@ def keyword_filter(rows: DataFrame, include: list[str], exclude: list[str]) -> D
     """Rows with all of the included and none of the excluded terms in title and URL, all in normal form."""
     text = normal_title(F.concat_ws(" ", "title", "url"))
     plain = lambda terms: [normal_title(F.lit(t)) for t in terms]
-    return rows.where(contains_all(text, plain(include)) & ~contains_any(text, plain(exclude)))
+    return rows.where(let(text, lambda t: contains_all(t, plain(include)) & ~contains_any(t, plain(exclude))))
 
 
 def price_filter(rows: DataFrame, least: float | None, most: float | None, price: str = "final") -> DataFrame:
