@@ -72,14 +72,17 @@ class BytePairEncoder:
             self.bytes_of[i] = piece
         self.known: dict[str, tuple[int, ...]] = {}
         self.checked: dict[tuple[int, int], bool] = {}
-        self.longest = min(24, max(map(len, ranks)))
+        #: The most bytes of a token, by its first two.
+        self.longest: dict[bytes, int] = {}
+        for piece in ranks:
+            self.longest[piece[:2]] = max(self.longest.get(piece[:2], 1), len(piece))
 
     # -- bytes of one pre-token
 
     def _search(self, piece: bytes) -> list[int]:
         """Ids of which each two neighbours are valid, longest tokens tried first: there is just one such sequence."""
-        out, starts, at, get, checked, n = [], [], 0, self.ranks.get, self.checked, len(piece)
-        end = min(n, self.longest)
+        out, starts, at, get, checked, longest, n = [], [], 0, self.ranks.get, self.checked, self.longest.get, len(piece)
+        end = min(n, longest(piece[:2], 1))
         while at < n:
             last = out[-1] if out else None
             while end > at:
@@ -94,7 +97,8 @@ class BytePairEncoder:
             if end > at:
                 out.append(token)
                 starts.append(at)
-                at, end = end, min(n, end + self.longest)
+                at = end
+                end = min(n, at + longest(piece[at : at + 2], 1))
             else:  # nothing fits behind the last token: a shorter one in its place
                 out.pop()
                 end = at - 1

@@ -53,6 +53,25 @@ def test_bpe_very_long(reference, text):
     assert bpe.encoder().encode(text).tolist() == reference.encode_ordinary(text)
 
 
+RULES = ["-", "=", "_", ".", "*", "#", "/", "\u00a0", "\u2014", "\u00af", "\ufffd", "\u00c3\u00c2"]
+
+
+@pytest.mark.parametrize("rule", RULES)
+def test_bpe_runs_longer_than_any_token(reference, rule):
+    enc = bpe.encoder()
+    for n in range(1, 601):
+        for text in (rule * n, "a " + rule * n + " b"):
+            assert enc.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_bpe_words_around_the_longest_tokens(reference):
+    enc, rng = bpe.encoder(), random.Random(8)
+    long = [t.decode() for t in enc.ranks if len(t) > 20]
+    for t in long:
+        for text in (t + t, t + t[: len(t) // 2], t[1:] + t, "x" + t + "y", t + rng.choice(long), rng.choice(long) + t[:-1]):
+            assert enc.encode(text).tolist() == reference.encode_ordinary(text)
+
+
 TEXTS = [(1, None), (2, ""), (3, "The end's near."), (3, "The end's near."), (4, "日本語 <|endoftext|> é"), (None, "x"), (5, "many words " * 3000)]
 
 
