@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare word n-grams seed, Smith-Waterman decides.
+"""Benchmark decontamination: word n-grams seed, Smith-Waterman decides.
 
-Pass 1 counts in how many documents each n-gram of a benchmark item occurs. An n-gram is a rare seed unless it is found
-in far more documents than is usual for its item, so the n-grams of a passage that is everywhere stay seeds and chance
-runs of common words do not. Pass 2 finds the rare seeds again and cuts out windows of words around them; the windows
-are joined to the items by seed, and each pair is scored by local alignment on words: `MATCH` for equal words, less
-`MISMATCH` and `GAP` for edits, over the score of the whole item, so 1.0 is a verbatim copy.
+Every n-gram of a benchmark item is a seed, however many documents hold it: one that is everywhere may be all that edits
+have left of a passage that is everywhere. One pass over the text finds the seeds and cuts out windows of words around
+them; the windows are joined to the items by seed. A pair scores by local alignment on words: `MATCH` for equal words,
+less `MISMATCH` and `GAP` for edits, over the score of the whole item, so 1.0 is a verbatim copy. A score of `threshold`
+takes that share of the item's words at least, so pairs with fewer of them in the window, as chance seeds leave, are not aligned.
 
 The corpus is only ever filtered against a Bloom filter of bounded size; which seed belongs to which item is an ordinary
 join, whatever the size of the benchmark. Words are compared in lower case without ASCII punctuation.
@@ -30,8 +30,6 @@ from ._shingles import shingle_sequences
 
 #: Words of a seed. Short, so that a copy in which every fifth word was edited still has some.
 SEED_WORDS = 3
-#: A seed is rare in up to so many documents, or so many times the median of its item's n-grams.
-RARE_DOCS, RARE_TIMES = 8, 4
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Chance alignments of common words reach a third on the tables here; half an item, or all of it with a third of its words edited, counts.
 THRESHOLD = 0.5
@@ -98,19 +96,6 @@ def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
     return made.withColumn("item", F.monotonically_increasing_id())
 
 
-def _found_seeds(docs: DataFrame, plane: np.ndarray, seed_words: int) -> DataFrame:
-    """(h) once for each document and n-gram that may be a seed."""
-    shared = docs.sparkSession.sparkContext.broadcast(plane)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [np.unique(s[_bloom.contains(shared.value, s)]) for s in shingle_sequences([plain(t) for t in b.column(0).to_pylist()], seed_words)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], names=["h"])
-
-    return map_arrow(docs.select("text"), run, "h long")
-
-
 def _windows(docs: DataFrame, plane: np.ndarray, seed_words: int, around: int) -> DataFrame:
     """(doc_id, start, words, h, at): runs of words that reach `around` words past the seeds in them."""
     shared = docs.sparkSession.sparkContext.broadcast(plane)
@@ -147,17 +132,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     if not size:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
     plane = _bloom.build(seeds, _bloom.segments_for(size))
-    df = _found_seeds(texts, plane, seed_words).groupBy("h").agg(F.count("*").alias("df"))
-    counted = materialise(seeds.join(df, "h", "left").fillna(0, ["df"]), "seeds")
-    usual = counted.groupBy("item").agg(F.percentile("df", 0.5).alias("usual"))
-    rare = counted.join(usual, "item").where(F.col("df") <= F.greatest(F.lit(RARE_DOCS), RARE_TIMES * F.col("usual"))).where("df > 0")
-    rare = materialise(rare.select("item", "h", "at"), "rare_seeds")
-
-    plane = _bloom.build(rare, _bloom.segments_for(size))
     windows = _windows(texts, plane, seed_words, longest + seed_words).withColumn("window", F.monotonically_increasing_id())
     windows = materialise(windows, "windows")
     hit = windows.select("window", F.explode(F.arrays_zip("h", "at")).alias("s")).select("window", "s.h", F.col("s.at").alias("here"))
-    pairs = hit.join(rare, "h").groupBy("window", "item").agg(
+    pairs = hit.join(seeds, "h").groupBy("window", "item").agg(
         F.min(F.col("here") - F.col("at")).alias("low"), F.max(F.col("here") - F.col("at")).alias("high")
     )
     pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(
@@ -166,7 +144,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     # the part of the window that the item can reach, with as much room for insertions as it is long
     first = F.greatest(F.lit(0), F.col("low") - F.col("n"))
     part = F.slice(F.split("words", " "), first + 1, F.col("high") + 2 * F.col("n") + seed_words - first)
-    cut = pairs.select("doc_id", "item_id", "wanted", F.array_join(part, " ").alias("part"))
+    cut = pairs.select("doc_id", "item_id", "wanted", part.alias("part"))
+    wanted = F.split("wanted", " ")
+    enough = F.size(F.filter(wanted, lambda w: F.array_contains("part", w))) >= threshold * F.size(wanted) - 1e-9
+    cut = cut.where(enough).withColumn("part", F.array_join("part", " "))
     scored = map_arrow(cut, _scores, "doc_id long, item_id long, score double")
     return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 

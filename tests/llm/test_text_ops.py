@@ -200,6 +200,18 @@ def test_decontamination_finds_copies_edits_and_nothing_else(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("verbatim", "edited"), [(0, 9), (0, 300), (3, 20), (40, 200)])
+def test_decontamination_finds_one_edit_in_many_documents(spark, verbatim, edited):
+    item = [f"w{i}" for i in range(20)]
+    copy = [f"new{i}" if i % 5 == 4 else w for i, w in enumerate(item)]
+    texts = [["before", *item, "after"]] * verbatim + [["before", *copy, "after"]] * edited + [["before", *item[:3], "after"]] * 50
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.score for r in decontaminate.find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert set(got) == set(range(verbatim + edited))
+    for d, score in got.items():
+        assert score == pytest.approx(slow_align(item, texts[d]) / (2 * len(item)))
+
+
 def test_quote_parsing():
     own, passages = chat_quotes.parse("> > a\n> > b\n> c\nmine\n>> d\n\nlast")
     assert own == "mine\n\nlast" and passages == [(2, "a\nb"), (1, "c"), (2, "d")]
