@@ -1,16 +1,18 @@
 """Chat formatting by quotation linking.
 
 Messages quote what they answer, as lines behind one `>` per level. Each message is parsed into its own lines and its
-quoted passages; a passage of level 1 is what the direct parent wrote itself. Normalised passages and messages are hashed
-and joined: a quote belongs to the first earlier message of its own conversation with those words, or else to the first
-in the whole table. Following parents by pointer doubling gives each message its thread and its depth, by which a
+quoted passages; a passage of level 1 is what the direct parent wrote itself. All passages and their paragraphs and lines
+are normalised, hashed and joined to messages and the runs, paragraphs and lines of messages: a quote belongs to the first
+earlier message of its own conversation with those words, or else to the first in the whole table. Of the matches of a
+message the parent is the one of lowest level; then whole passages come before parts of them, the own conversation before
+others, whole messages before parts, longer parts before shorter, and later passages before earlier. Following parents by pointer doubling gives each message its thread and its depth, by which a
 conversation can be read in reply order, without quotes.
 
 All steps are equi-joins against one row per key, so a text that thousands of messages share or a conversation with a
 third of all rows makes no more rows than there are messages.
 
 Defined cases: a null or empty text is an empty message that nobody can quote; a quote that matches nothing leaves its
-message a root; rows without conv_id or turn are left out; of repeated (conv_id, turn) rows all stay and share a place;
+message a root, as does one whose only passages of level 1 have no words (the parent is an empty message); rows without conv_id or turn are left out; of repeated (conv_id, turn) rows all stay and share a place;
 an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -46,6 +48,37 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own), [(k, "\n".join(x)) for k, x in passages]
 
 
+def parts(text: str) -> list[str]:
+    """The paragraphs and lines of a text, each once and none equal to the text."""
+    found = dict.fromkeys(p.strip() for p in [*re.split(r"\n\s*\n", text), *text.split("\n")])
+    return [p for p in found if p and p != text.strip()]
+
+
+def own_parts(text: str | None) -> list[str]:
+    """What can be quoted of a message besides all of it: its own lines between two quotes, and their parts."""
+    runs = [[]]
+    for line in (text or "").split("\n"):
+        if _MARKS.match(line):
+            runs.append([])
+        else:
+            runs[-1].append(line)
+    texts = ["\n".join(r).strip() for r in runs]
+    found = dict.fromkeys(p for t in texts for p in (t, *parts(t)) if p)
+    return list(found)
+
+
+def quotes(passages: list[tuple[int, str]]) -> list[tuple[int, int, int, str]]:
+    """(level, 1 for a part of a passage, place from the end, text) of what may be found; no deeper level behind an empty one."""
+    first = [x for k, x in passages if k == 1]
+    if first and not any(x.strip() for x in first):
+        return []
+    out = [(1, 0, 0, "\n".join(first))] if len(first) > 1 else []  # what a message with quotes in it wrote itself
+    for i, (k, x) in enumerate(passages):
+        out.append((k, 0, len(passages) - i, x))
+        out += [(k, 1, len(passages) - i, p) for p in parts(x)]
+    return out
+
+
 def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "\\s+", " "))
 
@@ -57,41 +90,59 @@ def _key(text: Column) -> Column:
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (own), quoted (level 1), n_quotes, levels."""
+    """conv_id, turn, role, text (own), own_parts, quoted (all that `quotes` gives), n_quotes, levels."""
+    quote = pa.struct([("level", pa.int32()), ("piece", pa.int32()), ("back", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, quoted, count, levels = [], [], [], []
+            own, pieces, quoted, count, levels = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 text, passages = parse(t)
                 own.append(text)
-                quoted.append(next((p for k, p in reversed(passages) if k == 1), None))
+                pieces.append(own_parts(t))
+                quoted.append([dict(zip(quote.names, q, strict=True)) for q in quotes(passages)])
                 count.append(len(passages))
                 levels.append(max((k for k, _ in passages), default=0))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array(own, pa.string()), pa.array(quoted, pa.string()), pa.array(count, pa.int32()), pa.array(levels, pa.int32())],
-                names=["conv_id", "turn", "role", "text", "quoted", "n_quotes", "levels"],
+                [*b.columns[:3], pa.array(own, pa.string()), pa.array(pieces, pa.list_(pa.string())), pa.array(quoted, pa.list_(quote)), pa.array(count, pa.int32()), pa.array(levels, pa.int32())],
+                names=["conv_id", "turn", "role", "text", "own_parts", "quoted", "n_quotes", "levels"],
             )
 
     some = messages.where("conv_id is not null and turn is not null").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     )
-    return map_arrow(some, run, "conv_id long, turn long, role string, text string, quoted string, n_quotes int, levels int")
+    return map_arrow(some, run, "conv_id long, turn long, role string, text string, own_parts array<string>, quoted array<struct<level:int,piece:int,back:int,words:string>>, n_quotes int, levels int")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_conv, parent_turn, thread_conv, thread_turn, depth, n_quotes, levels, text."""
-    parsed = parsed_messages(messages).withColumn("own_key", _key(F.col("text"))).withColumn("quote_key", _key(F.col("quoted")))
-    parsed = materialise(parsed.drop("quoted"), "messages")
-    origin = parsed.where("own_key is not null").select("conv_id", "turn", F.col("own_key").alias("quote_key"))
-    here = origin.groupBy("conv_id", "quote_key").agg(F.min("turn").alias("here"))
-    first = origin.groupBy("quote_key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    parsed = materialise(parsed_messages(messages), "messages")
+    whole = parsed.select("conv_id", "turn", F.lit(0).alias("partial"), F.col("text").alias("words"))
+    some = parsed.select("conv_id", "turn", F.lit(1).alias("partial"), F.explode("own_parts").alias("words"))
+    origin = whole.unionByName(some).select("conv_id", "turn", "partial", _key(F.col("words")).alias("quote_key")).where("quote_key is not null")
+    here = origin.groupBy("conv_id", "quote_key", "partial").agg(F.min("turn").alias("turn"))
+    first = here.groupBy("quote_key", "partial").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    # whole messages before parts, in one row for each key
+    here = here.groupBy("conv_id", "quote_key").agg(*[F.min(F.when(F.col("partial") == p, F.col("turn"))).alias(f"here{p}") for p in (0, 1)])
+    first = first.groupBy("quote_key").agg(*[F.min(F.when(F.col("partial") == p, F.col("first"))).alias(f"first{p}") for p in (0, 1)])
+    asked = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
+        "conv_id", "turn", "q.level", "q.piece", "q.back", F.length("q.words").alias("size"), _key(F.col("q.words")).alias("quote_key")
+    )
     # a message's place; repeated rows share it
-    asked = parsed.where("quote_key is not null").groupBy("conv_id", "turn").agg(F.min("quote_key").alias("quote_key"))
+    asked = asked.where("quote_key is not null").distinct()
     linked = asked.join(here, ["conv_id", "quote_key"], "left").join(first, "quote_key", "left")
     place = F.struct("conv_id", "turn")
-    parent = F.when(F.col("here") < F.col("turn"), F.struct("conv_id", F.col("here").alias("turn"))).when(F.col("first") < place, F.col("first"))
-    links = materialise(linked.select("conv_id", "turn", parent.alias("parent")).where("parent is not null"), "reply_links")
+
+    def found(far: int, partial: int) -> Column:
+        at = F.col(f"first{partial}") if far else F.struct("conv_id", F.col(f"here{partial}").alias("turn"))
+        earlier = F.col(f"first{partial}") < place if far else F.col(f"here{partial}") < F.col("turn")
+        length = F.when(F.col("piece") == 1, -F.col("size")).otherwise(0)
+        rank = F.struct("level", "piece", F.lit(far).alias("far"), F.lit(partial).alias("partial"), length.alias("length"), "back", at.alias("at"))
+        return F.when(earlier, rank)
+
+    best = F.coalesce(*[found(far, partial) for far in (0, 1) for partial in (0, 1)])
+    links = linked.select("conv_id", "turn", best.alias("best")).groupBy("conv_id", "turn").agg(F.min("best").alias("best"))
+    links = materialise(links.where("best is not null").select("conv_id", "turn", F.col("best.at").alias("parent")), "reply_links")
 
     # pointer doubling: `up` is an ancestor `depth` steps away. A message is settled when `up` is a root or settled itself
     # at its root, and takes no further part; parents come earlier, so this ends after log2 of the longest thread.
@@ -110,7 +161,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         if moving.isEmpty():
             break
     jump = settled
-    out = parsed.join(links.join(jump.select("conv_id", "turn", "up", "depth"), ["conv_id", "turn"]), ["conv_id", "turn"], "left")
+    out = parsed.drop("own_parts", "quoted").join(links.join(jump.select("conv_id", "turn", "up", "depth"), ["conv_id", "turn"]), ["conv_id", "turn"], "left")
     return out.select(
         "conv_id", "turn", "role", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"),
         F.coalesce("up.conv_id", "conv_id").alias("thread_conv"), F.coalesce("up.turn", "turn").alias("thread_turn"),

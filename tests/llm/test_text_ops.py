@@ -232,6 +232,21 @@ def test_quotes_link_to_originals(spark):
     assert chat_quotes.link_quotes(df).count() == 9 and chat_quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_of_parts_of_messages(spark):
+    texts = [
+        (1, 0, "First paragraph\ngoes on.\n\nSecond one here.\nAnd a last line."), (1, 1, "> Second one here.\nA reply to a line"), (1, 2, "> first paragraph\n> goes on.\nA reply to a paragraph"),
+        (1, 3, "> A reply to a line\nyes\nindeed\n> nobody wrote this\nno"), (1, 4, "> > A reply to a line\n> yes\n> indeed\n> > nobody wrote this\n> no\nall of it"),
+        (1, 5, "> > A reply to a line\n> yes\n> indeed\nonly the first"), (1, 6, "> > only the first\n> lost message\nby the grandparent"), (1, 7, "> goes on.\n>\n> Second one here.\nover a border"),
+        (1, 8, "> > only the first\n> \nan empty parent"), (2, 0, "> And a last line.\nfrom afar"), (2, 1, "yes"), (2, 2, "> yes\nok"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df).collect()}
+    none = (None, None)
+    assert got == {
+        (1, 0): none, (1, 1): (1, 0), (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 3), (1, 5): (1, 3), (1, 6): (1, 5), (1, 7): (1, 0), (1, 8): none, (2, 0): (1, 0), (2, 1): none, (2, 2): (2, 1),
+    }
+
+
 def test_quotes_of_a_long_thread_come_back(spark):
     rows = [(1, t, "user", f"message number {t}") for t in range(70)]
     df = chat_quotes.with_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
