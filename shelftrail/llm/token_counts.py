@@ -28,6 +28,8 @@ from ._common import fresh_path, materialise
 END_OF_DOCUMENT = 50256
 BLOCK_BYTES = 1 << 20
 DOCUMENTS_PER_FILE = 50_000
+#: What the size of a scan's splits follows, by default the cores of the moment.
+SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k.tiktoken") -> None:
@@ -91,19 +93,28 @@ def document_token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tikto
     """(doc_id, n_tokens) for every row of `docs`, through token files in the shared folder.
 
     A file's n-th document is the n-th row of the partition that wrote it, so `docs` must be a plain scan or a written
-    table, whose partitions hold the same rows in the same order each time; counts per partition are compared.
+    table, whose partitions hold the same rows in the same order each time. The places of the doc_ids are written down
+    under the same number of splits as the tokens, whatever executors come or go, and each place must have its count.
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "tokens")
-    write_token_files(docs, path, vocabulary)
+    row = F.monotonically_increasing_id()
+    order = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
+    was = spark.conf.get(SPLITS, None)
+    if was is None:  # else Spark takes the cores that are there when it plans
+        spark.conf.set(SPLITS, str(spark.sparkContext.defaultParallelism))
+    try:
+        write_token_files(docs, path, vocabulary)
+        order = materialise(order, "token_order")
+    finally:
+        if was is None:
+            spark.conf.unset(SPLITS)
     found = materialise(count_tokens(spark, path), "token_counts")
     names = F.regexp_extract("path", r"part-(\d+)-[^/]*?(?:-c(\d+))?[^/]*$", 1).cast("int")
     files = found.groupBy("path").agg(F.count("*").alias("docs")).withColumn("part", names)
     earlier = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     files = files.withColumn("first", F.coalesce(F.sum("docs").over(earlier), F.lit(0)))
     placed = found.join(files.select("path", "part", "first"), "path").select("part", (F.col("first") + F.col("ordinal")).alias("at"), "n_tokens")
-    row = F.monotonically_increasing_id()
-    order = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
     rows = order.groupBy("part").count().join(files.groupBy("part").agg(F.sum("docs").alias("docs")), "part", "full")
     if not rows.where("not (count <=> docs)").isEmpty():
         raise RuntimeError("token files and documents differ in their numbers of rows; docs must be a plain scan")

@@ -113,6 +113,20 @@ def test_token_counts_rows(spark, reference, tmp_path):
     assert token_counts.document_token_counts(spark.read.parquet(str(tmp_path / "e"))).count() == 0
 
 
+def test_token_counts_stand_when_cores_change(spark, reference, tmp_path):
+    texts = [(i, "word " * (i % 17)) for i in range(400)]
+    spark.createDataFrame(texts, SCHEMA).repartition(8).write.parquet(str(tmp_path / "d"))
+    counts = token_counts.document_token_counts(spark.read.parquet(str(tmp_path / "d")))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # what more or fewer executors do to a scan's splits
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = sorted((r.doc_id, r.n_tokens) for r in counts.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert got == [(i, len(reference.encode_ordinary(t))) for i, t in texts]
+
+
 def brute_license(text):
     words = license_scan.words_of(text or "")
     found, places = set(), []
