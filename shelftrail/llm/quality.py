@@ -132,10 +132,9 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
     """`docs` without the documents that score below `threshold`, all columns kept."""
     scored, model, posteriors, mean = _scored(docs, labels, fit_rows)
     score = sigmoid(F.col("odds") + logit(F.col("path_posterior")) - logit(F.lit(mean)))
-    if posteriors.count() > BROADCAST_PATHS:
-        low = scored.join(posteriors, ["source", "lang"]).where(score < threshold).select("doc_id").distinct()
-        return docs.join(low, "doc_id", "left_anti").select(*docs.columns)
+    if posteriors.count() <= BROADCAST_PATHS:
+        posteriors = F.broadcast(posteriors)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     again = with_features(docs, [row, "text", _place("source").alias("source"), _place("lang").alias("lang")])
-    again = again.withColumn("odds", linear("features", model)).join(F.broadcast(posteriors), ["source", "lang"])
+    again = again.withColumn("odds", linear("features", model)).join(posteriors, ["source", "lang"])
     return again.where(score >= threshold).select("row.*")

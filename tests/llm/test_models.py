@@ -67,6 +67,17 @@ def test_quality_separates_and_keeps_columns(spark, made):
         quality.BROADCAST_PATHS = by_ids
 
 
+@pytest.mark.parametrize("shared", [None, 10**9])
+def test_quality_judges_rows_alike_beyond_the_path_bound(spark, made, monkeypatch, shared):
+    docs, labels, _ = made
+    docs = docs.withColumn("doc_id", F.when(F.length("text") % 2 == 0, F.lit(shared)).otherwise(F.col("doc_id")).cast("long"))
+    columns = ["doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text")]
+    want = sorted(map(str, quality.drop_low_quality(docs, labels).select(*columns).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_PATHS", 0)
+    got = sorted(map(str, quality.drop_low_quality(docs, labels).select(*columns).collect()))
+    assert got == want and 0 < len(got) < docs.count()
+
+
 def test_quality_posteriors_shrink_by_size(spark):
     rows = [("big", "en", 0.9)] * 900 + [("big", "de", 0.5)] * 300 + [("tiny", "en", 0.1)] * 2 + [(f"h{i}", "en", 0.2 + 0.6 * (i % 2)) for i in range(40) for _ in range(50)]
     posteriors, mean = quality.path_posteriors(spark.createDataFrame(rows, "source string, lang string, p double"))
