@@ -49,13 +49,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by `materialise` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """Written tables that only the steps of one operator read; `clear` deletes them once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+
+
+def carried(docs: DataFrame) -> list[Column]:
+    """The columns of `docs` as they are, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
@@ -72,6 +87,11 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def hash_pair(key: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a key. The second starts from another seed; a seed behind the key would only hash the first again."""
+    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
+
+
 def ascii_lower_key(text: Column) -> Column:
     """A string that is equal for two texts exactly when they are equal after lower-casing A-Z alone.
 

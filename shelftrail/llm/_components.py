@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_table, materialise
+from ._common import Scratch, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,24 +19,26 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of `links` (a long, b long); a component is its smallest node."""
+    """(node, component) for every node of `links` (a long, b long), a written table; a component is its smallest node."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    edges = materialise(edges, "links")
+    last = Scratch(links.sparkSession)
+    edges = last.write(edges, "links")
     state = _state(edges)
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = materialise(large, "links")
+        large = last.write(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        small = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        drop_table(large)
-        now = _state(small)
-        drop_table(edges)
-        edges = small
+        step = Scratch(links.sparkSession)
+        edges = step.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last.clear()
+        last, now = step, _state(edges)
         if now == state:
             break
         state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    last.clear()
+    return out

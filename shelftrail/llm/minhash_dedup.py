@@ -8,18 +8,21 @@ are joined on equality; every link is confirmed on the full shingle sets.
 Nothing forms all pairs of a bucket. Documents with equal sets are one class from the start. In a bucket each member
 is first compared with one centre, components of the confirmed links are found, and this is repeated with new centres.
 Members of buckets that still hold more than one component are then joined exactly by prefix filter: two sets that
-are similar enough share one of their rarest shingles, as many as the threshold leaves room for. Only members outside a
-shingle's largest component look for partners there, so no link that could join two components is left out and a large
-group of copies is never held against itself.
+are similar enough share one of their rarest shingles, as many as the threshold leaves room for. The place of a shingle in
+a set says up to which size a partner can still be similar enough, so the smaller set of a pair is filed under its shingle
+and each size class that is left, and the larger one looks only there: texts on one template that are less alike than the
+threshold meet at no key, however many they are. Only members outside a shingle's largest component look for partners, so
+no link that could join two components is left out and a large group of copies is never held against itself.
 
 Defined cases: a null or empty text has an empty set and links with nothing, not even other empty texts; a text with
 fewer words than a shingle is one shingle; rows that share a doc_id are one document; a null doc_id is its own,
 unlinked document; an empty table gives an empty result; other columns are ignored by `near_components` and carried by
-`drop_near_copies`.
+`drop_near_copies`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
-from ._common import materialise
+from ..shipping import in_pieces, map_arrow
+from ._common import Scratch, carried, materialise
 from ._components import connected_components
 from ._shingles import mix, shingle_sets
 
@@ -37,6 +40,8 @@ CIRCLE = 1 << CIRCLE_BITS
 #: At similarity 0.8 all bands miss a pair with probability (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, ROWS = 40, 5
 CENTRE_ROUNDS = 2
+#: Classes of set sizes between a size and the largest that may still be similar to it.
+SIZE_CLASSES = 4
 
 _ranks: dict[int, np.ndarray] = {}
 
@@ -69,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle_words: int, bands: int, rows: int) ->
     """doc_id, n (set size), fa and fb (128 bits of the set), keys (one per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, 1):
             n, fa, fb, keys = [], [], [], []
             for s in shingle_sets(b.column(1).to_pylist(), shingle_words):
                 n.append(len(s))
@@ -93,7 +98,7 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(rep, s): sorted distinct shingle hashes as little-endian bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, 1):
             sets = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), shingle_words)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "s"])
 
@@ -149,7 +154,7 @@ def _centre_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
 _FITS = "100 * least(n, n2) >= {0} * greatest(n, n2)"
 
 
-def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of different components among `members` (rep, comp, n) that can be similar enough, by exact prefix filter."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,35 +165,46 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(c.take(same) for c in b.columns[:3]), pa.array(h)], names=["rep", "comp", "n", "h"])
 
     whole = members.join(sets, "rep").select("rep", "comp", "n", "s")
-    shingles = materialise(map_arrow(whole, spread, "rep long, comp long, n long, h long"), "shingles")
+    shingles = scratch.write(map_arrow(whole, spread, "rep long, comp long, n long, h long"), "shingles")
     common = shingles.groupBy("h").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     # shingles of one document or component sort first and join nothing, but they use up prefix places
     ranked = shingles.join(common, "h").groupBy("rep", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", (F.col("x") < F.col("y")).alias("shared")))).alias("s"))
     size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     prefix = ranked.select("rep", "comp", "n", F.posexplode(F.slice("s", 1, size.cast("int"))).alias("at", "t"))
-    prefix = materialise(prefix.where("t.shared").select("rep", "comp", "n", "at", "t.h"), "prefixes")
+    # sets of sizes n and m need percent / (100 + percent) * (n + m) shingles in common, all from the first common one on
+    reach = F.expr(f"least(({100 + percent} * (n - at)) div {percent} - n, (100 * n) div {percent})")
+    prefix = prefix.where("t.shared").select("rep", "comp", "n", "t.h", reach.alias("reach")).where(f"100 * reach >= {percent} * n")
+    prefix = scratch.write(prefix, "prefixes")
     largest = prefix.groupBy("h", "comp").count().groupBy("h").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"), F.count("*").alias("comps"))
     largest = largest.where("comps > 1").select("h", "largest")
-    those = prefix.join(largest, "h")
-    seekers = those.where("comp <> largest").drop("largest")
-    others = those.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "at")])
-    # what is left behind the shared shingle on both sides must suffice for the overlap that is needed
-    enough = f"1 + least(n - at, n2 - at2) - 1 >= ceil({percent} * (n + n2) / {100 + percent})"
-    return _pairs(seekers.join(others, "h").where(f"comp <> comp2 and {_FITS.format(percent)} and {enough}"))
+    those = prefix.join(largest, "h").withColumn("seeks", F.col("comp") != F.col("largest")).drop("largest")
+
+    def size_class(n: str) -> F.Column:
+        return F.floor(F.log(F.col(n).cast("double")) * (SIZE_CLASSES / math.log(100 / percent))).cast("int")
+
+    larger = those.withColumn("class", size_class("n"))
+    smaller = those.where("reach >= n").withColumn("class", F.explode(F.sequence(size_class("n"), size_class("reach"))))
+    smaller = smaller.select("h", "class", *[F.col(c).alias(f"{c}2") for c in ("rep", "comp", "n", "reach", "seeks")])
+    fits = "comp <> comp2 and n2 <= n and n <= reach2 and n2 <= reach and (n2 < n or rep2 < rep)"
+    asked = larger.where("seeks").join(smaller, ["h", "class"]).where(fits)
+    answered = larger.where("not seeks").join(smaller.where("seeks2"), ["h", "class"]).where(fits)
+    return _pairs(asked.unionByName(answered))
 
 
 def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id."""
-    prints = materialise(fingerprints(docs, shingle_words, bands, rows), "prints")
+    """One row per row of `docs`: doc_id, n_shingles, component_id; a written table, all tables behind it are deleted."""
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.write(fingerprints(docs, shingle_words, bands, rows), "prints")
     classes = prints.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n").agg(
         F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys")
     )
-    classes = materialise(classes, "classes")
+    classes = scratch.write(classes, "classes")
     members = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = materialise(members.join(shared, "key"), "buckets")
+    buckets = scratch.write(members.join(shared, "key"), "buckets")
     active = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id", "left_semi"), shingle_words), "sets")
+    some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(active, "doc_id", "left_semi")
+    sets = scratch.write(_sets(some, shingle_words), "sets")
 
     tested = links = component = None
     for turn in range(CENTRE_ROUNDS + 1):
@@ -196,22 +212,24 @@ def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, ban
         if turn < CENTRE_ROUNDS:
             pairs = _centre_pairs(open_, turn, percent)
         else:
-            left = materialise(open_.groupBy("rep").agg(F.min("comp").alias("comp"), F.min("n").alias("n")), "left")
-            pairs = _prefix_pairs(left, sets, percent)
+            left = scratch.write(open_.groupBy("rep").agg(F.min("comp").alias("comp"), F.min("n").alias("n")), "left")
+            pairs = _prefix_pairs(left, sets, percent, scratch)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+        pairs = scratch.write(pairs, "pairs")
         if not pairs.isEmpty():
-            found = materialise(_confirmed(pairs, sets, percent), "found")
+            found = scratch.write(_confirmed(pairs, sets, percent), "found")
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = found if links is None else links.unionByName(found)
-            component = materialise(connected_components(links), "components")
+            component = connected_components(links)
 
     out = prints.select("doc_id", "n", "fa", "fb").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"], "left")
     if component is not None:
         out = out.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")), "near_classes")
+    scratch.clear()
+    return out
 
 
 def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -223,4 +241,4 @@ def near_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """`docs` without the documents that are not the smallest of their component."""
     gone = near_classes(docs, shingle_words, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*carried(docs))
