@@ -1,9 +1,10 @@
 """Line dedup across documents with DataFrame functions only.
 
-Every line's key (ends stripped, A-Z lower-cased) is hashed to 128 bits. Each document's distinct keys are exploded
-once and aggregated to the smallest and largest doc_id that hold them: a key is repeated when these differ, so no
-distinct count needs a second shuffle and a key on every page is combined before it moves. The repeated keys go
-back to their documents by hash, and the text is put together again from the line array by position.
+Lines are exploded with their positions; a line's key (ends stripped, A-Z lower-cased) is hashed twice, to 128 bits in
+all. Distinct (key, document) pairs are counted per key, each step combined before it moves, so a line on every page is
+one row per task. Keys of `least_docs` documents or more keep their lines in the smallest doc_id that holds them; the
+positions of all others go back to their documents, whose text is put together again from the runs of lines between them.
+Only hashes and positions are exploded and shuffled, and each text moves once, whole.
 
 Defined cases: a null or empty text is one empty line; keys shorter than `min_chars` never count; rows with the same
 doc_id are one document, whose rows all keep their lines; a row without a doc_id keeps all its lines and holds none
@@ -15,41 +16,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CHARS, ascii_lower_key, materialise, whole_text
+from ._common import SPACE_CHARS, ascii_lower_key, hash_pair, materialise, whole_text
 
 MIN_CHARS = 10
+#: A key is repeated from so many documents on.
+LEAST_DOCS = 2
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key_hash(line: Column) -> Column:
-    """Two independent 64-bit hashes of the key."""
-    key = ascii_lower_key(F.btrim(line, F.lit(SPACE_CHARS)))
-    return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(key, F.lit(1)).alias("b"))
+def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, text_hash, pos, a, b): place and key hashes of each line that counts; a row is known by its id and text."""
+    texts = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text"))
+    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    keys = lines.select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("key")).where(F.char_length("key") >= min_chars)
+    a, b = hash_pair(ascii_lower_key(F.col("key")))
+    return keys.select("doc_id", "text_hash", "pos", a.alias("a"), b.alias("b"))
 
 
-def _counts(line: Column, min_chars: int) -> Column:
-    return F.char_length(F.btrim(line, F.lit(SPACE_CHARS))) >= min_chars
+def repeated_keys(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(a, b, n_docs, first_id) of the keys that at least `least_docs` documents hold."""
+    held = lines.select("a", "b", "doc_id").distinct()
+    counted = held.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_id"))
+    return counted.where(F.col("n_docs") >= least_docs)
 
 
-def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, k) for every repeated key of a document that is not the smallest one holding it."""
-    keys = F.array_distinct(F.transform(F.filter(_lines(whole_text()), lambda x: _counts(x, min_chars)), _key_hash))
-    held = docs.where("doc_id is not null").select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.a", "k.b")
-    held = materialise(held, "line_keys")
-    first = held.groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    first = first.where("first_id < last_id").drop("last_id")
-    return held.join(first, ["a", "b"]).where("doc_id > first_id").select("doc_id", F.struct("a", "b").alias("k"))
+def _without(lines: Column, gone: Column) -> Column:
+    """The runs of lines between the sorted places in `gone`."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
+    ends = F.concat(gone, F.array(F.size(lines)))
+    runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"] < r["b"])
+    return F.flatten(F.transform(runs, lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """One row per row of `docs`: `doc_id, n_lines, n_dropped, text` with the dropped lines left out."""
-    drops = repeated_keys(docs, min_chars).groupBy("doc_id").agg(F.collect_set("k").alias("drops"))
-    lines = docs.select("doc_id", whole_text().alias("text")).join(drops, "doc_id", "left").select("doc_id", _lines(F.col("text")).alias("lines"), "drops")
-    kept = F.when(F.col("drops").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda x: ~(_counts(x, min_chars) & F.array_contains("drops", _key_hash(x))))
+    lines = materialise(keyed_lines(docs, min_chars), "line_keys")
+    drops = lines.join(repeated_keys(lines, least_docs).select("a", "b", "first_id"), ["a", "b"]).where("doc_id > first_id")
+    drops = drops.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    texts = docs.select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    cut = texts.join(drops, ["doc_id", "text_hash"], "left").select("doc_id", "text", _lines(F.col("text")).alias("lines"), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(_without(F.col("lines"), F.col("gone")), "\n"))
+    return cut.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("text")
     )
-    out = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
