@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import in_pieces, map_arrow
 
 #: Pieces of up to this many characters are encoded whole.
 LEAF_CHARS = 1024
@@ -41,8 +41,10 @@ LEAF_CHARS = 1024
 LONG_BYTES = 256
 #: "'re" can become one match only when all three characters are there, and white space looks one further.
 REACH = 3
-#: Encoded pre-tokens that a worker remembers.
-REMEMBERED = 300_000
+#: Bytes, about, that a worker spends on the encoded pre-tokens it remembers, and as many again on pairs of ids.
+REMEMBERED_BYTES = 24 << 20
+#: What an entry takes besides its characters and ids, and what a pair takes.
+TOKEN_BYTES, PAIR_BYTES = 190, 160
 
 #: Letters, numbers and white space up to U+00FF, and with them the split pattern of the rank files for such texts.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
@@ -71,6 +73,7 @@ class BytePairEncoder:
         for piece, i in ranks.items():
             self.bytes_of[i] = piece
         self.known: dict[str, tuple[int, ...]] = {}
+        self.known_bytes = 0
         self.checked: dict[tuple[int, int], bool] = {}
         #: The most bytes of a token, by its first two.
         self.longest: dict[bytes, int] = {}
@@ -80,13 +83,16 @@ class BytePairEncoder:
     # -- bytes of one pre-token
 
     def _search(self, piece: bytes) -> list[int]:
-        """Ids of which each two neighbours are valid, longest tokens tried first: there is just one such sequence."""
+        """Ids of which each two neighbours are valid, longest tokens tried first: there is just one such sequence.
+
+        So has every beginning of the piece, and a place from which nothing led on is never tried again.
+        """
         out, starts, at, get, checked, longest, n = [], [], 0, self.ranks.get, self.checked, self.longest.get, len(piece)
-        end = min(n, longest(piece[:2], 1))
+        end, dead = min(n, longest(piece[:2], 1)), set()
         while at < n:
             last = out[-1] if out else None
             while end > at:
-                token = get(piece[at:end])
+                token = get(piece[at:end]) if end not in dead else None
                 if token is not None:
                     if last is None:
                         break
@@ -99,10 +105,13 @@ class BytePairEncoder:
                 starts.append(at)
                 at = end
                 end = min(n, at + longest(piece[at : at + 2], 1))
-            else:  # nothing fits behind the last token: a shorter one in its place
+            elif out:  # nothing fits behind the last token: a shorter one in its place
+                dead.add(at)
                 out.pop()
                 end = at - 1
                 at = starts.pop()
+            else:  # ranks that no merges made
+                return self._merge(piece, search=False)
         return out
 
     def valid(self, a: int, b: int) -> bool:
@@ -110,7 +119,7 @@ class BytePairEncoder:
         good = self.checked.get((a, b))
         if good is None:
             good = self._merge(self.bytes_of[a] + self.bytes_of[b], search=False) == [a, b]
-            if len(self.checked) >= REMEMBERED:
+            if len(self.checked) * PAIR_BYTES >= REMEMBERED_BYTES:
                 self.checked.clear()
             self.checked[a, b] = good
         return good
@@ -159,9 +168,11 @@ class BytePairEncoder:
         if ids is None:
             ids = tuple(self.encode_piece(token.encode("utf-8")))
             if len(token) <= 64:
-                if len(self.known) >= REMEMBERED:
+                if self.known_bytes >= REMEMBERED_BYTES:
                     self.known.clear()
+                    self.known_bytes = 0
                 self.known[token] = ids
+                self.known_bytes += TOKEN_BYTES + len(token) + 8 * len(ids)
         return ids
 
     # -- pre-tokens of a text; an encoding is the list of them
@@ -241,7 +252,7 @@ def per_text(docs: DataFrame, columns: list[str], schema: str, make: Callable[[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
-        for b in batches:
+        for b in in_pieces(batches):
             made = [make(t or "") for t in b.column(0).to_pylist()]
             out = [pa.array(list(x)) for x in zip(*made, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *out], names=[*columns, *names])
