@@ -1,17 +1,20 @@
 """Benchmark decontamination: word n-grams seed, Smith-Waterman decides.
 
 Every n-gram of a benchmark item is a seed, however many documents hold it: one that is everywhere may be all that edits
-have left of a passage that is everywhere. One pass over the text finds the seeds and cuts out windows of words around
-them; the windows are joined to the items by seed. A pair scores by local alignment on words: `MATCH` for equal words,
-less `MISMATCH` and `GAP` for edits, over the score of the whole item, so 1.0 is a verbatim copy. A score of `threshold`
-takes that share of the item's words at least, so pairs with fewer of them in the window, as chance seeds leave, are not aligned.
-
-The corpus is only ever filtered against a Bloom filter of bounded size; which seed belongs to which item is an ordinary
+have left of a passage that is everywhere. Where seeds are rare they cost nothing, and a common one makes a candidate
+only where enough of its item's words stand around it. One pass over the text finds the seeds and cuts out windows of
+words around them, as wide as the items of the seed's length class are long; the windows are joined to the items by
+seed, items of equal words as one. A pair scores by local alignment on words: `MATCH` for equal words, less `MISMATCH`
+and `GAP` for edits, over the score of the whole item, so 1.0 is a verbatim copy. A score of `threshold` takes that share
+of the item's words at least, so pairs with fewer of them in the window, as chance seeds leave, are not aligned.
+
+The corpus is only ever filtered against Bloom filters of bounded size; which seed belongs to which item is an ordinary
 join, whatever the size of the benchmark. Words are compared in lower case without ASCII punctuation.
 
 Defined cases: null texts are empty and neither leak nor are leaked; items of fewer words than a seed are not searched
 for; repeated items are reported each; repeated documents are one per doc_id; rows without an id are left out; an empty
-table on either side gives an empty result; other columns are ignored by `find_leaks` and carried by `drop_leaks`.
+table on either side gives an empty result; other columns are ignored by `find_leaks` and carried by `drop_leaks`,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import in_pieces, map_arrow
 from . import _bloom
-from ._common import materialise
+from ._common import Scratch, carried, materialise
 from ._shingles import shingle_sequences
 
 #: Words of a seed. Short, so that a copy in which every fifth word was edited still has some.
@@ -34,6 +37,8 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 #: Chance alignments of common words reach a third on the tables here; half an item, or all of it with a third of its words edited, counts.
 THRESHOLD = 0.5
 ALIGNED_TOGETHER = 64
+#: Items are classed by length: up to this many words, up to this many times more, and so on.
+CLASS_WORDS = 32
 
 _SPACED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -62,7 +67,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in in_pieces(batches, 3):
         pairs = [(i, x.split(), y.split()) for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))]
         pairs.sort(key=lambda p: (len(p[2]), len(p[1])))
         score = np.zeros(len(pairs))
@@ -72,14 +77,14 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = align([number(x) for _, x, _ in part], [number(y) for _, _, y in part])
             for (i, x, _), s in zip(part, got.tolist(), strict=True):
                 score[i] = s / (MATCH * len(x))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["doc_id", "item_id", "score"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["doc_id", "item", "score"])
 
 
 def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
-    """(item, item_id, words, h, at): each n-gram of each item with its place; `item` tells repeated rows apart."""
+    """(item_id, words, h, at): each n-gram of each item with its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
             out = {"item_id": [], "words": [], "h": [], "at": []}
             for i, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
@@ -92,67 +97,78 @@ def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
 
     some = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    made = map_arrow(some, run, "item_id long, words string, h array<long>, at array<int>")
-    return made.withColumn("item", F.monotonically_increasing_id())
+    return map_arrow(some, run, "item_id long, words string, h array<long>, at array<int>")
 
 
-def _windows(docs: DataFrame, plane: np.ndarray, seed_words: int, around: int) -> DataFrame:
-    """(doc_id, start, words, h, at): runs of words that reach `around` words past the seeds in them."""
-    shared = docs.sparkSession.sparkContext.broadcast(plane)
+def _windows(docs: DataFrame, planes: list[tuple[int, np.ndarray]], seed_words: int) -> DataFrame:
+    """(doc_id, words, h, at): runs of words around seeds. planes: how many words items of a class reach, and their seeds."""
+    shared = docs.sparkSession.sparkContext.broadcast(planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
-        for b in batches:
+        schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+        for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
             out = {f.name: [] for f in schema}
             for doc_id, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
-                at = np.flatnonzero(_bloom.contains(shared.value, s))
+                reach = np.zeros(len(s), np.int64)
+                for around, plane in shared.value:  # from the shortest items to the longest
+                    reach[_bloom.contains(plane, s)] = around
+                at = np.flatnonzero(reach)
                 if not len(at):
                     continue
-                words = t.split()
-                for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * around) + 1):
-                    start = max(0, int(part[0]) - around)
+                words, reach = t.split(), reach[at]
+                ends = np.maximum.accumulate(at + seed_words + reach)
+                first = np.minimum.accumulate((at - reach)[::-1])[::-1]  # a later seed may reach further back
+                for part in np.split(np.arange(len(at)), np.flatnonzero(first[1:] > ends[:-1]) + 1):
+                    start = max(0, int(first[part[0]]))
                     out["doc_id"].append(doc_id)
-                    out["start"].append(start)
-                    out["words"].append(b" ".join(words[start : int(part[-1]) + seed_words + around]).decode("utf-8"))
-                    out["h"].append(s[part].view(np.int64).tolist())
-                    out["at"].append((part - start).tolist())
+                    out["words"].append(b" ".join(words[start : int(ends[part[-1]])]).decode("utf-8"))
+                    out["h"].append(s[at[part]].view(np.int64).tolist())
+                    out["at"].append((at[part] - start).tolist())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(some, run, "doc_id long, start long, words string, h array<long>, at array<int>")
+    return map_arrow(some, run, "doc_id long, words string, h array<long>, at array<int>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
-    """(doc_id, item_id, score) for every document and item with a passage that scores `threshold` or more."""
+    """(doc_id, item_id, score) for every document and item with a passage that scores `threshold` or more; a written table."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    items = materialise(item_seeds(benchmark, seed_words), "items")
-    seeds = items.select("item", F.explode(F.arrays_zip("h", "at")).alias("s")).select("item", "s.h", "s.at")
-    size, longest = items.agg(F.sum(F.size("h")), F.max(F.size("h"))).first()
-    if not size:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
-    plane = _bloom.build(seeds, _bloom.segments_for(size))
-    windows = _windows(texts, plane, seed_words, longest + seed_words).withColumn("window", F.monotonically_increasing_id())
-    windows = materialise(windows, "windows")
+    named = scratch.write(item_seeds(benchmark, seed_words), "items")
+    items = named.groupBy("words").agg(F.min("item_id").alias("item"), F.first("h").alias("h"), F.first("at").alias("at"))
+    kind = F.ceil(F.greatest(F.lit(0.0), F.log2(F.size("h") / CLASS_WORDS)) / 2).cast("int")  # each class is up to four times as long
+    items = scratch.write(items.withColumns({"n": F.size("h"), "kind": kind}), "item_classes")
+    seeds = items.select("item", "kind", F.explode(F.arrays_zip("h", "at")).alias("s")).select("item", "kind", "s.h", "s.at")
+    kinds = items.groupBy("kind").agg(F.sum("n").alias("seeds"), F.max("n").alias("longest")).orderBy("kind").collect()  # one row per power of four
+    if not kinds:
+        scratch.clear()
+        return spark.createDataFrame([], "doc_id long, item_id long, score double")
+    most = _bloom.MAX_BITS // len(kinds)
+    planes = [(k.longest + seed_words, _bloom.build(seeds.where(F.col("kind") == k.kind), _bloom.segments_for(k.seeds, most))) for k in kinds]
+    windows = scratch.write(_windows(texts, planes, seed_words).withColumn("window", F.monotonically_increasing_id()), "windows")
     hit = windows.select("window", F.explode(F.arrays_zip("h", "at")).alias("s")).select("window", "s.h", F.col("s.at").alias("here"))
     pairs = hit.join(seeds, "h").groupBy("window", "item").agg(
         F.min(F.col("here") - F.col("at")).alias("low"), F.max(F.col("here") - F.col("at")).alias("high")
     )
-    pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(
-        items.select("item", "item_id", F.col("words").alias("wanted"), F.size("h").alias("n")), "item"
-    )
+    pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(items.select("item", F.col("words").alias("wanted"), "n"), "item")
     # the part of the window that the item can reach, with as much room for insertions as it is long
     first = F.greatest(F.lit(0), F.col("low") - F.col("n"))
     part = F.slice(F.split("words", " "), first + 1, F.col("high") + 2 * F.col("n") + seed_words - first)
-    cut = pairs.select("doc_id", "item_id", "wanted", part.alias("part"))
+    cut = pairs.select("doc_id", "item", "wanted", part.alias("part"))
     wanted = F.split("wanted", " ")
     enough = F.size(F.filter(wanted, lambda w: F.array_contains("part", w))) >= threshold * F.size(wanted) - 1e-9
     cut = cut.where(enough).withColumn("part", F.array_join("part", " "))
-    scored = map_arrow(cut, _scores, "doc_id long, item_id long, score double")
-    return scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    scored = map_arrow(cut, _scores, "doc_id long, item long, score double")
+    best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item").agg(F.max("score").alias("score"))
+    same = named.select("item_id", "words").join(items.select("words", "item"), "words").select("item", "item_id").distinct()
+    out = materialise(best.join(same, "item").select("doc_id", "item_id", "score"), "leaks")
+    scratch.clear()
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage, all columns kept."""
     leaked = find_leaks(docs, benchmark, threshold).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaked, "doc_id", "left_anti").select(*carried(docs))
