@@ -2,14 +2,16 @@
 
 Messages quote what they answer, as lines behind one `>` per level. Each message is parsed into its own lines and its
 quoted passages; a passage of level 1 is what the direct parent wrote itself. All passages and their paragraphs and lines
-are normalised, hashed and joined to messages and the runs, paragraphs and lines of messages: a quote belongs to the first
+are normalised, hashed and joined to messages and the runs, paragraphs and lines of messages: a quote belongs to the latest
 earlier message of its own conversation with those words, or else to the first in the whole table. Of the matches of a
 message the parent is the one of lowest level; then whole passages come before parts of them, the own conversation before
-others, whole messages before parts, longer parts before shorter, and later passages before earlier. Following parents by pointer doubling gives each message its thread and its depth, by which a
-conversation can be read in reply order, without quotes.
+others, whole messages before parts, longer parts before shorter, and later passages before earlier. Following parents by
+pointer doubling gives each message its thread and its depth, by which a conversation can be read in reply order, without
+quotes.
 
 All steps are equi-joins against one row per key, so a text that thousands of messages share or a conversation with a
-third of all rows makes no more rows than there are messages.
+third of all rows makes no more rows than there are messages. The latest earlier turn is looked up in chunks of
+`CHUNK_TURNS` turns: a key's turns within a chunk are one short array, and each chunk knows the last turn before it.
 
 Defined cases: a null or empty text is an empty message that nobody can quote; a quote that matches nothing leaves its
 message a root, as does one whose only passages of level 1 have no words (the parent is an empty message); rows without conv_id or turn are left out; of repeated (conv_id, turn) rows all stay and share a place;
@@ -22,12 +24,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
-from ._common import materialise
+from ..shipping import in_pieces, map_arrow
+from ._common import hash_pair, materialise
 
+#: A power of two: 2 ** CHUNK_BITS turns of one conversation are a chunk.
+CHUNK_BITS = 10
+CHUNK_TURNS = 1 << CHUNK_BITS
 _MARKS = re.compile(r"^((?:> ?)+)(.*)$", re.S)
 
 
@@ -86,7 +91,8 @@ def normalised(text: Column) -> Column:
 def _key(text: Column) -> Column:
     """Two 64-bit hashes of the normalised words; null when there are none."""
     words = normalised(text)
-    return F.when(words != "", F.struct(F.xxhash64(words).alias("a"), F.xxhash64(words, F.lit(1)).alias("b")))
+    a, b = hash_pair(words)
+    return F.when(words != "", F.struct(a.alias("a"), b.alias("b")))
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
     quote = pa.struct([("level", pa.int32()), ("piece", pa.int32()), ("back", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches, 3):
             own, pieces, quoted, count, levels = [], [], [], [], []
             for t in b.column(3).to_pylist():
                 text, passages = parse(t)
@@ -114,6 +120,22 @@ def parsed_messages(messages: DataFrame) -> DataFrame:
     return map_arrow(some, run, "conv_id long, turn long, role string, text string, own_parts array<string>, quoted array<struct<level:int,piece:int,back:int,words:string>>, n_quotes int, levels int")
 
 
+def earlier_turns(origin: DataFrame, asked: DataFrame) -> DataFrame:
+    """`asked` (conv_id, turn, quote_key, ...) with before0 and before1: the latest earlier turn of the conversation with
+    that key, of whole messages and of parts, from `origin` (conv_id, turn, partial, quote_key)."""
+    key, chunk = ["conv_id", "quote_key"], F.shiftright("turn", CHUNK_BITS).alias("chunk")
+    turns = origin.groupBy(*key, chunk).agg(*[F.sort_array(F.collect_set(F.when(F.col("partial") == p, F.col("turn")))).alias(f"turns{p}") for p in (0, 1)])
+    sought = asked.select(*key, chunk).distinct().join(turns, [*key, "chunk"], "full_outer")
+    earlier = Window.partitionBy(*key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sought = sought.withColumns({f"last{p}": F.last(F.array_max(f"turns{p}"), ignorenulls=True).over(earlier) for p in (0, 1)})
+    found = asked.withColumn("chunk", F.shiftright("turn", CHUNK_BITS)).join(sought, [*key, "chunk"], "left")
+
+    def before(p: int) -> Column:
+        return F.coalesce(F.array_max(F.filter(f"turns{p}", lambda t: t < F.col("turn"))), F.col(f"last{p}"))
+
+    return found.select(*asked.columns, *[before(p).alias(f"before{p}") for p in (0, 1)])
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_conv, parent_turn, thread_conv, thread_turn, depth, n_quotes, levels, text."""
     parsed = materialise(parsed_messages(messages), "messages")
@@ -123,19 +145,18 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     here = origin.groupBy("conv_id", "quote_key", "partial").agg(F.min("turn").alias("turn"))
     first = here.groupBy("quote_key", "partial").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     # whole messages before parts, in one row for each key
-    here = here.groupBy("conv_id", "quote_key").agg(*[F.min(F.when(F.col("partial") == p, F.col("turn"))).alias(f"here{p}") for p in (0, 1)])
     first = first.groupBy("quote_key").agg(*[F.min(F.when(F.col("partial") == p, F.col("first"))).alias(f"first{p}") for p in (0, 1)])
     asked = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
         "conv_id", "turn", "q.level", "q.piece", "q.back", F.length("q.words").alias("size"), _key(F.col("q.words")).alias("quote_key")
     )
     # a message's place; repeated rows share it
     asked = asked.where("quote_key is not null").distinct()
-    linked = asked.join(here, ["conv_id", "quote_key"], "left").join(first, "quote_key", "left")
+    linked = earlier_turns(origin, asked).join(first, "quote_key", "left")
     place = F.struct("conv_id", "turn")
 
     def found(far: int, partial: int) -> Column:
-        at = F.col(f"first{partial}") if far else F.struct("conv_id", F.col(f"here{partial}").alias("turn"))
-        earlier = F.col(f"first{partial}") < place if far else F.col(f"here{partial}") < F.col("turn")
+        at = F.col(f"first{partial}") if far else F.struct("conv_id", F.col(f"before{partial}").alias("turn"))
+        earlier = F.col(f"first{partial}") < place if far else F.col(f"before{partial}").isNotNull()
         length = F.when(F.col("piece") == 1, -F.col("size")).otherwise(0)
         rank = F.struct("level", "piece", F.lit(far).alias("far"), F.lit(partial).alias("partial"), length.alias("length"), "back", at.alias("at"))
         return F.when(earlier, rank)

@@ -64,32 +64,37 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _SEPARATORS = license_scan.SEPARATORS
 _VALUES = lambda pairs: ", ".join(f"('{label}', {words})" for label, words in pairs)
 _PHRASES = _VALUES((label, phrase.split()) for phrase, label in license_scan.PHRASES.items())
-_NOTICES = _VALUES((label, sorted(set(license_scan.words_of(t)))) for label, texts in license_scan.TEMPLATES.items() for t in texts)
+_NOTICES = ", ".join(
+    f"('{label}', '{label}/{i}', {sorted(set(license_scan.words_of(t)))}, {license_scan.needed(len(set(license_scan.words_of(t))), license_scan.THRESHOLD)}, {license_scan.span(t)})"
+    for label, texts in license_scan.TEMPLATES.items() for i, t in enumerate(texts)
+)
 
 ORACLE_SQL = {
     "op7_license_scan": rf"""
 WITH d AS (
-  SELECT doc_id, lower(coalesce(text, '')) AS text FROM documents
+  SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS text FROM documents
 ), w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(text, '{_SEPARATORS}'), lambda x: x <> '') AS w FROM d
 ), places AS (
   SELECT doc_id, i - 1 AS place, label FROM w, unnest(range(1, len(w) + 1)) AS t(i), (VALUES {_PHRASES}) AS p(label, words) WHERE w[i : i + len(words) - 1] = words
 ), base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1
-), lines AS (
-  SELECT doc_id, i, list_distinct(regexp_split_to_array(l[i], '{_SEPARATORS}')) AS tokens
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) AS t(i)
-), hits AS (
-  SELECT doc_id, i, label, len(list_intersect(tokens, words)) / len(words) AS c FROM lines, (VALUES {_NOTICES}) AS n(label, words)
-  WHERE len(list_intersect(tokens, words)) >= {license_scan.THRESHOLD} * len(words) - 1e-9
+), notices AS (
+  SELECT * FROM (VALUES {_NOTICES}) AS n(label, notice, words, need, span)
+), spots AS (
+  SELECT doc_id, i, w[i] AS token, label, notice, len(words) AS n, need, span
+  FROM w, unnest(range(1, len(w) + 1)) AS t(i) JOIN (SELECT *, unnest(words) AS token FROM notices) ON token = w[i]
 ), blocks AS (
-  SELECT doc_id, max(c) AS best, count(DISTINCT i) AS n_blocks FROM hits GROUP BY 1
+  SELECT a.doc_id, a.label, a.notice, a.i, count(DISTINCT b.token) / any_value(a.n) AS c
+  FROM spots a JOIN spots b ON a.doc_id = b.doc_id AND a.notice = b.notice AND b.i >= a.i AND b.i < a.i + a.span GROUP BY ALL HAVING count(DISTINCT b.token) >= any_value(a.need)
+), best AS (
+  SELECT doc_id, max(c) AS best FROM blocks GROUP BY 1
 ), names AS (
-  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM hits) GROUP BY 1
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM blocks) GROUP BY 1
 )
 SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, coalesce(n_blocks, 0) AS n_blocks
-FROM w LEFT JOIN base USING (doc_id) LEFT JOIN blocks USING (doc_id) LEFT JOIN names USING (doc_id)""",
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN names USING (doc_id)""",
     "op2_minhash_dedup": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '{_SPACE}+'), lambda x: x <> '') AS w FROM documents
@@ -131,7 +136,7 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS k FROM conversations
 ), p AS (
   SELECT m.conv_id, m.turn, m.role, m.text, q.turn IS NOT NULL AS quotes1, r.turn IS NOT NULL AND q.turn IS NOT NULL AS quotes2,
-         (SELECT min(o.turn) FROM m o WHERE o.conv_id = m.conv_id AND o.k = q.k AND q.k <> '') AS parent_turn
+         (SELECT max(o.turn) FROM m o WHERE o.conv_id = m.conv_id AND o.k = q.k AND q.k <> '' AND o.turn < m.turn) AS parent_turn
   FROM m LEFT JOIN m q ON q.conv_id = m.conv_id AND q.turn = m.turn - 1 LEFT JOIN m r ON r.conv_id = m.conv_id AND r.turn = m.turn - 2
 ), d AS (
   SELECT conv_id, turn, turn AS thread_turn, 0 AS depth FROM p WHERE parent_turn IS NULL
