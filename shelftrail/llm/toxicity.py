@@ -1,15 +1,19 @@
 """Toxicity by weak supervision.
 
-Voters say toxic (+1), clean (-1) or nothing (0): a fixed word list, lexicons and word-stem lists induced from labelled
-rows, and patterns over their hits. A generative label model learns how far each voter can be trusted without labels:
-from the second moments of the votes over all training rows, a voter's accuracy is the median over triplets of voters
+Voters say toxic (+1), clean (-1) or nothing (0). Four need no labels and read different things: a fixed word list, the
+same words behind changed spellings (digits and signs for letters, letters drawn out), hostile phrases, and somebody
+addressed with a word that follows a form of "you are" and an article. The others are lexicons and word-stem lists
+induced from labelled rows, and patterns over the hits. A generative label model learns how far each voter can be trusted
+without labels: from the second moments of the votes over all training rows, a voter's accuracy is the median over triplets of voters
 of sqrt(E_ij E_ik / E_jk), and what a pair agrees on beyond the product of their accuracies is their correlation, by
 which both lose weight. The posterior of the votes is the label on which a linear classifier over hit counts is trained.
 
 No label of a held-out row (crc32 of doc_id as text, modulo 5, is 0) is read, and no score uses labels, lang, source or
 doc_id. Lexicons and classifier are fitted on bounded samples of training rows; moments are summed over all of them.
 
-Defined cases: a null or empty text has no hits and is scored as such; without labels only the fixed list votes; of
+Near copies in the sample of labelled rows, told by the smallest hashes of their words, count as one row there.
+
+Defined cases: a null or empty text has no hits and is scored as such; without labels only the fixed voters vote; of
 repeated labels the largest counts and null labels none; a null doc_id is held out; repeated rows are scored each for
 themselves; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import in_pieces, map_arrow
 from ._common import hash_sample, materialise
 from ._linear import fit_logistic, linear, sigmoid
 
@@ -40,9 +44,49 @@ SUPPORT, SHARE, PRECISION = 6, 0.01, 0.95
 LEXICON = 5_000
 #: Lengths of stems, and how many distinct words of a text on one stem are told apart.
 STEMS, SHARING = (3, 4, 5, 6, 7), 3
+#: Texts with the same so many smallest word hashes are near copies.
+ALIKE = 4
 PARTS = 4
-INSULTS = "clown disgusting idiot imbecile loser moron pathetic scum stupid trash worthless".split()
+#: Fixed values of the voters without labels, chosen here: insults of four languages, hostile phrases, who is addressed how.
+INSULTS = [
+    "clown", "disgusting", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless",
+    "abschaum", "dummkopf", "trottel", "vollidiot", "abruti", "connard", "crétin", "imbécile", "basura", "estúpido", "idiota", "imbécil", "inútil",
+]
+HOSTILE = ["shut up", "go to hell", "get lost", "hate you", "kill yourself", "drop dead", "halt die klappe", "ta gueule", "ferme la", "cállate", "vete a la mierda"]
+ADDRESSED = r"(?:you are|you're|you|du bist|tu es|vous êtes|eres) (?:such )?(?:a|an|ein|eine|un|une|una) (?:total |complete |absolute )?([^\W\d_]+)"
+SIGNS = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W\d_]+")
+_SIGNED = re.compile(r"[\d@$!*]")
+_DRAWN = re.compile(r"([^\W\d_])\1\1")
+_EDGE = "\"'().,:;!?-"
+#: Changed spellings are looked for in words of up to so many characters.
+SPELLED_CHARS = 24
+_HOSTILE = re.compile("|".join(rf"\b{p}\b" for p in HOSTILE))
+_ADDRESSED = re.compile(ADDRESSED)
+#: Voters without labels.
+FIXED = 4
+
+
+def _spelled(text: str) -> int:
+    """Different words that become an insult when signs are read as letters and drawn-out letters as one."""
+    found, drawn = 0, _DRAWN.search(text) is not None
+    for token in set(text.split()):
+        if len(token) > SPELLED_CHARS or token.isalpha() and not drawn:
+            continue
+        w = token.strip(_EDGE)
+        if _SIGNED.search(w) and not w.isdigit():
+            if "*" in w:
+                like = re.compile(".".join(map(re.escape, w.split("*"))))
+                found += 2 * w.count("*") <= len(w) and any(map(like.fullmatch, INSULTS))
+            else:
+                found += w.translate(SIGNS) in _INSULTS
+        elif drawn and _DRAWN.search(w):
+            found += re.sub(r"(\w)\1+", r"\1", w) in _SHORT
+    return found
+
+
+_INSULTS = frozenset(INSULTS)
+_SHORT = frozenset(re.sub(r"(\w)\1+", r"\1", w) for w in INSULTS)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -86,21 +130,25 @@ def _induce(sample: DataFrame) -> list[tuple[str, int]]:
 
 
 class Voters:
-    """Which lexicons a text hits. Terms are dealt over `PARTS` word lists and as many stem lists, so they can disagree."""
+    """Which lists a text hits. Induced terms are dealt over `PARTS` word lists and as many stem lists, so they can disagree."""
 
     def __init__(self, induced: list[tuple[str, int]]):
         self.list_of: dict[str, int] = {w: 0 for w in INSULTS}
         for rank, (term, _) in enumerate(induced):
             if term not in self.list_of:
-                self.list_of[term] = 1 + rank % PARTS + PARTS * term.endswith("~")
+                self.list_of[term] = FIXED + rank % PARTS + PARTS * term.endswith("~")
         self.stems = {t.rstrip("~") for t in self.list_of if t.endswith("~")}
 
     def hits(self, text: str | None) -> list[int]:
-        words, known = _words(text), self.stems
+        low = (text or "").lower()
+        words, known = set(_WORD.findall(low)), self.stems
         stems = Counter(s for w in words for k in STEMS if len(w) > k and (s := w[:k]) in known)
-        found = [0] * (1 + 2 * PARTS)
+        found = [0] * (FIXED + 2 * PARTS)
         for t in self.list_of.keys() & words:
             found[self.list_of[t]] += 1
+        found[1] = _spelled(low)
+        found[2] = len(_HOSTILE.findall(low))
+        found[3] = sum(w in _INSULTS or w in self.list_of for w in _ADDRESSED.findall(low))
         for s, most in stems.items():
             for n in range(1, min(most, SHARING) + 1):
                 if (i := self.list_of.get(s + "~" * n)) is not None:
@@ -108,22 +156,23 @@ class Voters:
         return [*found, len(words)]
 
 
-#: Order of the votes: a vote of each list, then the patterns.
-N_VOTES = 1 + 2 * PARTS + 4
+#: Hit counts before the number of words, and votes: one of each list, then the patterns.
+N_LISTS = FIXED + 2 * PARTS
+N_VOTES = N_LISTS + 4
 
 
 def votes(h: Column) -> Column:
     """Votes from the hit counts. Lists can only say toxic; patterns over all of them also say clean."""
-    lists = [F.when(h[i] > 0, 1).otherwise(0) for i in range(1 + 2 * PARTS)]
-    total = sum((h[i] for i in range(1, 1 + 2 * PARTS)), h[0])
-    kinds = sum((F.when(h[i] > 0, 1).otherwise(0) for i in range(1, 1 + 2 * PARTS)), F.when(h[0] > 0, 1).otherwise(0))
-    stems = sum((h[i] for i in range(2 + PARTS, 1 + 2 * PARTS)), h[1 + PARTS])
-    words = sum((h[i] for i in range(1, 1 + PARTS)), h[0])
+    lists = [F.when(h[i] > 0, 1).otherwise(0) for i in range(N_LISTS)]
+    add = lambda some: sum(some[1:], some[0])
+    total, kinds = add([h[i] for i in range(N_LISTS)]), add(lists)
+    words = add([h[i] for i in [*range(FIXED), *range(FIXED, FIXED + PARTS)]])
+    stems = add([h[i] for i in range(FIXED + PARTS, N_LISTS)])
     patterns = [
         F.when(words > 0, 1).otherwise(-1),
         F.when(stems > 0, 1).otherwise(-1),
         F.when(kinds >= 2, 1).otherwise(-1),
-        F.when(total * 200 > h[1 + 2 * PARTS], 1).when(total == 0, -1).otherwise(0),
+        F.when(total * 200 > h[N_LISTS], 1).when(total == 0, -1).otherwise(0),
     ]
     return F.array(*lists, *patterns)
 
@@ -153,23 +202,24 @@ def label_model(moments: np.ndarray, means: np.ndarray, prior: float) -> tuple[f
     return float(np.log(prior / (1 - prior)) - weight @ (toxic + clean) / 2), weight
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per row of `docs`: doc_id, held_out, score, predicted."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, induce: bool = True) -> DataFrame:
+    """One row per row of `docs`: doc_id, held_out, score, predicted. Without `induce` only the fixed voters vote."""
     spark = docs.sparkSession
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     known = known.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("toxic"))
     parts = [hash_sample(known.where(f"toxic = {x}"), "doc_id", n) for x, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = materialise(parts[0].unionByName(parts[1]), "chosen")  # at most TOXIC_ROWS + CLEAN_ROWS
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    opening = F.xxhash64(F.slice(F.split(F.col("text"), " ", 9), 1, 8))  # near copies would count as support
-    sample = materialise(texts.withColumn("opening", opening).dropDuplicates(["opening", "toxic"]).select("text", "toxic"), "sample")
+    hashes = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w))))
+    alike = texts.withColumn("alike", F.slice(hashes, 1, ALIKE)).groupBy("alike", "toxic")  # near copies would count as support
+    sample = materialise(alike.agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "sample")
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = min(0.5, max(0.01, n.get(1, 0) / max(1, sum(n.values()))))
 
-    voters = spark.sparkContext.broadcast(Voters(_induce(sample)))
+    voters = spark.sparkContext.broadcast(Voters(_induce(sample) if induce else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_pieces(batches):
             hits = [voters.value.hits(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(hits, pa.list_(pa.int32()))], names=["doc_id", "h"])
 
@@ -189,13 +239,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
         moments[i, j] = moments[j, i] = (x or 0) / total
     intercept, weight = label_model(moments, means, prior)
 
-    words = F.col("h")[1 + 2 * PARTS] + 1
-    counts = [F.log1p(F.col("h")[i].cast("double")) for i in range(1 + 2 * PARTS)]
-    density = sum((F.col("h")[i] for i in range(1, 1 + 2 * PARTS)), F.col("h")[0]) / words
-    featured = hit.withColumn("features", F.array(*counts, density, *[F.col("v")[i].cast("double") for i in range(1 + 2 * PARTS, N_VOTES)]))
+    words = F.col("h")[N_LISTS] + 1
+    counts = [F.log1p(F.col("h")[i].cast("double")) for i in range(N_LISTS)]
+    density = sum((F.col("h")[i] for i in range(1, N_LISTS)), F.col("h")[0]) / words
+    featured = hit.withColumn("features", F.array(*counts, density, *[F.col("v")[i].cast("double") for i in range(N_LISTS, N_VOTES)]))
     posterior = sigmoid(F.lit(intercept) + sum((F.col("v")[i] * float(weight[i]) for i in range(1, N_VOTES)), F.col("v")[0] * float(weight[0])))
     fit = hash_sample(featured.where("not held_out"), "doc_id", fit_rows).select("features", posterior.alias("p")).toPandas()
-    x = np.array(fit["features"].tolist(), float).reshape(len(fit), 2 + 2 * PARTS + N_VOTES - (1 + 2 * PARTS))
+    x = np.array(fit["features"].tolist(), float).reshape(len(fit), 1 + N_VOTES)
     model = fit_logistic(x, fit["p"].to_numpy(float))
     out = featured.select("doc_id", "held_out", sigmoid(linear("features", model)).alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

@@ -1,6 +1,7 @@
 """Quality, toxicity and the pipeline: held-out accuracy, defined cases, and the stages one after another."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -109,6 +110,37 @@ def test_toxicity_on_held_out_rows(spark, made):
     assert (known.predicted == known.doc_id.map(truth)).mean() > 0.97
 
 
+def test_toxicity_by_fixed_voters_alone(spark, made):
+    docs, labels, rows = made
+    got = toxicity.score_toxicity(docs, labels, induce=False).toPandas()
+    truth = {r[0]: not {"idiot", "moron", "scum"}.isdisjoint(re.findall("[a-z]+", (r[1] or "").lower())) for r in rows}
+    known = got[(got.doc_id < 9000) & got.held_out]
+    toxic = known.doc_id.map(truth)
+    assert (known.predicted == toxic).mean() > 0.97 and known[toxic].predicted.mean() > 0.9
+
+
+def test_toxicity_voters_read_spellings_phrases_and_addresses():
+    hits = lambda x: toxicity.Voters([]).hits(x)[: toxicity.FIXED]
+    assert hits("you st*pid, 1d10t!!! moooron") == [0, 3, 0, 0] and hits("You are such a clown") == [1, 0, 0, 1]
+    assert hits("Shut up. Ta gueule!") == [0, 0, 2, 0] and hits("10% of $5 are 2000!! $***$ **** 42") == [0, 0, 0, 0]
+    assert hits(None) == hits("") == [0, 0, 0, 0] and hits("x" * 100_000 + "1") == [0, 0, 0, 0]
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    """A hot source that begins all texts alike still gives support; copies of one text do not."""
+    head = "one header of the source in eight words "
+    rng = random.Random(3)
+    say = lambda: " ".join("".join(rng.choice("aeinrst") for _ in range(5)) for _ in range(30))
+    docs = [(i, head + say() + (" grolk" if i % 2 else ""), int(i % 2)) for i in range(200)]
+    copy = "zugzug " + say()
+    docs += [(1000 + i, copy + f" {i}", 1) for i in range(200)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, x) for i, _, x in docs], "doc_id long, quality int, toxic int")
+    clean = spark.createDataFrame([(5000, "grolk alone"), (5001, "zugzug alone"), (5002, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df.unionByName(clean), labels).where("doc_id >= 5000").collect()}
+    assert got == {5000: 1, 5001: 0, 5002: 0}
+
+
 def test_toxicity_does_not_read_held_out_labels(spark, made):
     docs, labels, _ = made
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))

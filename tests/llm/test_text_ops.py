@@ -72,6 +72,34 @@ def test_bpe_words_around_the_longest_tokens(reference):
             assert enc.encode(text).tolist() == reference.encode_ordinary(text)
 
 
+def test_bpe_runs_of_every_long_token(reference):
+    enc, rng = bpe.encoder(), random.Random(9)
+    long = [t for t in enc.ranks if len(t) > 24]
+    assert len(long) > 20
+    for sign in {t.decode()[-1] for t in long}:
+        for n in range(1, 301):
+            assert enc.encode(sign * n).tolist() == reference.encode_ordinary(sign * n)
+    for t in (t.decode() for t in long):
+        for text in (t + t, "a" + t + "b", t + t[:-1] + "x"):
+            assert enc.encode(text).tolist() == reference.encode_ordinary(text)
+    for _ in range(300):
+        text = "".join(rng.choice(["-", "=", "_", "*", "a", " ", "\u00a0"]) * rng.randint(1, 70) for _ in range(6))
+        assert enc.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_bpe_search_ends_when_ranks_do_not_fit():
+    enc = bpe.BytePairEncoder({bytes([i]): i for i in range(256)} | {b"aba": 300}, public_tokenizers.PATTERN)
+    assert enc.encode("aab").tolist() == [97, 97, 98] and enc.encode("ababab").tolist() == list(b"ababab")
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 50_000)
+    enc = bpe.BytePairEncoder(bpe.encoder().ranks, public_tokenizers.PATTERN)
+    for i in range(3000):
+        enc.encode(f"q{i}w{i * 7919}z")
+    assert len(enc.known) * bpe.TOKEN_BYTES < 60_000 and len(enc.checked) * bpe.PAIR_BYTES < 60_000
+
+
 TEXTS = [(1, None), (2, ""), (3, "The end's near."), (3, "The end's near."), (4, "日本語 <|endoftext|> é"), (None, "x"), (5, "many words " * 3000)]
 
 
@@ -103,6 +131,30 @@ def test_token_files_by_any_block_size(spark, tmp_path):
         assert by == {"a.bin": lengths, "b.bin": [2, 3], "c.bin": []}
 
 
+def test_token_files_of_four_bytes_over_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "TASK_BYTES", 1 << 12)
+    rng, end = random.Random(2), 70_000
+    lengths = [rng.choice([0, 3, 40, 900]) for _ in range(200)]
+    flat = np.concatenate([np.append(np.array([rng.choice([0, 1, 4464, 65_536, 69_999]) for _ in range(n)]), end) for n in lengths])
+    (tmp_path / "a b.bin").write_bytes(flat.astype("<u4").tobytes())
+    whole = tmp_path / "a b.bin"
+    assert token_counts.scan_blocks(spark, str(tmp_path), end, 64).select("block").distinct().count() == -(-whole.stat().st_size // 64)
+    assert token_counts.scan_blocks(spark, str(tmp_path), end, 64).rdd.getNumPartitions() > 20
+    got = token_counts.count_tokens(spark, str(tmp_path), 64, end).orderBy("ordinal").collect()
+    assert [r.n_tokens for r in got] == lengths
+    monkeypatch.setattr(token_counts, "_opens", lambda path: False)  # a store that only Spark reads
+    assert [r.n_tokens for r in token_counts.count_tokens(spark, str(tmp_path), 64, end).orderBy("ordinal").collect()] == lengths
+
+
+def test_token_files_in_many_records(spark, reference, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "RECORD_BYTES", 64)
+    monkeypatch.setattr(token_counts, "RECORDS_PER_FILE", 2)
+    texts = [(i, "word " * (i % 40)) for i in range(3000)]
+    spark.createDataFrame(texts, SCHEMA).repartition(2).write.parquet(str(tmp_path / "d"))
+    got = sorted((r.doc_id, r.n_tokens) for r in token_counts.document_token_counts(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert got == [(i, len(reference.encode_ordinary(t))) for i, t in texts]
+
+
 def test_token_counts_rows(spark, reference, tmp_path):
     df = spark.createDataFrame(TEXTS, SCHEMA).withColumns({"part": F.lit(1), "at": F.lit(2), "path": F.lit("p")}).repartition(3)
     df.write.parquet(str(tmp_path / "d"))
@@ -136,18 +188,30 @@ def brute_license(text):
         places += at
         found |= {label} if at else set()
     base, best = sorted(found), 1.0 if found else 0.0
-    for line in (text or "").split("\n"):
-        have = set(license_scan.words_of(line))
-        for label, notices in license_scan.TEMPLATES.items():
-            for n in notices:
-                want = set(license_scan.words_of(n))
-                share = len(have & want) / len(want)
-                if len(have & want) >= license_scan.THRESHOLD * len(want) - 1e-9:
-                    found.add(label)
-                    best = max(best, share)
+    for label, notices in license_scan.TEMPLATES.items():
+        for n in notices:
+            want, size = set(license_scan.words_of(n)), license_scan.span(n)
+            share = max((len(want & set(words[i : i + size])) for i in range(len(words))), default=0) / len(want)
+            if share >= license_scan.THRESHOLD - 1e-9:
+                found.add(label)
+                best = max(best, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(found)), round(best, 9)
 
 
+def test_license_notices_are_found_however_wrapped(spark):
+    texts, want = [], []
+    for label, notices in license_scan.TEMPLATES.items():
+        for n in notices:
+            words = n.split()
+            for at in range(1, len(words)):
+                texts.append("# Head\n#\n# " + " ".join(words[:at]) + "\n#   " + " ".join(words[at:]) + "\n\ncode")
+                want.append(label)
+            texts += ["\n".join(words), "\n * ".join(["/*", *words])]
+            want += [label, label]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame([*enumerate(texts)], SCHEMA)).collect()}
+    assert all(label in got[i] for i, label in enumerate(want))
+
+
 def test_license_scan_matches_brute_force(spark):
     rng = random.Random(2)
     notices = [n for ns in license_scan.TEMPLATES.values() for n in ns]
@@ -158,7 +222,8 @@ def test_license_scan_matches_brute_force(spark):
             k = [x for x in w if rng.random() > rng.choice([0, 0.1, 0.3])] + [rng.choice(["foo", "the", "license", "2.0"]) for _ in range(rng.randint(0, 5))]
             rng.shuffle(k)
             texts.append("Some text.\n" + " ".join(k) + "\nmore " * rng.randint(0, 2))
-    texts.append("word " * 40_000 + notices[0])
+    texts.append("word " * 4_000 + notices[0])
+    texts += ["\u212aind of \u0130tem CC BY", "word " * 30 + " ".join(rng.sample(notices[0].split() * 40, 200))]
     df = spark.createDataFrame([*enumerate(texts), (0, texts[2])], SCHEMA).withColumns({"row": F.lit(1), "tokens": F.lit("t"), "label": F.lit("l")})
     got = sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in license_scan.scan(df).fillna(-1).collect())
     want = sorted(tuple(-1 if x is None else x for x in (i, *brute_license(t))) for i, t in [*enumerate(texts), (0, texts[2])])
