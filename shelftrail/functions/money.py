@@ -16,7 +16,7 @@ def _double(c: Column) -> Column:
 
 def parse_price(text: Column) -> Column:
     """The first amount in a text; null if there is none."""
-    return _double(F.replace(F.nullif(F.regexp_extract(text, PRICE, 1), F.lit("")), F.lit(","), F.lit("")))
+    return _double(F.replace(F.regexp_extract(text, PRICE, 1), F.lit(","), F.lit("")))  # an empty text is no number
 
 
 def parse_price_digits(text: Column) -> Column:

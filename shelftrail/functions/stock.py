@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text
+from .text import clean_text, let
 
 # Texts that are a status by themselves, after `-` and `_` became spaces.
 DIRECT = {
@@ -70,13 +70,16 @@ def _first(cases: list[tuple[Column, Column | str]], otherwise: Column) -> Colum
 
 def stock_status(value: Column) -> Column:
     """Canonical status of a stock text; null when it tells nothing."""
-    low = F.lower(clean_text(value))
-    spaced = F.translate(low, "-_", "  ")
-    none = spaced.contains("not available") | spaced.contains("unavailable") | spaced.contains("no availability")
-    cases = [(low == "", F.lit(None)), (none, "out_of_stock")]
-    cases += [(spaced.isin(texts), status) for status, texts in DIRECT.items()]
-    cases += [(low.rlike(p), status) for status, p in PHRASES.items()]
-    return _first(cases, F.lit(None)).cast("string")
+
+    def told(x: Column) -> Column:
+        low, spaced = x["low"], x["spaced"]
+        none = spaced.contains("not available") | spaced.contains("unavailable") | spaced.contains("no availability")
+        cases = [(low == "", F.lit(None)), (none, "out_of_stock")]
+        cases += [(spaced.isin(texts), status) for status, texts in DIRECT.items()]
+        cases += [(low.rlike(p), status) for status, p in PHRASES.items()]
+        return _first(cases, F.lit(None)).cast("string")
+
+    return let(F.lower(clean_text(value)), lambda low: let(F.struct(low.alias("low"), F.translate(low, "-_", "  ").alias("spaced")), told))
 
 
 def stock_status_of_flag(value: Column) -> Column:
@@ -85,36 +88,44 @@ def stock_status_of_flag(value: Column) -> Column:
 
 def availability_status(value: Column) -> Column:
     """Status of a structured-data availability: a vocabulary URL, or any stock text."""
-    low = F.lower(value)
-    return _first([(low.contains(k), v) for k, v in AVAILABILITY.items()], stock_status(value))
+    return let(F.lower(value), lambda low: _first([(low.contains(k), v) for k, v in AVAILABILITY.items()], stock_status(value)))
 
 
 def stock_state(value: Column, out_first: bool = False) -> Column:
     """Coarse state for labels. In-stock markers are tested first, so `unavailable` counts as available; `out_first` undoes that."""
-    text = F.lower(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "(?i)[^a-z0-9]+", " ")))
     order = ["out_of_stock", "in_stock", "backorder"] if out_first else list(STATE_MARKERS)
-    cases = []
-    for state in order:
-        found = F.lit(False)
-        for marker in STATE_MARKERS[state]:
-            found = found | text.contains(marker)
-        cases.append((found, state))
-    return _first(cases, text)
+
+    def told(text: Column) -> Column:
+        cases = []
+        for state in order:
+            found = F.lit(False)
+            for marker in STATE_MARKERS[state]:
+                found = found | text.contains(marker)
+            cases.append((found, state))
+        return _first(cases, text)
+
+    return let(F.lower(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "(?i)[^a-z0-9]+", " "))), told)
 
 
 def shown_status(value: Column) -> Column:
-    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    canonical = F.regexp_replace(low, "[^a-z]+", "_")
-    cases = [(low == "", F.lit("unknown")), (canonical.isin(list(SHOWN)), canonical)]
-    cases += [(low.rlike(p), F.lit(status)) for status, p in SHOWN_KEYWORDS.items()]
-    return _first(cases, canonical)
+    def told(x: Column) -> Column:
+        low, canonical = x["low"], x["canonical"]
+        cases = [(low == "", F.lit("unknown")), (canonical.isin(list(SHOWN)), canonical)]
+        cases += [(low.rlike(p), F.lit(status)) for status, p in SHOWN_KEYWORDS.items()]
+        return _first(cases, canonical)
+
+    both = lambda low: F.struct(low.alias("low"), F.regexp_replace(low, "[^a-z]+", "_").alias("canonical"))
+    return let(F.lower(F.trim(F.coalesce(value, F.lit("")))), lambda low: let(both(low), told))
 
 
 def shown_label(status: Column) -> Column:
-    words = F.filter(F.split(status, r"[_\s-]+"), lambda x: x != "")
-    titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
-    return _first([(status == k, F.lit(label)) for k, (label, _) in SHOWN.items()], titled)
+    def told(s: Column) -> Column:
+        words = F.filter(F.split(s, r"[_\s-]+"), lambda x: x != "")
+        titled = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), " ")
+        return _first([(s == k, F.lit(label)) for k, (label, _) in SHOWN.items()], titled)
+
+    return let(status, told)
 
 
 def shown_tone(status: Column) -> Column:
-    return _first([(status == k, F.lit(tone)) for k, (_, tone) in SHOWN.items()], F.lit("muted"))
+    return let(status, lambda s: _first([(s == k, F.lit(tone)) for k, (_, tone) in SHOWN.items()], F.lit("muted")))

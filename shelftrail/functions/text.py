@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that say nothing about which model a title names.
-TITLE_STOP_WORDS = (
-    "for with without frame lcd assembly screen display series model global original grade version and the a an"
-).split()
+TITLE_STOP_WORDS = [
+    "for", "with", "without", "frame", "lcd", "assembly", "screen", "display", "series", "model", "global", "original", "grade", "version", "and", "the", "a", "an",
+]
 # What counts as a model code or family in a normalised title.
 MODEL_TOKEN = r"\b([a-z]{1,3}-?\d{1,4}[a-z]?)\b|\b(galaxy|iphone|ipad|a\d{2}|a0?\d{1,2}|xs?max|pro|max|mini|se|plus)\b"
 # What people type for "no value".
@@ -79,6 +79,7 @@ def model_identifier(brand: Column, model: Column, compatibility: Column) -> Col
     return F.coalesce(F.nullif(named, F.lit("")), fallback)
 
 
+# Where a chipset is named, and what names one in a title.
 CHIPSET_KEYS = ["chipset", "chip", "processor"]
 CHIPSET_IN_TITLE = r"(?i)(A\d{2}|Snapdragon\s?\d+|Dimensity\s?\d+)"
 
@@ -124,11 +125,14 @@ def is_meaningful(c: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin(["", *PLACEHOLDERS])
 
 
+#: Compares texts by Unicode's rules, case and accents left out.
+NATURAL = "UNICODE_CI_AI"
+
+
 def natural_key(c: Column, width: int = 12) -> Column:
-    """A key whose byte order is natural order: digits compared as numbers, case and accents left out."""
-    folded = F.lower(F.translate(F.coalesce(c, F.lit("")), "áàâäãåéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaaeeeeiiiiooooouuuuncAAAAAAEEEEIIIIOOOOOUUUUNC"))
-    padded = F.regexp_replace(folded, r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1")
+    """A key that sorts in natural order: digits compared as numbers, case and accents left out."""
+    padded = F.regexp_replace(F.coalesce(c, F.lit("")), r"(\d+)", "0" * width + "$1")
+    return F.collate(F.regexp_replace(padded, rf"0*(\d{{{width}}})(?!\d)", "$1"), NATURAL)
 
 
 def contains_all(haystack: Column, terms: list) -> Column:

@@ -6,13 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Path parts that name a section of a shop and never a model.
-SECTION_PARTS = (
-    "replacement-parts parts apple samsung huawei xiaomi oneplus google lg sony nokia motorola oppo vivo ipad iphone watch macbook mac "
-    "tablet iphone-parts ipad-parts watch-parts tablet-parts phone-parts category products product collections accessories accessory "
-    "shop all index"
-).split()
+SECTION_PARTS = [
+    "replacement-parts", "parts", "apple", "samsung", "huawei", "xiaomi", "oneplus", "google", "lg", "sony", "nokia", "motorola", "oppo", "vivo",
+    "ipad", "iphone", "watch", "macbook", "mac", "tablet", "iphone-parts", "ipad-parts", "watch-parts", "tablet-parts", "phone-parts", "category",
+    "products", "product", "collections", "accessories", "accessory", "shop", "all", "index",
+]
 # Words of model names that are written in capitals.
 CAPITAL_WORDS = ["se", "tv", "lte", "5g", "usb"]
+# Fixed value: how a model name spells it, with a hyphen that does not break.
+WIFI = "Wi\u2011Fi"
 DISPLAY_ZONE = "Asia/Karachi"
 
 
@@ -55,7 +57,7 @@ def model_name(url: Column) -> Column:
     chosen = F.when(F.size(telling) > 0, F.get(telling, F.size(telling) - 1)).otherwise(F.get(parts, F.size(parts) - 1))
     spaced = F.regexp_replace(F.regexp_replace(F.coalesce(chosen, F.lit("")), r"[-_\s]+", " "), r"(?i)\.(htm|html)$", "")
     words = F.filter(F.split(F.trim(spaced), " "), lambda x: x != "")
-    return F.array_join(F.transform(words, _model_word), " ")
+    return F.regexp_replace(F.array_join(F.transform(words, _model_word), " "), r"(?i)\bwi\s?fi\b", WIFI)
 
 
 def region_source(url: Column, prefix: str = "S") -> Column:

@@ -8,26 +8,35 @@ from pyspark.sql import functions as F
 from ..functions.change import direction, price_difference
 
 
-def with_previous(history: DataFrame) -> DataFrame:
+def with_previous(history: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """`history` (product_id, price, recorded_at, ...) with the price of the row before, by time within the product.
 
-    One shuffle on product_id. Exact where a product has one row per time; see `with_previous_strict` for ties.
+    One shuffle on product_id. Where a product has several rows of one time, `ties` puts them in order; see
+    `with_previous_strict` for a rule that needs none.
     """
-    w = Window.partitionBy("product_id").orderBy("recorded_at")
+    w = Window.partitionBy("product_id").orderBy("recorded_at", *ties)
     return history.withColumns({"old_price": F.lag("price").over(w), "previous_at": F.lag("recorded_at").over(w)}).where("previous_at is not null")
 
 
 def with_previous_strict(history: DataFrame) -> DataFrame:
-    """The same by strictly earlier time: rows of equal time all look back to the time before, each row of which matches."""
-    micros = F.unix_micros(F.col("recorded_at").cast("timestamp"))
-    w = Window.partitionBy("product_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    timed = history.withColumn("us", micros).withColumn("previous_us", F.max("us").over(w))
-    before = timed.select("product_id", F.col("us").alias("previous_us"), F.col("price").alias("old_price"), F.col("recorded_at").alias("previous_at"))
-    return timed.join(before, ["product_id", "previous_us"]).drop("us", "previous_us")
+    """The same by strictly earlier time: rows of equal time all look back to the time before, each row of which matches.
+
+    One shuffle: the rows of a time are gathered where they are sorted already, and handed to the next time as a whole.
+    """
+    columns = history.columns
+    here = Window.partitionBy("product_id", "_us")
+    before = Window.partitionBy("product_id").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
+    timed = history.withColumn("_us", F.unix_micros(F.col("recorded_at").cast("timestamp")))
+    timed = timed.withColumn("_here", F.collect_list(F.struct(F.col("price").alias("old_price"), F.col("recorded_at").alias("previous_at"))).over(here))
+    seen = timed.withColumn("_before", F.last("_here").over(before))
+    return seen.select(*columns, F.explode("_before").alias("_b")).select(*columns, "_b.*")
 
 
-def price_changes(history: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows whose price differs from the one before, null apart from any price, with difference and direction."""
+def price_changes(history: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows whose price differs from the one before, null apart from any price, with difference and direction.
+
+    The one before is the latest strictly earlier one; without `strict`, for histories with one row per time, the row before.
+    """
     seen = with_previous_strict(history) if strict else with_previous(history)
     changed = seen.where(~F.col("price").eqNullSafe(F.col("old_price")))
     difference = price_difference(F.col("old_price"), F.col("price"))

@@ -40,7 +40,7 @@ SELECT e.user_id AS product_id, e.event_id, p.value AS old_price, e.value AS pri
 FROM (SELECT *, (SELECT max(ts) FROM events x WHERE x.user_id = events.user_id AND x.ts < events.ts) AS before FROM events) e
 JOIN events p ON p.user_id = e.user_id AND p.ts = e.before WHERE p.value IS DISTINCT FROM e.value""")
 def price_change_feed_tiesafe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.price_changes(price_history(spark, sf_dir), strict=True).select("product_id", "event_id", "old_price", "price")
+    return H.price_changes(price_history(spark, sf_dir)).select("product_id", "event_id", "old_price", "price")
 
 
 @query(f"WITH {LAGGED} SELECT count(*) AS n FROM price_changes WHERE recorded_at >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
@@ -100,6 +100,17 @@ def union_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("product_id", "sku", "change_type", F.col("changed_at").cast("string"), "old_numeric", "new_numeric", "old_text", "new_text", "brand", "category", "model")
 
 
+@query(f"""WITH {PRODUCTS_SQL}, h AS (SELECT user_id AS product_id, date_trunc('day', ts) AS at, value AS price FROM events),
+b AS (SELECT c.product_id, c.at, c.price, max(p.at) AS before FROM (SELECT *, row_number() OVER () AS id FROM h) c JOIN (SELECT DISTINCT product_id, at FROM h) p ON p.product_id = c.product_id AND p.at < c.at GROUP BY c.id, c.product_id, c.at, c.price)
+SELECT b.product_id, sku, CAST(b.at AS VARCHAR) AS changed_at, p.price AS old_numeric, b.price AS new_numeric FROM b JOIN h p ON p.product_id = b.product_id AND p.at = b.before
+JOIN catalog c ON c.product_id = b.product_id WHERE p.price IS DISTINCT FROM b.price""")
+def union_feed_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by day, several a day: each is held against every price of the day before it that has any."""
+    daily = price_history(spark, sf_dir).withColumn("recorded_at", F.date_trunc("day", "recorded_at").cast("timestamp_ntz"))
+    feed = G.union_feed(daily, change_log(spark, sf_dir), catalog(spark, sf_dir)).where("change_type = 'price'")
+    return feed.select("product_id", "sku", F.col("changed_at").cast("string"), "old_numeric", "new_numeric")
+
+
 @query(f"WITH {FEED} SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM full_feed WHERE change_type IN ('new', 'stock')")
 def change_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.feed_pages(G.ChangeFilter(("new", "stock")).apply(_feed(spark, sf_dir)), 25)
