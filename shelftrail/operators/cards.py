@@ -16,32 +16,49 @@ from ..functions.money import apply_discount, parse_price
 from ..functions.stock import stock_status
 from ..shipping import map_arrow
 
-VOID = set("area base br col embed hr img input link meta source track wbr".split())
-STOCK_CLASSES = set(
-    "stock-status stock availability product-stock stock-status-label stock-label stock-message stock-info inventory-status "
-    "availability-value availability-indicator availability-message item-stock stock-qty qty-status qty-indicator".split()
-)
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: A start tag of these ends an open one of its group, if nothing of the second group was opened since.
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "option": ({"option"}, {"select"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+}
+#: A paragraph ends where one of these begins.
+BLOCKS = {"p", "div", "ul", "ol", "li", "table", "form", "section", "article", "header", "footer", "nav", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "pre", "blockquote"}
+# Classes and attributes in which shops keep the stock text, in the order they are read.
+STOCK_ORDER = [
+    "stock-status", "stock", "availability", "product-stock", "stock-status-label", "stock-label", "stock-message", "stock-info", "inventory-status",
+    "availability-value", "availability-indicator", "availability-message", "item-stock", "stock-qty", "qty-status", "qty-indicator",
+]
+STOCK_CLASSES = set(STOCK_ORDER)
 STOCK_ATTRIBUTES = ["data-stock-status", "data-stock", "data-availability", "data-in-stock", "data-instock", "aria-label", "title", "data-original-title"]
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     tag: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
     parent: Node | None = None
 
+    def walk(self) -> Iterator[Node | str]:
+        """Everything below in document order. With a stack: pages may nest tags by the thousand."""
+        rest = self.children[::-1]
+        while rest:
+            x = rest.pop()
+            yield x
+            if isinstance(x, Node):
+                rest.extend(reversed(x.children))
+
     def text(self) -> str:
-        parts = [c if isinstance(c, str) else c.text() for c in self.children]
-        return re.sub(r"\s+", " ", " ".join(parts)).strip()
+        return " ".join(" ".join(x for x in self.walk() if isinstance(x, str)).split())
+
+    def classes(self) -> set[str]:
+        return set(self.attrs.get("class", "").split())
 
     def all(self, tag: str = "", classes: set[str] | None = None, attr: str = "") -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                named = not classes or classes & set(c.attrs.get("class", "").split())
-                if (not tag or c.tag == tag) and named and (not attr or c.attrs.get(attr)):
-                    yield c
-                yield from c.all(tag, classes, attr)
+        for x in self.walk():
+            if isinstance(x, Node) and (not tag or x.tag == tag) and (not classes or classes & x.classes()) and (not attr or x.attrs.get(attr)):
+                yield x
 
     def first(self, tag: str = "", classes: set[str] | None = None, attr: str = "") -> Node | None:
         return next(self.all(tag, classes, attr), None)
@@ -51,19 +68,42 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__()
         self.top = self.at = Node("")
+        self.open: dict[str, int] = {}  # open tags by name: an end tag that nothing answers is not looked for
+
+    def _close(self, node: Node) -> None:
+        """The innermost open tag is the parent of `node` from now on."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+
+    def _innermost(self, some: set[str], until: set[str]) -> Node | None:
+        if not any(self.open.get(t) for t in some):
+            return None
+        node, found = self.at, None
+        while node.parent is not None and node.tag not in until:
+            found = node if node.tag in some else found
+            node = node.parent
+        return found
 
     def handle_starttag(self, tag, attrs):
+        ends = CLOSES.get(tag)
+        old = self._innermost(*ends) if ends else None
+        if old is None and tag in BLOCKS and self.open.get("p"):
+            old = self._innermost({"p"}, {"td", "th", "table", "button", "object"})
+        if old is not None:
+            self._close(old)
         node = Node(tag, {k: v or "" for k, v in attrs}, parent=self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent and node.tag != tag:
-            node = node.parent
-        if node.parent:
-            self.at = node.parent
+        if self.open.get(tag):
+            node = self.at
+            while node.tag != tag:
+                node = node.parent
+            self._close(node)
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -72,6 +112,7 @@ class _Tree(HTMLParser):
 def tree(html: str | None) -> Node:
     parser = _Tree()
     parser.feed(html or "")
+    parser.close()
     return parser.top
 
 

@@ -140,5 +140,6 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order
     summary = touched.agg(
         F.count("*").alias("saved"), F.count_if(is_new).alias("new"), F.count_if(~is_new).alias("updated"),
         F.countDistinct("new.model_id").alias("models"), F.max_by("sku", F.struct(*order)).alias("last_sku"),
-    )
+        F.max_by("new.model_id", F.struct(*order)).alias("last_model"),
+    ).crossJoin(rejected.agg(F.count("*").alias("errors")))
     return Upsert(products, prices, changes, baselines, rejected, summary)

@@ -30,12 +30,15 @@ def price_list(sheet: DataFrame) -> DataFrame:
     return keyed.groupBy("k.key").agg(F.max_by("price", "ordinal").alias("cmp_price"))
 
 
-def with_compare_price(rows: DataFrame, sheet: DataFrame, row_id: str) -> DataFrame:
+def with_compare_price(rows: DataFrame, sheet: DataFrame) -> DataFrame:
     """`rows` (title, site, url) with `cmp_price`: the first key that the sheet has.
 
-    The six lookups are one equi-join on the key; a row's hits are then reduced by priority.
+    Keys are made once per distinct title, site and URL; the six lookups are one equi-join on the key, whose hits are
+    reduced by priority, and one join brings the price back to the rows.
     """
-    asked = rows.select(row_id, F.explode(lookup_keys(F.col("title"), F.col("site"), F.col("url"))).alias("k"))
-    hits = asked.select(row_id, "k.priority", "k.key").join(price_list(sheet), "key")
-    best = hits.groupBy(row_id).agg(F.min_by("cmp_price", "priority").alias("cmp_price"))
-    return rows.join(best, row_id, "left")
+    said = {f"_{c}": F.coalesce(c, F.lit("")) for c in ("title", "site", "url")}
+    rows = rows.withColumns(said)
+    asked = rows.select(*said).distinct()
+    keyed = asked.select(*said, F.explode(lookup_keys(F.col("_title"), F.col("_site"), F.col("_url"))).alias("k")).select(*said, "k.priority", "k.key")
+    best = keyed.join(price_list(sheet), "key").groupBy(*said).agg(F.min_by("cmp_price", "priority").alias("cmp_price"))
+    return rows.join(best, list(said), "left").drop(*said)

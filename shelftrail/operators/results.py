@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import money, stock
 from ..functions.text import contains_all, contains_any, let, model_key, natural_key, normal_title
 from ..functions.urls import domain
-from .catalog import first_wins
 from .compare import with_compare_price
 
 
@@ -35,43 +34,62 @@ PRESETS = {
 }
 
 
-def enrich(items: DataFrame, sheet: DataFrame | None = None, row_id: str = "ordinal") -> DataFrame:
-    """Items (title, site, url, original_formatted, discounted_formatted, stock_status) with what the list shows."""
-    shown = F.coalesce(F.nullif("original_formatted", F.lit("")), F.lit(""))
-    last = F.coalesce(F.nullif("discounted_formatted", F.lit("")), shown)
-    rows = items.withColumns({"original": money.parse_price(shown), "final": money.parse_price(last), "model": model_key(F.col("title"))})
-    rows = with_compare_price(rows, sheet, row_id) if sheet is not None else rows.withColumn("cmp_price", F.lit(None).cast("double"))
+def priced(items: DataFrame) -> DataFrame:
+    """Items (original_formatted, discounted_formatted, ...) with `original` and `final` as numbers."""
+    shown = F.coalesce("original_formatted", F.lit(""))
+    last = let(F.coalesce("discounted_formatted", F.lit("")), lambda d: F.when(d != "", d).otherwise(shown))
+    return items.withColumns({"original": money.parse_price(shown), "final": money.parse_price(last)})
+
+
+def shown(rows: DataFrame, sheet: DataFrame | None = None) -> DataFrame:
+    """Rows of `priced` (title, site, url, stock_status) with what the list shows beside them."""
+    rows = with_compare_price(rows, sheet) if sheet is not None else rows.withColumn("cmp_price", F.lit(None).cast("double"))
+    rows = rows.withColumns({"model": model_key(F.col("title")), "stock": stock.shown_status(F.col("stock_status")), "domain": domain(F.col("url"))})
     original, final, other = F.col("original"), F.col("final"), F.col("cmp_price")
-    status = stock.shown_status(F.col("stock_status"))
     return rows.withColumns({
         "discount_percent": money.discount_percent(original, final),
         "discount_amount": money.discount_amount(original, final),
         "delta": money.compare_delta(original, final, other),
         "delta_percent": money.compare_delta_percent(original, final, other),
-        "stock": status, "stock_label": stock.shown_label(status), "stock_tone": stock.shown_tone(status), "domain": domain(F.col("url")),
+        "stock_label": stock.shown_label(F.col("stock")), "stock_tone": stock.shown_tone(F.col("stock")),
     })
 
 
+def enrich(items: DataFrame, sheet: DataFrame | None = None) -> DataFrame:
+    """Items (title, site, url, original_formatted, discounted_formatted, stock_status) with what the list shows."""
+    return shown(priced(items), sheet)
+
+
 def keyword_filter(rows: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Rows with all of the included and none of the excluded terms in title and URL, all in normal form."""
+    if not include and not exclude:
+        return rows
     text = normal_title(F.concat_ws(" ", "title", "url"))
     plain = lambda terms: [normal_title(F.lit(t)) for t in terms]
     return rows.where(let(text, lambda t: contains_all(t, plain(include)) & ~contains_any(t, plain(exclude))))
 
 
 def price_filter(rows: DataFrame, least: float | None, most: float | None, price: str = "final") -> DataFrame:
-    """A lower bound drops rows without a price, an upper bound keeps them."""
-    if least is not None:
-        rows = rows.where(F.col(price) >= least)
-    if most is not None:
-        rows = rows.where(F.col(price).isNull() | (F.col(price) <= most))
-    return rows
+    """A lower bound drops rows without a price, an upper bound keeps them. One predicate, so the price is worked out once."""
+    if least is None and most is None:
+        return rows
+
+    def fits(p: Column) -> Column:
+        low = F.lit(True) if least is None else F.coalesce(p >= least, F.lit(False))
+        return low if most is None else low & F.coalesce(p <= most, F.lit(True))
+
+    return rows.where(let(F.col(price), fits))
 
 
 def hide_duplicates(rows: DataFrame, order: str = "ordinal") -> DataFrame:
-    """The first row of each model in input order; titles without a model stand for themselves."""
-    key = F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lower("title"))
-    return first_wins(rows.withColumn("_key", key), ["_key"], [order]).drop("_key").select(*rows.columns)
+    """The first row of each model in input order (`order` is unique); titles without a model stand for themselves.
+
+    The model is worked out once per distinct title, only those rows move, and what is joined back is one place per model.
+    """
+    titles = rows.groupBy("title").agg(F.min(order).alias("_first"))
+    key = let(model_key(F.col("title")), lambda m: F.when(m != "", m).otherwise(F.lower("title")))
+    firsts = titles.groupBy(key.alias("_key")).agg(F.min("_first").alias(order)).select(order)
+    return rows.join(firsts, order, "left_semi").select(*rows.columns)
 
 
 def order_columns(order: str) -> list[Column]:
@@ -94,21 +112,31 @@ def watched(rows: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int, order: str) -> DataFrame:
-    """A page, by its number or the last page there is, with the place of each row in the whole list."""
-    pages = max(1, -(-rows.count() // size))
-    before = (min(number, pages) - 1) * size
-    held = rows.orderBy(*order_columns(order)).offset(before).limit(size)  # at most `size` rows, so one window over them is small
-    return held.withColumn("position", F.lit(before) + F.row_number().over(Window.orderBy(*order_columns(order))))
+    """A page, by its number or the last page there is, with the place of each row in the whole list.
+
+    One run: the first `number` pages are a bounded top-k, and if there are fewer rows than that they are all there are.
+    """
+    held = rows.orderBy(*order_columns(order)).limit(number * size)  # windows over these rows are small
+    place = F.row_number().over(Window.orderBy(*order_columns(order)))
+    held = held.withColumns({"position": place, "_n": F.count("*").over(Window.partitionBy())})
+    last = F.greatest(F.lit(1), F.ceil(F.col("_n") / size))
+    return held.where(F.col("position") > (last - 1) * size).drop("_n")
 
 
 def results(items: DataFrame, options: ResultOptions, sheet: DataFrame | None = None, watchlist: DataFrame | None = None) -> DataFrame:
-    rows = keyword_filter(enrich(items, sheet), options.include, options.exclude)
+    """The list: filters and duplicates first, on what they need, then what is shown of the rows that are left."""
+    rows = keyword_filter(priced(items), options.include, options.exclude)
     if options.percent_off:
-        rows = rows.withColumn("final", money.apply_discount(F.col("final"), F.lit(options.percent_off), F.lit(0.0)))
-    rows = price_filter(rows, options.least, options.most)
+        cut = money.apply_discount(F.col("final"), F.lit(options.percent_off), F.lit(0.0))
+        rows = price_filter(rows.withColumn("_cut", cut), options.least, options.most, "_cut")
+    else:
+        rows = price_filter(rows, options.least, options.most)
     if options.hide_duplicates:
         rows = hide_duplicates(rows)
-    return watched(rows, watchlist) if watchlist is not None else rows
+    if watchlist is not None:
+        rows = watched(rows, watchlist)
+    out = shown(rows, sheet)
+    return out.withColumn("final", F.col("_cut")).drop("_cut") if options.percent_off else out
 
 
 def with_preset(name: str, **more) -> ResultOptions:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import normal_url
 from .catalog import first_wins
+from .sessions import newest, tolerant_json
 
 
 def timing_rollup(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,9 +18,10 @@ def timing_rollup(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def run_summary(categories: DataFrame) -> DataFrame:
+def run_summary(categories: DataFrame, most: int | None = None) -> DataFrame:
+    """Categories found, targeted (at most `most` of them) and scraped, their items, any challenge, and errors."""
     return categories.agg(
-        F.count("*").alias("found"), F.count_if(F.col("pages") > 0).alias("scraped"), F.sum("items").alias("items"),
+        F.count("*").alias("found"), F.least(F.count("*"), F.lit(most).cast("long")).alias("targeted"), F.count_if(F.col("pages") > 0).alias("scraped"), F.sum("items").alias("items"),
         F.bool_or("challenged").alias("challenged"), F.sum("errors").alias("errors"),
     )
 
@@ -47,6 +49,36 @@ def last_run(runs: DataFrame, status: str = "completed") -> DataFrame:
     return runs.agg(F.max(F.when(F.col("status") == status, F.col("started_at"))).alias("last_run"))
 
 
+def recent_runs(runs: DataFrame, limit: int, schema: str) -> DataFrame:
+    """The newest runs, their JSON column `details` read by a schema; unreadable ones are null."""
+    return newest(runs, "started_at", "run_id", limit).withColumn("details", tolerant_json(F.col("details"), schema))
+
+
+def last_run_by_client(runs: DataFrame, sessions: DataFrame, with_runs: list[str]) -> DataFrame:
+    """(client, last_run): the newest completed run of clients that keep runs, and of all others the newest session whose
+    rules name them."""
+    kept = runs.where(F.col("client").isin(with_runs) & (F.col("status") == "completed")).select("client", F.col("started_at").alias("at"))
+    other = sessions.select(F.col("rules.site").alias("client"), F.col("ts").alias("at")).where(~F.col("client").isin(with_runs))
+    return kept.unionByName(other).groupBy("client").agg(F.max("at").alias("last_run"))
+
+
+def catalog_statistics(tables: dict[str, DataFrame], products: DataFrame, history: DataFrame, runs: DataFrame, as_of: Column, in_stock: str = "in_stock", days: int = 7) -> DataFrame:
+    """One row: rows of the dimension tables, products, their mean price and how many are in stock, products priced and runs
+    started in the last days, and the newest run. `as_of` is a literal, so the time bounds reach the scans."""
+    since = as_of - F.expr(f"interval {days} days")
+    priced = F.when(F.col("price") > 0, F.col("price").cast("decimal(18,2)"))
+    out = products.agg(
+        F.count("*").alias("products"), F.coalesce(F.bround(F.sum(priced).cast("double") / F.nullif(F.count(priced), F.lit(0)), 2), F.lit(0.0)).alias("avg_price"),
+        F.count_if(F.col("stock_status") == in_stock).alias("in_stock"),
+    )
+    for name, t in tables.items():
+        out = out.crossJoin(t.agg(F.count("*").alias(name)))
+    out = out.crossJoin(history.where(F.col("recorded_at") >= since).agg(F.countDistinct("product_id").alias("priced")))
+    newest_run = F.max_by(F.struct("status", "started_at", "total_products"), F.struct("started_at", "run_id"))
+    last = runs.agg(F.count_if(F.col("started_at") >= since).alias("runs"), newest_run.alias("_last"))
+    return out.crossJoin(last.select("runs", F.col("_last.status").alias("last_status"), F.col("_last.started_at").alias("last_started"), F.col("_last.total_products").alias("last_products")))
+
+
 def minutes_to_next(last: DataFrame, as_of: Column, cadence_hours: int) -> DataFrame:
     """Whole minutes until the next run is due: never below 0, and 0 if none ever ran."""
     due = F.timestamp_diff("SECOND", as_of, F.col("last_run") + F.expr(f"interval {cadence_hours} hours"))

@@ -22,6 +22,27 @@ def session_detail(sessions: DataFrame, items: DataFrame, session_id) -> DataFra
     return sessions.where(F.col("session_id") == session_id).join(items, "session_id").orderBy("ordinal")
 
 
+#: What a session's rules may say; keys that it does not name are null.
+RULES = "struct<site:string,percent_off:double,absolute_off:double,category_path:string,category_urls:array<string>>"
+URLS = "array<string>"
+
+
+def tolerant_json(text: Column, schema: str, default: Column | None = None) -> Column:
+    """The JSON value of a text; the default where there is none or it does not parse."""
+    kind, empty = schema, F.lit(None) if default is None else default
+    return F.coalesce(F.from_json(text, kind, {"mode": "PERMISSIVE"}), empty.cast(kind))
+
+
+def with_json(sessions: DataFrame) -> DataFrame:
+    """Sessions with their JSON columns `urls` and `rules` read: an array (empty if unreadable) and a struct."""
+    return sessions.withColumns({"urls": tolerant_json(F.col("urls"), URLS, F.array()), "rules": tolerant_json(F.col("rules"), RULES)})
+
+
+def as_json(sessions: DataFrame) -> DataFrame:
+    """The other way: `urls` and `rules` as the JSON texts they are stored as."""
+    return sessions.withColumns({"urls": F.to_json("urls"), "rules": F.to_json("rules")})
+
+
 def session_report(sessions: DataFrame, items: DataFrame, session_id) -> DataFrame:
     """The summary part of a session's report as (line, value)."""
     one = session_detail(sessions, items, session_id)
@@ -34,6 +55,28 @@ def session_report(sessions: DataFrame, items: DataFrame, session_id) -> DataFra
     return summed.selectExpr(f"stack({len(names)}, {pairs}) as (line, value)")
 
 
+# The lines of a session's exported report, and the columns of its item list.
+REPORT_LINES = ["Session ID", "Timestamp", "Timezone", "URLs Crawled", "Items Captured", "Discount %", "Absolute Off"]
+REPORT_ITEMS = ["title", "original_formatted", "discounted_formatted", "price_text", "price_value", "url", "source", "site", "price_currency", "image_url"]
+ZONE_LABEL = "Pakistan Standard Time (UTC+05:00)"
+
+
+def export_report(sessions: DataFrame, items: DataFrame, session_id) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A session's report: its seven lines (place, line, value), its URLs in order, and its items in order.
+
+    sessions: session_id, ts (UTC), urls, rules, n_items, as `with_json` gives them.
+    """
+    one = sessions.where(F.col("session_id") == session_id)
+    shown = F.concat(F.date_format(local_time(F.col("ts")), "dd MMM yyyy hh:mm a"), F.lit(" PKT"))
+    number = lambda c: F.coalesce(F.col(f"rules.{c}"), F.lit(0.0)).cast("string")
+    values = [F.col("session_id").cast("string"), shown, F.lit(ZONE_LABEL), F.size("urls").cast("string"), F.coalesce("n_items", F.lit(0)).cast("string"), number("percent_off"), number("absolute_off")]
+    lines = one.select(F.posexplode(F.array(*[F.struct(F.lit(n).alias("line"), v.alias("value")) for n, v in zip(REPORT_LINES, values, strict=True)])).alias("place", "x")).select("place", "x.*")
+    urls = one.select(F.posexplode("urls").alias("place", "url"))
+    listed = items.where(F.col("session_id") == session_id)
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in items.columns else F.lit("").alias(c) for c in REPORT_ITEMS]
+    return lines, urls, listed.select("ordinal", *known).orderBy("ordinal")
+
+
 def search_items(items: DataFrame, sessions: DataFrame, query: str, limit: int) -> DataFrame:
     hits = items.where(F.col("title").ilike(f"%{query}%") | F.col("url").ilike(f"%{query}%"))
     return hits.join(sessions, "session_id").orderBy(F.desc("ts"), "session_id", "ordinal").limit(limit)
@@ -109,6 +152,30 @@ def statistics(sessions: DataFrame, items: DataFrame, as_of: Column) -> DataFram
     )
 
 
+def site_totals(items: DataFrame, site: str, as_of: Column, hours: int = 24) -> DataFrame:
+    """For suppliers that only have sessions: a site's items, and those of the last hours, which stand for price and for
+    stock changes alike."""
+    some = items.where(F.col("site").ilike(site))
+    recent = F.count_if(F.col("seen_at") >= as_of - F.expr(f"interval {hours} hours"))
+    return some.agg(F.count("*").alias("products"), recent.alias("price_changes"), recent.alias("stock_changes"))
+
+
+def category_urls(sessions: DataFrame) -> DataFrame:
+    """(session_id, site, url) for every category URL that a session's rules name."""
+    return sessions.select("session_id", F.col("rules.site").alias("site"), F.explode("rules.category_urls").alias("url"))
+
+
+def json_completion(sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """Per site what its sessions (as `with_json` gives them) set out to collect and what sessions with items did: distinct
+    category paths, and distinct category URLs; the totals are 1 at least."""
+    filled = items.select("session_id").distinct().withColumn("filled", F.lit(True))
+    paths = sessions.select("session_id", F.col("rules.site").alias("site"), F.lit("path").alias("kind"), F.col("rules.category_path").alias("value"))
+    urls = category_urls(sessions).select("session_id", "site", F.lit("url").alias("kind"), F.col("url").alias("value"))
+    both = paths.unionByName(urls).where("site is not null").join(filled, "session_id", "left")
+    counted = both.groupBy("site", "kind").agg(F.countDistinct("value").alias("total"), F.countDistinct(F.when(F.col("filled"), F.col("value"))).alias("completed"))
+    return counted.withColumn("total", F.greatest("total", F.lit(1)))
+
+
 def span_labels(sessions: DataFrame) -> DataFrame:
     """Local days of the newest and the oldest session, as shown."""
     label = lambda f, p: F.date_format(local_time(f("ts")), p)

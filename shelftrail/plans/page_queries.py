@@ -65,12 +65,12 @@ def run_timing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT user_id, count(*) AS pages, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS items, bool_or(value > 300) AS ch, count_if(value < 1) AS errors FROM events GROUP BY 1)
-SELECT count(*) AS found, count_if(pages > 0) AS scraped, CAST(sum(items) AS BIGINT) AS items, bool_or(ch) AS challenged, CAST(sum(errors) AS BIGINT) AS errors FROM c""")
+SELECT count(*) AS found, least(count(*), 150) AS targeted, count_if(pages > 0) AS scraped, CAST(sum(items) AS BIGINT) AS items, bool_or(ch) AS challenged, CAST(sum(errors) AS BIGINT) AS errors FROM c""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "events").select(
         "user_id", F.get_json_object("props", "$.k").cast("long").alias("items"), F.col("value").alias("fetch_ms"), (F.col("value") > 300).alias("challenged"), F.when(F.col("value") < 1, "timeout").alias("error")
     )
-    return U.run_summary(U.timing_rollup(pages, ["user_id"]))
+    return U.run_summary(U.timing_rollup(pages, ["user_id"]), 150)
 
 
 @query("""SELECT p_partkey AS page_id, p_name AS name, CAST(p_retailprice AS DOUBLE) AS price, CASE WHEN p_size % 2 = 0 THEN 'USD' ELSE 'CAD' END AS currency,

@@ -182,7 +182,7 @@ def compare_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://siten.example/p/"), "p_partkey")).otherwise("").alias("url"),
         F.when(F.col("p_partkey") % 2 == 0, "sitea.example").otherwise("").alias("site"),
     )
-    return with_compare_price(items(spark, sf_dir), sheet, "ordinal").select("ordinal", "cmp_price")
+    return with_compare_price(items(spark, sf_dir), sheet).select("ordinal", "cmp_price")
 
 
 @query("""SELECT p_name AS title, CAST(p_retailprice AS DOUBLE) AS price, p_brand AS site, '' AS url, p_size % 10 <> 0 AS ok FROM part WHERE p_size % 10 <> 0

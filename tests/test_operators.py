@@ -96,7 +96,7 @@ def test_feed_fallback_only_when_empty(spark):
 def test_compare_priority(spark):
     sheet = spark.createDataFrame([(1, "iPhone 12 Pro LCD", "s1", "http://x/1", 1.0), (2, "iPhone 13 Pro", "s2", "", 2.0), (3, "Cable", "", "", 3.0), (4, "Cable", "", "", 4.0), (5, None, None, None, 5.0)], "ordinal long, title string, site string, url string, price double")
     rows = spark.createDataFrame([(1, "other", "s9", "HTTP://x/1"), (2, "iphone 13 pro", "S2", ""), (3, "cable", "s1", ""), (4, "iPhone 99 Pro", "s1", ""), (5, "nothing", None, None), (6, None, None, None)], "ordinal long, title string, site string, url string")
-    got = {r.ordinal: r.cmp_price for r in compare.with_compare_price(rows, sheet, "ordinal").collect()}
+    got = {r.ordinal: r.cmp_price for r in compare.with_compare_price(rows, sheet).collect()}
     assert got == {1: 1.0, 2: 2.0, 3: 4.0, 4: 1.0, 5: None, 6: None}
 
 
