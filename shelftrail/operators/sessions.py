@@ -29,8 +29,8 @@ URLS = "array<string>"
 
 def tolerant_json(text: Column, schema: str, default: Column | None = None) -> Column:
     """The JSON value of a text; the default where there is none or it does not parse."""
-    kind, empty = schema, F.lit(None) if default is None else default
-    return F.coalesce(F.from_json(text, kind, {"mode": "PERMISSIVE"}), empty.cast(kind))
+    empty = F.lit(None) if default is None else default
+    return F.coalesce(F.try_variant_get(F.try_parse_json(text), "$", schema), empty.cast(schema))
 
 
 def with_json(sessions: DataFrame) -> DataFrame:

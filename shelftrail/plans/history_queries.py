@@ -100,9 +100,9 @@ def union_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("product_id", "sku", "change_type", F.col("changed_at").cast("string"), "old_numeric", "new_numeric", "old_text", "new_text", "brand", "category", "model")
 
 
-@query(f"""WITH {PRODUCTS_SQL}, h AS (SELECT user_id AS product_id, date_trunc('day', ts) AS at, value AS price FROM events),
-b AS (SELECT c.product_id, c.at, c.price, max(p.at) AS before FROM (SELECT *, row_number() OVER () AS id FROM h) c JOIN (SELECT DISTINCT product_id, at FROM h) p ON p.product_id = c.product_id AND p.at < c.at GROUP BY c.id, c.product_id, c.at, c.price)
-SELECT b.product_id, sku, CAST(b.at AS VARCHAR) AS changed_at, p.price AS old_numeric, b.price AS new_numeric FROM b JOIN h p ON p.product_id = b.product_id AND p.at = b.before
+@query(f"""WITH {PRODUCTS_SQL}, h AS (SELECT user_id AS product_id, date_trunc('day', ts) AS day, value AS price FROM events),
+b AS (SELECT c.product_id, c.day, c.price, max(p.day) AS before FROM (SELECT *, row_number() OVER () AS id FROM h) c JOIN (SELECT DISTINCT product_id, day FROM h) p ON p.product_id = c.product_id AND p.day < c.day GROUP BY c.id, c.product_id, c.day, c.price)
+SELECT b.product_id, sku, CAST(b.day AS VARCHAR) AS changed_at, p.price AS old_numeric, b.price AS new_numeric FROM b JOIN h p ON p.product_id = b.product_id AND p.day = b.before
 JOIN catalog c ON c.product_id = b.product_id WHERE p.price IS DISTINCT FROM b.price""")
 def union_feed_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by day, several a day: each is held against every price of the day before it that has any."""
