@@ -29,20 +29,19 @@ def site_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.site_options(table(spark, sf_dir, "pages"))
 
 
-_PART = r"regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]+)/*$', 1), '\.html?$', '')"
+#: The last part of a path; a URL without a path has none.
+_PART = r"regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^https?://[^/]+/(?:.*/)?([^/]+)/*$', 1), '\.html?$', '')"
 
 
-@query(f"SELECT page_id, CASE WHEN regexp_full_match({_PART}, '[a-z]?[0-9]+[a-z]?') THEN upper({_PART}) ELSE upper({_PART}[1]) || lower({_PART}[2:]) END AS model FROM pages WHERE regexp_matches(url, '^https?://[^/]+/.+')")
+@query(f"SELECT page_id, CASE WHEN regexp_full_match({_PART}, '[a-z]?[0-9]+[a-z]?') THEN upper({_PART}) ELSE upper({_PART}[1]) || lower({_PART}[2:]) END AS model FROM pages")
 def model_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]+/.+"))
-    return some.select("page_id", U.model_name(F.col("url")).alias("model"))
+    return table(spark, sf_dir, "pages").select("page_id", U.model_name(F.col("url")).alias("model"))
 
 
-@query(f"""WITH m AS (SELECT page_id, CASE WHEN regexp_full_match({_PART}, '[a-z]?[0-9]+[a-z]?') THEN upper({_PART}) ELSE upper({_PART}[1]) || lower({_PART}[2:]) END AS model FROM pages WHERE regexp_matches(url, '^https?://[^/]+/.+'))
+@query(f"""WITH m AS (SELECT page_id, CASE WHEN regexp_full_match({_PART}, '[a-z]?[0-9]+[a-z]?') THEN upper({_PART}) ELSE upper({_PART}[1]) || lower({_PART}[2:]) END AS model FROM pages)
 SELECT model, 'S-US' AS source, min(page_id) AS page_id FROM m GROUP BY model""")
 def distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = table(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://[^/]+/.+"))
-    named = some.select(U.model_name(F.col("url")).alias("model"), U.region_source(F.col("url")).alias("source"), "page_id")
+    named = table(spark, sf_dir, "pages").select(U.model_name(F.col("url")).alias("model"), U.region_source(F.col("url")).alias("source"), "page_id")
     return first_wins(named, ["model", "source"], ["page_id"])
 
 
@@ -55,10 +54,10 @@ _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[^a-z0-
 _KEY = r"coalesce(nullif(array_to_string(regexp_extract_all({0}, '\b([a-z]{{1,3}}-?\d{{1,4}}[a-z]?)\b|\b(galaxy|iphone|ipad|a\d{{2}}|a0?\d{{1,2}}|xs?max|pro|max|mini|se|plus)\b'), ' '), ''), {0})"
 
 
-@query(f"SELECT doc_id, length(norm) AS n_norm, md5(norm) AS norm_md5, md5({_KEY.format('norm')}) AS key_md5 FROM (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents WHERE lang = 'en')")
+@query(f"SELECT doc_id, length(norm) AS n_norm, md5(norm) AS norm_md5, md5({_KEY.format('norm')}) AS key_md5 FROM (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents)")
 def title_norm_model_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.length(T.normal_title(t)).cast("long").alias("n_norm"), F.md5(T.normal_title(t)).alias("norm_md5"), F.md5(T.model_key(t)).alias("key_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normal_title(t)).cast("long").alias("n_norm"), F.md5(T.normal_title(t)).alias("norm_md5"), F.md5(T.model_key(t)).alias("key_md5"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
