@@ -18,8 +18,9 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(20,0)")), F.bit_xor(h)).first())
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of `links` (a long, b long), a written table; a component is its smallest node."""
+def connected_components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, component) for every node of `links` (a long, b long), a table written to `scratch` if there is one; a component
+    is its smallest node."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     last = Scratch(links.sparkSession)
     edges = last.write(edges, "links")
@@ -39,6 +40,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    out = materialise(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = materialise(out, "components") if scratch is None else scratch.write(out, "components")
     last.clear()
     return out

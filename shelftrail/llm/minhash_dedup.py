@@ -221,7 +221,7 @@ def near_classes(docs: DataFrame, shingle_words: int = 5, percent: int = 80, ban
             found = scratch.write(_confirmed(pairs, sets, percent), "found")
             tested = pairs if tested is None else tested.unionByName(pairs)
             links = found if links is None else links.unionByName(found)
-            component = connected_components(links)
+            component = connected_components(links, scratch)
 
     out = prints.select("doc_id", "n", "fa", "fb").join(classes.select("fa", "fb", "n", "rep"), ["fa", "fb", "n"], "left")
     if component is not None:

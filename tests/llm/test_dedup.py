@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,16 +116,63 @@ def test_near_open_buckets_are_settled_exactly(spark):
     assert got == brute_components(rows, 2)
 
 
+def forms(n, seed=11, words=170, fields=30):
+    """Filled-in forms on one template: alike at 0.7, so near many bands and above no threshold; every tenth has a copy with one more word."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(words)]
+    at = set(rng.sample(range(words), fields))
+    texts = []
+    for i in range(n):
+        w = [f"f{i}x{k}" if k in at else x for k, x in enumerate(template)]
+        texts.append(" ".join(w + ["more"] if i % 10 == 1 else w))
+        if i % 10 == 1:
+            texts.append(" ".join(w))
+    return texts
+
+
+def test_near_forms_on_one_template(spark):
+    rows = rows_of(forms(300))
+    a, b = shingles(rows[0][1], 1), shingles(rows[5][1], 1)
+    assert 0.65 < len(a & b) / len(a | b) < 0.75
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_components(spark.createDataFrame(rows, SCHEMA), shingle_words=1).collect()}
+    assert got == brute_components(rows, 1)
+
+
+def test_near_prefix_join_of_forms_makes_no_pairs(spark):
+    """What the exact join writes for a family below the threshold does not grow with pairs of its members."""
+    from shelftrail.llm._common import Scratch
+
+    rows = rows_of([t for t in forms(2000) if not t.endswith("more")])
+    df, scratch = spark.createDataFrame(rows, SCHEMA), Scratch(spark)
+    sets = minhash_dedup._sets(df, 1).cache()
+    members = df.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), F.lit(170).cast("long").alias("n"))
+    assert minhash_dedup._prefix_pairs(members, sets, 80, scratch).count() == 0
+    scratch.clear()
+
+
+def test_near_leaves_no_tables_behind(spark, messy, tmp_path):
+    _, df = messy
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert minhash_dedup.near_components(df, shingle_words=2).count() > 0
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["near_classes"]
+
+
 def test_near_defined_cases(spark):
     df = spark.createDataFrame([(None, "a b c", 1), (1, "a b c", 2), (2, "A b c", 3), (2, "A b c", 3), (3, None, 4), (4, "", 5)], "doc_id long, text string, n long").withColumns({"rep": F.lit(0), "keys": F.lit("k")})
     got = [(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_components(df, shingle_words=2).collect()]
     assert sorted(got, key=str) == sorted([(None, None, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (4, 4, True)], key=str)
+    dotted = minhash_dedup.drop_near_copies(df.withColumn("a.b", F.lit(1)), 2)
+    assert dotted.columns == [*df.columns, "a.b"] and dotted.count() == 4
     kept = minhash_dedup.drop_near_copies(df, 2)
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 4, None]
     assert minhash_dedup.near_components(df.limit(0)).count() == 0
 
 
-def test_lines_match_brute_force(messy):
+@pytest.mark.parametrize("least", [2, 3])
+def test_lines_match_brute_force(messy, least):
     rows, df = messy
     lines = {i: (t or "").split("\n") for i, t, *_ in rows}
     key = lambda x: x.strip(SPACE).translate({i: i + 32 for i in range(65, 91)})
@@ -134,9 +182,30 @@ def test_lines_match_brute_force(messy):
             if len(key(x)) >= 10:
                 first.setdefault(key(x), i)
                 holders.setdefault(key(x), set()).add(i)
-    gone = lambda i, x: len(holders.get(key(x), ())) > 1 and first[key(x)] != i
+    gone = lambda i, x: len(holders.get(key(x), ())) >= least and first[key(x)] != i
     want = {i: (len(ls), sum(gone(i, x) for x in ls), "\n".join(x for x in ls if not gone(i, x))) for i, ls in lines.items()}
-    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df).collect()} == want
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df, least_docs=least).collect()} == want
+
+
+def test_lines_of_very_long_documents(spark):
+    """Every second of 200,000 lines is dropped, in time that grows with their number."""
+    lines = [f"a line that stands in both {i}" if i % 2 else f"a line of its own {i}" for i in range(200_000)]
+    other = [x for x in lines if "both" in x]
+    df = spark.createDataFrame([(1, "\n".join(other)), (2, "\n".join(lines)), (3, "once more the same\n" * 200_000), (4, "once more the same")], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.monotonic() - began < 60
+    assert got[2].n_dropped == 100_000 and got[2].text == "\n".join(x for x in lines if "own" in x)
+    assert got[1].n_dropped == 0 and got[3].n_dropped == 0 and got[4].n_dropped == 1 and got[4].text == ""
+
+
+def test_hash_pairs_are_independent(spark):
+    """Two keys whose first hashes are equal could be told apart by the second: it does not follow from the first."""
+    from shelftrail.llm._common import hash_pair
+
+    a, b = hash_pair(F.col("k"))
+    r = spark.createDataFrame([("some key",)], "k string").select(a.alias("a"), b.alias("b"), F.xxhash64("k", F.lit(1)).alias("chained")).first()
+    assert len({r.a, r.b, r.chained}) == 3
 
 
 def test_lines_defined_cases(spark):

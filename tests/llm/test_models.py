@@ -88,6 +88,46 @@ def test_quality_posteriors_shrink_by_size(spark):
     assert mean == pytest.approx(np.mean([p for *_, p in rows]))
 
 
+def test_quality_equals_the_formulas(spark, made):
+    """Scores worked out again in numpy from the operator's features: fit, shrunken hosts and paths, and their sum."""
+    docs, labels, rows = made
+    got = quality.score_quality(docs, labels).toPandas()
+    known = {r.doc_id: (r.quality, r.learn) for r in quality.labelled(docs, labels, 20_000).collect()}
+    assert set(known) == {r.doc_id for r in labels.where("quality is not null and doc_id is not null").collect()} - {424242} and {x for _, x in known.values()} == {True, False}
+    ids = [r[0] for r in rows]
+    counts = [np.full(quality.TRIGRAMS, 0.0), np.full(quality.TRIGRAMS, 0.0)]
+    for i, t, *_ in rows:
+        if i in known and known[i][1]:
+            for k in quality.trigrams(t):
+                counts[known[i][0] > 0][k] += 1
+    usual = (counts[0] + counts[1]) / (counts[0].sum() + counts[1].sum())
+    share = [(c + quality.TRIGRAM_PRIOR * usual + 1e-9) / (c.sum() + quality.TRIGRAM_PRIOR) for c in counts]
+    speak = np.log(share[1] / share[0])
+    feats = np.array([[*quality.features(t), speak[quality.trigrams(t)].mean() if len(t or "") > 2 else 0.0] for _, t, *_ in rows])
+    have = np.array([i in known and not known[i][1] for i in ids])
+    model = fit_logistic(feats[have], np.array([float(known[i][0] > 0) for i, h in zip(ids, have, strict=True) if h]))
+    odds = model[0] + feats @ np.array(model[1:])
+    p = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
+    host, path = [r[3] or "" for r in rows], [(r[3] or "", r[2] or "") for r in rows]
+
+    def shrunk(keys, prior):
+        n, good = {}, {}
+        for k, x in zip(keys, p, strict=True):
+            n[k], good[k] = n.get(k, 0) + 1, good.get(k, 0.0) + x
+        spread = sum(n[k] * (good[k] / n[k] - prior(k)) ** 2 for k in n)
+        noise = sum(max(prior(k) * (1 - prior(k)), 1e-6) for k in n)
+        between = max(1e-9, (spread - noise) / sum(n.values()))
+        strength = min(1e6, max(1.0, noise / sum(n.values()) / between))
+        return {k: (good[k] + strength * prior(k)) / (n[k] + strength) for k in n}
+
+    mean = p.mean()
+    hosts = shrunk(host, lambda k: mean)
+    paths = shrunk(path, lambda k: hosts[k[0]])
+    logit = lambda x: np.log(np.clip(x, 1e-4, 1 - 1e-4) / (1 - np.clip(x, 1e-4, 1 - 1e-4)))
+    score = 1 / (1 + np.exp(-np.clip(odds + np.array([logit(paths[k]) for k in path]) - logit(mean), -35, 35)))
+    np.testing.assert_allclose(np.sort(got["score"].to_numpy()), np.sort(score), rtol=1e-6, atol=1e-9)
+
+
 def test_models_without_labels_or_rows(spark, made):
     docs, labels, rows = made
     none = labels.limit(0)

@@ -279,6 +279,50 @@ def test_decontamination_finds_copies_edits_and_nothing_else(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_aligning_everything(spark):
+    """All documents with all items by the textbook: what reaches the threshold is found, if edits left it three words in a row."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(60)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(n) for n in (3, 8, 12, 20, 45, 150)] + [say(12)]
+    items.append(items[1])
+    docs = []
+    for d in range(120):
+        text = say(rng.randint(0, 60))
+        w = items[rng.randrange(len(items))]
+        a = rng.randrange(len(w))
+        part = [rng.choice(vocabulary) if rng.random() < 0.12 else x for x in w[a : a + rng.randint(1, len(w))] if rng.random() > 0.08]
+        at = rng.randint(0, len(text))
+        docs.append(text[:at] + part + text[at:])
+    want = {}
+    for d, text in enumerate(docs):
+        grams = {tuple(text[i : i + 3]) for i in range(len(text) - 2)}
+        for k, item in enumerate(items):
+            score = slow_align(item, text) / (2 * len(item))
+            if score >= decontaminate.THRESHOLD and any(tuple(item[i : i + 3]) in grams for i in range(len(item) - 2)):
+                want[d, k] = score
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], SCHEMA).withColumn("a.b", F.lit(1))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(df, bench).collect()}
+    assert len(want) > 30 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(s) for k, s in want.items())
+    kept = decontaminate.drop_leaks(df, bench)
+    assert kept.columns == df.columns and kept.count() == len(docs) - len({d for d, _ in want})
+
+
+def test_decontamination_windows_follow_each_item(spark):
+    """One long item does not widen the windows around the seeds of short ones."""
+    short, long = [f"s{i}" for i in range(8)], [f"l{i}" for i in range(5000)]
+    filler = [f"x{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(0, " ".join(filler + short + filler)), (1, " ".join(filler + long[:4000] + filler))], SCHEMA)
+    bench = spark.createDataFrame([(0, " ".join(short)), (1, " ".join(long))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1)}
+    seeds = decontaminate.item_seeds(bench, 3).select(F.explode("h").alias("h"), F.size("h").alias("n"))
+    planes = [(11, decontaminate._bloom.build(seeds.where("n < 100"), 1)), (5001, decontaminate._bloom.build(seeds.where("n > 100"), 8))]
+    sizes = {r.doc_id: r.n for r in decontaminate._windows(docs, planes, 3).groupBy("doc_id").agg(F.max(F.size(F.split("words", " "))).alias("n")).collect()}
+    assert sizes[0] < 100 and sizes[1] > 4000
+
+
 @pytest.mark.parametrize(("verbatim", "edited"), [(0, 9), (0, 300), (3, 20), (40, 200)])
 def test_decontamination_finds_one_edit_in_many_documents(spark, verbatim, edited):
     item = [f"w{i}" for i in range(20)]
@@ -311,6 +355,18 @@ def test_quotes_link_to_originals(spark):
     assert chat_quotes.link_quotes(df).count() == 9 and chat_quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_quotes_belong_to_the_latest_earlier_message(spark):
+    """Over the borders of chunks of turns too, and never to a later one."""
+    chunk = chat_quotes.CHUNK_TURNS
+    said = {0: "Thanks", 3: "Thanks", chunk - 1: "Thanks", chunk + 5: "Thanks", 5 * chunk: "Thanks", -4: "Thanks"}
+    asked = [-3, 1, 2, 4, chunk - 1, chunk, chunk + 4, chunk + 6, 3 * chunk, 5 * chunk, 5 * chunk + 1]
+    rows = [(1, t, "user", x) for t, x in said.items()] + [(1, t, "assistant", "> thanks\nreply") for t in asked] + [(2, t, "user", "> Thanks\nfrom afar") for t in (0, 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df).where("text in ('reply', 'from afar')").collect()}
+    want = {(1, t): (1, max(x for x in said if x < t)) for t in asked}
+    assert got == want | {(2, 0): (1, -4), (2, 9): (1, -4)}
+
+
 def test_quotes_of_parts_of_messages(spark):
     texts = [
         (1, 0, "First paragraph\ngoes on.\n\nSecond one here.\nAnd a last line."), (1, 1, "> Second one here.\nA reply to a line"), (1, 2, "> first paragraph\n> goes on.\nA reply to a paragraph"),
