@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,9 +43,9 @@ LONG_BYTES = 256
 #: "'re" can become one match only when all three characters are there, and white space looks one further.
 REACH = 3
 #: Bytes, about, that a worker spends on the encoded pre-tokens it remembers, and as many again on pairs of ids.
-REMEMBERED_BYTES = 24 << 20
-#: What an entry takes besides its characters and ids, and what a pair takes.
-TOKEN_BYTES, PAIR_BYTES = 190, 160
+REMEMBERED_BYTES = 40 << 20
+#: What an entry takes besides its characters and ids, and what a pair takes: measured, with the tables' free places.
+TOKEN_BYTES, PAIR_BYTES = 175, 100
 
 #: Letters, numbers and white space up to U+00FF, and with them the split pattern of the rank files for such texts.
 _L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\\t-\\r \u0085\u00a0"
@@ -72,9 +73,12 @@ class BytePairEncoder:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for piece, i in ranks.items():
             self.bytes_of[i] = piece
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Ids of pre-tokens as bytes, which take little room and are put together without a number being made.
+        self.known: dict[str, bytes] = {}
         self.known_bytes = 0
-        self.checked: dict[tuple[int, int], bool] = {}
+        self.code, self.kind = ("H", "u2") if len(self.bytes_of) <= 1 << 16 else ("I", "u4")
+        #: Whether pairs are valid, by first id << 32 | second id.
+        self.checked: dict[int, bool] = {}
         #: The most bytes of a token, by its first two.
         self.longest: dict[bytes, int] = {}
         for piece in ranks:
@@ -96,7 +100,7 @@ class BytePairEncoder:
                 if token is not None:
                     if last is None:
                         break
-                    good = checked.get((last, token))
+                    good = checked.get(last << 32 | token)
                     if good or good is None and self.valid(last, token):
                         break
                 end -= 1
@@ -116,12 +120,12 @@ class BytePairEncoder:
 
     def valid(self, a: int, b: int) -> bool:
         """Whether a pair of ids encodes to itself."""
-        good = self.checked.get((a, b))
+        good = self.checked.get(a << 32 | b)
         if good is None:
             good = self._merge(self.bytes_of[a] + self.bytes_of[b], search=False) == [a, b]
             if len(self.checked) * PAIR_BYTES >= REMEMBERED_BYTES:
                 self.checked.clear()
-            self.checked[a, b] = good
+            self.checked[a << 32 | b] = good
         return good
 
     def _merge(self, piece: bytes, search: bool = True) -> list[int]:
@@ -163,16 +167,16 @@ class BytePairEncoder:
         half = len(piece) // 2
         return self._join_ids(self.encode_piece(piece[:half]), self.encode_piece(piece[half:]))
 
-    def _ids(self, token: str) -> tuple[int, ...]:
+    def _ids(self, token: str) -> bytes:
         ids = self.known.get(token)
         if ids is None:
-            ids = tuple(self.encode_piece(token.encode("utf-8")))
+            ids = array(self.code, self.encode_piece(token.encode("utf-8"))).tobytes()
             if len(token) <= 64:
                 if self.known_bytes >= REMEMBERED_BYTES:
                     self.known.clear()
                     self.known_bytes = 0
                 self.known[token] = ids
-                self.known_bytes += TOKEN_BYTES + len(token) + 8 * len(ids)
+                self.known_bytes += TOKEN_BYTES + len(token) + len(ids)
         return ids
 
     # -- pre-tokens of a text; an encoding is the list of them
@@ -221,11 +225,8 @@ class BytePairEncoder:
         return self._join_tokens(self.pretokens(text[:half]), self.pretokens(text[half:]))
 
     def encode(self, text: str) -> np.ndarray:
-        known, ids = self.known, []
-        for t in self.pretokens(text):
-            got = known.get(t)
-            ids.extend(self._ids(t) if got is None else got)
-        return np.array(ids, dtype="<u4")
+        known, make = self.known.get, self._ids
+        return np.frombuffer(b"".join([known(t) or make(t) for t in self.pretokens(text)]), self.kind).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids, halves concatenated."""
