@@ -138,15 +138,9 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type AS site, count(*) AS pages, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS items, count_if(value < 1) AS errors FROM events GROUP BY 1")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _event_stream(spark, sf_dir).select(F.col("event_type").alias("site"), F.get_json_object("props", "$.k").cast("long").alias("items"), F.when(F.col("value") < 1, "timeout").alias("error"))
-    out = {}
-
-    def keep(batch: DataFrame, number: int) -> None:
-        out["path"] = scratch(spark, "progress")
-        batch.write.parquet(out["path"])  # complete mode: the last batch is the whole state
-
-    query_ = J.run_progress(log).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", scratch(spark, "progress-state")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.read.parquet(out["path"])
+    root = scratch(spark, "progress")
+    J.snapshot_stream(J.run_progress(log), root, lambda stored, batch: batch, "complete").awaitTermination()  # a batch is the whole state
+    return J.last_snapshot(spark, root)
 
 
 @query("SELECT DISTINCT user_id AS url FROM events")
@@ -171,18 +165,13 @@ def stream_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id AS url, arg_max(value, (ts, event_id)) AS price, count(*) AS n FROM events GROUP BY 1")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch merged into the last snapshot; a snapshot is a new folder, and the last one is the result."""
+    """Each micro-batch merged into the last snapshot; the newest snapshot is the result."""
     seen = _event_stream(spark, sf_dir).select(F.col("user_id").alias("url"), "value", "ts", "event_id")
-    last: dict[str, str] = {}
-
-    def apply(batch: DataFrame, number: int) -> None:
-        order = F.struct("ts", "event_id")
-        new = batch.groupBy("url").agg(F.max(F.struct(order.alias("at"), F.col("value").alias("price"))).alias("x"), F.count("*").alias("n"))
-        if "path" in last:
-            new = new.unionByName(batch.sparkSession.read.parquet(last["path"])).groupBy("url").agg(F.max("x").alias("x"), F.sum("n").alias("n"))
-        path = scratch(spark, "snapshot")
-        new.write.parquet(path)
-        last["path"] = path
-
-    J.upsert_stream(seen, apply, scratch(spark, "upsert-state")).awaitTermination()
-    return spark.read.parquet(last["path"]).select("url", F.col("x.price").alias("price"), "n")
+
+    def advance(stored: DataFrame | None, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy("url").agg(F.max(F.struct(F.struct("ts", "event_id").alias("at"), F.col("value").alias("price"))).alias("x"), F.count("*").alias("n"))
+        return new if stored is None else new.unionByName(stored).groupBy("url").agg(F.max("x").alias("x"), F.sum("n").alias("n"))
+
+    root = scratch(spark, "snapshots")
+    J.snapshot_stream(seen, root, advance).awaitTermination()
+    return J.last_snapshot(spark, root).select("url", F.col("x.price").alias("price"), "n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -14,28 +14,34 @@ from ..operators.catalog import STORED_PRODUCTS, upsert_products
 from ..shipping import ship_package
 
 
-def price_drop_alerts(items: DataFrame, threshold: float) -> DataFrame:
+def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = None) -> DataFrame:
     """Alerts on a stream of (url, price, seen_at, ordinal) when a price falls by `threshold` percent or more: state is the
-    last price of a url. Rows of one batch are put in time order first, as a micro-batch has none."""
+    last price of a url. Rows of one batch are put in time order first, as a micro-batch has none. With `keep` (as in
+    "90 days") a url that was not seen for so long is forgotten, so state does not grow with all urls there ever were."""
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["seen_at", "ordinal"])
-        last = state.get[0] if state.exists else None
-        alerts = []
-        for r in rows.itertuples(index=False):
-            if r.price == r.price and r.price is not None:
-                if last and (last - r.price) / last * 100 >= threshold:
-                    alerts.append((key[0], r.seen_at, r.ordinal, last, r.price, round((last - r.price) / last * 100, 2)))
-                last = float(r.price)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(alerts, columns=["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).dropna(subset="price").sort_values(["seen_at", "ordinal"])
+        before = rows["price"].shift()
+        if len(rows) and state.exists:
+            before.iloc[0] = state.get[0]
+        drop = (before - rows["price"]) / before.where(before != 0) * 100
+        alerts = rows.assign(last_price=before, drop_percent=drop.round(2))[(drop >= threshold).to_numpy()]
+        if len(rows):
+            state.update((float(rows["price"].iloc[-1]),))
+        if state.exists and wait_ms is not None:
+            state.setTimeoutDuration(wait_ms)
+        yield alerts[["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"]]
 
     ship_package(items.sparkSession)
+    wait_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
     kind = items.schema["url"].dataType.simpleString()
     at = items.schema["seen_at"].dataType.simpleString()
+    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
     return items.select("url", "price", "seen_at", "ordinal").groupBy("url").applyInPandasWithState(
-        each, f"url {kind}, seen_at {at}, ordinal long, last_price double, price double, drop_percent double", "last double", "append", GroupStateTimeout.NoTimeout
+        each, f"url {kind}, seen_at {at}, ordinal long, last_price double, price double, drop_percent double", "last double", "append", timeout
     )
 
 
@@ -61,10 +67,39 @@ def upsert_stream(items: DataFrame, apply: Callable[[DataFrame, int], None], che
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def snapshot_stream(items: DataFrame, root: str, advance: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> StreamingQuery:
+    """A table that each micro-batch moves on: snapshot n is `advance(snapshot n - 1, batch n)`, in a folder named by n.
+
+    The batch number alone says what is read and written, so a batch that runs again after a failure, or in a new session,
+    leaves the same state. Of older snapshots the last one stays, until the batch behind it is done.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        stored = spark.read.parquet(f"{root}/batch={number - 1}") if number else None
+        advance(stored, batch).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        old, store = _folder(spark, f"{root}/batch={number - 2}")
+        store.delete(old, True)
+
+    return items.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start()
+
+
+def last_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot of `snapshot_stream`."""
+    folder, store = _folder(spark, root)
+    numbers = [int(f.getPath().getName().removeprefix("batch=")) for f in store.listStatus(folder)]
+    return spark.read.parquet(f"{root}/batch={max(numbers)}")
+
+
 def catalog_stream(products: DataFrame, root: str, as_of: Column, order: list[str]) -> StreamingQuery:
     """Products (as `upsert_products` takes them) into a catalog under `root`: per batch a snapshot, and the prices, changes
     and baselines it added. Batch n starts from the snapshot of batch n - 1 and overwrites only its own folders, so a batch
-    that runs again after a failure leaves the same state."""
+    that runs again after a failure leaves the same state. Snapshots older than that are deleted, what was added stays."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -72,6 +107,8 @@ def catalog_stream(products: DataFrame, root: str, as_of: Column, order: list[st
         out = upsert_products(stored, batch, as_of, order)
         for name in ("products", "prices", "changes", "baselines"):
             getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+        old, store = _folder(spark, f"{root}/products/batch={number - 2}")
+        store.delete(old, True)
 
     return upsert_stream(products, apply, f"{root}/checkpoint")
 
