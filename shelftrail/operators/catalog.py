@@ -106,7 +106,8 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order
     batch = first_wins(incoming, ["sku"], order)
     attributes = F.struct("product_url", "model_id", *PRODUCT_ATTRIBUTES)
     old = stored.select("sku", attributes.alias("old"), "created_at", "updated_at")
-    both = old.join(batch.select("sku", attributes.alias("new"), *order), "sku", "full_outer")
+    named = [c for c in ("brand", "category", "model") if c in incoming.columns]  # told in the summary only
+    both = old.join(batch.select("sku", attributes.alias("new"), *order, *named), "sku", "full_outer")
     fresh = both.where("old is null")
     taken = fresh.join(stored.select(F.col("product_url").alias("url")), F.col("new.product_url") == F.col("url"), "left_semi").select("sku")
     repeated = fresh.groupBy(F.col("new.product_url").alias("url")).agg(F.min_by("sku", F.struct(*order, "sku")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -140,6 +141,6 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order
     summary = touched.agg(
         F.count("*").alias("saved"), F.count_if(is_new).alias("new"), F.count_if(~is_new).alias("updated"),
         F.countDistinct("new.model_id").alias("models"), F.max_by("sku", F.struct(*order)).alias("last_sku"),
-        F.max_by("new.model_id", F.struct(*order)).alias("last_model"),
+        *[F.countDistinct(c).alias(f"distinct_{c}") for c in named], *[F.max_by(c, F.struct(*order)).alias(f"last_{c}") for c in named],
     ).crossJoin(rejected.agg(F.count("*").alias("errors")))
     return Upsert(products, prices, changes, baselines, rejected, summary)

@@ -268,6 +268,42 @@ def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.dashboard(totals, done, last, job)
 
 
+@query("""SELECT (SELECT count(*) FROM orders) AS products, CAST((SELECT max(ts) FROM events WHERE event_type = 'purchase') AS VARCHAR) AS last_run, total, completed, round_even(completed / total * 100, 2) AS completion_pct
+FROM (SELECT count(*) AS total FROM nation), (SELECT count(DISTINCT c_nationkey) AS completed FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 495000)""")
+def dashboard_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dashboard's row while no job runs: completion is that of the catalog."""
+    events = table(spark, sf_dir, "events")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category_id"))
+    done = U.completion(nations, catalog(spark, sf_dir).where("price > 495000").select("category_id"), "category_id")
+    last = U.last_run(events.select(F.col("event_type").alias("status"), F.col("ts").alias("started_at")), "purchase").select(F.col("last_run").cast("string"))
+    no_job = events.where("event_type = 'no such type'").select(F.lit(1).alias("done"), F.lit(2).alias("total"))
+    return U.dashboard(products(spark, sf_dir).agg(F.count("*").alias("products")), done, last, no_job)
+
+
+@query(f"WITH {FEED} SELECT product_id, sku, change_type, CAST(changed_at AS VARCHAR) AS changed_at FROM full_feed WHERE change_type = 'stock'")
+def feed_before_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A feed that has rows stays as it is, without the baselines."""
+    base = G.baseline_feed(catalog(spark, sf_dir), price_history(spark, sf_dir).limit(0).select("product_id", F.col("recorded_at").alias("captured_at")))
+    feed = G.feed_with_fallback(G.ChangeFilter(("stock",)).apply(_feed(spark, sf_dir)), base)
+    return feed.select("product_id", "sku", "change_type", F.col("changed_at").cast("string"))
+
+
+@query("""WITH x AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS o, p_brand, p_type, p_name FROM part)
+SELECT count(*) AS saved, count_if(p_partkey % 4 <> 0) AS new, count_if(p_partkey % 4 = 0) AS updated, count(DISTINCT p_brand) AS distinct_brand, count(DISTINCT p_type) AS distinct_category, count(DISTINCT p_name) AS distinct_model,
+  arg_max(p_brand, o) AS last_brand, arg_max(p_type, o) AS last_category, arg_max(p_name, o) AS last_model, 's' || max(p_partkey) AS last_sku, 0 AS errors FROM x""")
+def catalog_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("s"), key).alias("sku"), F.concat(F.lit("u"), key).alias("product_url"), F.lit(1).cast("long").alias("model_id"), F.col("p_name").alias("title"), F.lit("").alias("description"),
+        F.col("p_retailprice").alias("price"), F.lit("in_stock").alias("stock_status"), F.col("p_partkey").alias("ordinal"), F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.col("p_name").alias("model"),
+    )
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    stored = part.where("ordinal % 4 = 0").withColumns({"created_at": at, "updated_at": at})
+    out = K.upsert_products(stored, part, at).summary
+    names = [f"{k}_{c}" for k in ("distinct", "last") for c in ("brand", "category", "model")]
+    return out.select("saved", "new", "updated", *names, "last_sku", "errors")
+
+
 UPSERT_SQL = """cut AS (SELECT make_timestamp(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) * 7 // 10) AS cut_at FROM events), old AS (
   SELECT user_id AS sku, arg_max(value, (ts, event_id)) AS price, arg_max(event_type, (ts, event_id)) AS stock_status, min(event_id) AS model_id FROM events, cut
   WHERE ts < cut_at AND user_id % 7 <> 0 GROUP BY 1

@@ -185,6 +185,28 @@ def compare_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_compare_price(items(spark, sf_dir), sheet).select("ordinal", "cmp_price")
 
 
+@query("""WITH x AS (SELECT p_partkey AS k, p_name AS name, 'a' || (p_size % 90 + 10) AS code, CAST(p_retailprice AS DOUBLE) AS price, p_partkey % 4 AS kind FROM part),
+s AS (SELECT k, price, name || ' ' || code AS norm, code AS model, CASE WHEN kind = 1 THEN 'Shop.example' ELSE '' END AS site, kind FROM x WHERE kind < 3),
+site_model AS (SELECT model, arg_max(price, k) AS p FROM s WHERE site <> '' GROUP BY 1), by_norm AS (SELECT CASE WHEN kind = 0 THEN norm ELSE 'other ' || norm END AS norm, arg_max(price, k) AS p FROM s GROUP BY 1),
+by_model AS (SELECT model, arg_max(price, k) AS p FROM s GROUP BY 1)
+SELECT x.k AS ordinal, coalesce(CASE WHEN x.k % 2 = 0 THEN a.p END, b.p, c.p) AS cmp_price FROM x LEFT JOIN site_model a ON a.model = code LEFT JOIN by_norm b ON b.norm = name || ' ' || code LEFT JOIN by_model c ON c.model = code""")
+def compare_lookup_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that only agree in normal form or in their model code, with and without a site."""
+    code = F.concat(F.lit("a"), (F.col("p_size") % 90 + 10).cast("string"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat("p_name", F.lit(" "), code).alias("named"), F.col("p_retailprice").alias("price"), (F.col("p_partkey") % 4).alias("kind"))
+    told = F.when(F.col("kind") == 0, F.concat(F.lit("LCD Screen for "), F.upper("named"))).otherwise(F.concat(F.lit("Other, "), "named"))
+    sheet = part.where("kind < 3").select("ordinal", told.alias("title"), F.when(F.col("kind") == 1, "Shop.example").otherwise("").alias("site"), F.lit("").alias("url"), "price")
+    rows = part.select("ordinal", F.col("named").alias("title"), F.when(F.col("ordinal") % 2 == 0, "shop.EXAMPLE").otherwise("elsewhere").alias("site"), F.lit(None).cast("string").alias("url"))
+    return with_compare_price(rows, sheet).select("ordinal", "cmp_price")
+
+
+@query("SELECT 0 AS ordinal, 'no-such-part' AS url")
+def seed_scope_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seed that no known category has becomes a category of its own."""
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.concat(F.lit("https://shop.example/"), F.replace("p_name", F.lit(" "), F.lit("-"))).alias("url"), F.col("p_name").alias("label"))
+    return U.seed_scope(known, "no-such-part").select("ordinal", "url")
+
+
 @query("""SELECT p_name AS title, CAST(p_retailprice AS DOUBLE) AS price, p_brand AS site, '' AS url, p_size % 10 <> 0 AS ok FROM part WHERE p_size % 10 <> 0
 UNION ALL SELECT NULL, CAST(p_retailprice AS DOUBLE), p_brand, '', false FROM part WHERE p_size % 10 = 0""")
 def comparison_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
