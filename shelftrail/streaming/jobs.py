@@ -17,7 +17,9 @@ from ..shipping import ship_package
 def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = None) -> DataFrame:
     """Alerts on a stream of (url, price, seen_at, ordinal) when a price falls by `threshold` percent or more: state is the
     last price of a url. Rows of one batch are put in time order first, as a micro-batch has none. With `keep` (as in
-    "90 days") a url that was not seen for so long is forgotten, so state does not grow with all urls there ever were."""
+    "90 days") a url that the stream's own time has left so far behind is forgotten, so state does not grow with all urls
+    there ever were, and rows later than that are left out."""
+    keep_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def each(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,16 +33,18 @@ def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = Non
         alerts = rows.assign(last_price=before, drop_percent=drop.round(2))[(drop >= threshold).to_numpy()]
         if len(rows):
             state.update((float(rows["price"].iloc[-1]),))
-        if state.exists and wait_ms is not None:
-            state.setTimeoutDuration(wait_ms)
+            if keep_ms is not None:
+                state.setTimeoutTimestamp(int(rows["_ms"].max()) + keep_ms)
         yield alerts[["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"]]
 
     ship_package(items.sparkSession)
-    wait_ms = None if keep is None else int(pd.Timedelta(keep).total_seconds() * 1000)
     kind = items.schema["url"].dataType.simpleString()
     at = items.schema["seen_at"].dataType.simpleString()
-    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
-    return items.select("url", "price", "seen_at", "ordinal").groupBy("url").applyInPandasWithState(
+    if keep is not None:
+        items = items.withWatermark("seen_at", keep)
+    timeout = GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.EventTimeTimeout
+    some = items.select("url", "price", "seen_at", "ordinal", F.unix_millis(F.col("seen_at").cast("timestamp")).alias("_ms"))
+    return some.groupBy("url").applyInPandasWithState(
         each, f"url {kind}, seen_at {at}, ordinal long, last_price double, price double, drop_percent double", "last double", "append", timeout
     )
 

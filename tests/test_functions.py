@@ -40,7 +40,7 @@ def check(spark, make, cases, schema="v string"):
         (U.domain, [("https://www.a.example/x", "a.example"), ("not a url", ""), (None, "")]),
         (U.normal_url, [(" HTTP://A.example/x// ", "http://a.example/x"), (None, "")]),
         (U.next_page_url, [("https://a.example/c?p=2&x=1", "https://a.example/c?p=3&x=1"), ("https://a.example/c?page=9", "https://a.example/c?page=10"), ("https://a.example/c?p=x", None), ("https://a.example/c", None)]),
-        (U.model_name, [("https://a.example/replacement-parts/apple/iphone-12-pro/", "iPhone 12 Pro"), ("https://a.example/shop/galaxy_s21.html", "Galaxy S21"), ("https://a.example/parts", "Parts"), ("nothing", "Nothing"), (None, "")]),
+        (U.model_name, [("https://a.example/replacement-parts/apple/iphone-12-pro/", "iPhone 12 Pro"), ("https://a.example/shop/galaxy_s21.html", "Galaxy S21"), ("https://a.example/parts", "Parts"), ("https://a.example/tablet/ipad-9-wi-fi", "iPad 9 Wi\u2011Fi"), ("https://a.example/tablet/ipad-9-wifi.html", "iPad 9 Wi\u2011Fi"), ("nothing", "Nothing"), (None, "")]),
         (U.region_source, [("https://shop.ca/x", "S-CA"), ("https://shop.example/x", "S-US"), (None, "S")]),
         (M.host_currency, [("shop.ca", "CAD"), ("ca.shop.example", "CAD"), ("shop.example", "USD"), (None, "USD")]),
     ],

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shelftrail.operators import cards, catalog, changes, compare, history, pages, results, retention, runs, sessions
+from shelftrail.operators import cards, catalog, changes, compare, history, pages, product_pages, results, retention, runs, sessions
 from shelftrail.sources import readers, writers
 from shelftrail.streaming import jobs
 
@@ -165,6 +165,40 @@ def test_listing_layouts(spark, layout, html, want):
     assert (r.url, r.title, r.price_value, r.stock_status, r.image_url, r.category_path) == want
 
 
+def test_deep_and_unclosed_pages(spark):
+    deep = "<div>" * 10_000 + '<li class="item"><a href="/p/1">Deep</a><span class="price">$5.00</span></li>' + "</div>" * 10_000
+    unclosed = '<ul><li class="item"><a href="/p/2">Two</a><p>$1' + "<p>x" * 10_000 + '<li class="item"><a href="/p/3">Three</a><span class="price">$3.00</span></ul>'
+    df = spark.createDataFrame([(1, "https://a.example/", deep), (2, "https://a.example/", unclosed)], "page_id long, url string, html string")
+    got = {(r.page_id, r.url): r.price_value for r in cards.listing_items(df).collect()}
+    assert got == {(1, "https://a.example/p/1"): 5.0, (2, "https://a.example/p/2"): None, (2, "https://a.example/p/3"): 3.0}
+    tags = [(n.tag, n.text()) for n in cards.tree("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table><p>q<div>r</div></span>").all()]
+    assert tags == [("ul", "a b c d"), ("li", "a b c"), ("ul", "b c"), ("li", "b"), ("li", "c"), ("li", "d"), ("table", "1 2 3"), ("tr", "1 2"), ("td", "1"), ("td", "2"), ("tr", "3"), ("td", "3"), ("p", "q"), ("div", "r")]
+
+
+def test_product_pages_without_anything(spark):
+    df = spark.createDataFrame([(1, "https://a.ca/x", None), (2, None, ""), (3, "https://a.example/y", "<b data-price-amount='x'>$7.50</b><script type='application/ld+json'>{}</script>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in product_pages.product_rows(df).collect()}
+    assert got[1].price_value is None and got[1].title == "" and got[1].price_currency == "CAD" and got[1].original_formatted == "" and got[1].price_text == "price_not_found_or_hidden"
+    assert got[2].stock_status is None and got[3].price_value is None and got[3].url == "https://a.example/y"
+    assert product_pages.product_rows(df.limit(0)).count() == 0
+
+
+def test_nested_offers_and_flags(spark):
+    offers = ['{"offers": {"availability": true, "price": 3}}', '{"offers": [{"price": "x"}, {"inStock": false, "price": "4.50"}]}', '{"offers": {"offers": [{"availability": "https://schema.org/PreOrder", "price": 9}]}}', '{"offers": {"available": "yes"}}', '{"name": " N "}']
+    df = spark.createDataFrame([(i, o) for i, o in enumerate(offers)], "i int, v string").select("i", pages.product_facts(F.parse_json("v")).alias("x")).select("i", "x.*")
+    got = {r.i: (r.price, r.stock_status) for r in df.collect()}
+    assert got == {0: (3.0, "in_stock"), 1: (4.5, "out_of_stock"), 2: (9.0, "preorder"), 3: (None, "in_stock"), 4: (None, None)}
+
+
+def test_unreadable_session_json(spark):
+    df = spark.createDataFrame([(1, '["a", "b"]', '{"site": "s", "percent_off": 5, "category_urls": ["u"], "x": 1}'), (2, "oops", "{"), (3, None, None)], "session_id long, urls string, rules string")
+    got = {r.session_id: r for r in sessions.with_json(df).collect()}
+    assert got[1].urls == ["a", "b"] and got[1].rules.site == "s" and got[1].rules.percent_off == 5.0 and got[1].rules.category_urls == ["u"]
+    assert got[2].urls == [] and got[2].rules is None and got[3].urls == [] and got[3].rules is None
+    back = {r.session_id: r for r in sessions.with_json(sessions.as_json(sessions.with_json(df))).collect()}
+    assert back == got
+
+
 def test_structured_data_and_pages(spark):
     html = '<script type="application/ld+json">{"@graph":[{"@type":"Product","name":" N ","offers":[{"price":"bad"},{"price":"12.00","priceCurrency":"USD","availability":"https://schema.org/InStock"}]}]}</script><script type="application/ld+json">not json</script>'
     df = spark.createDataFrame([(1, "https://a.example/x?p=1", html), (2, "https://a.example/y", None)], "page_id long, url string, html string")
@@ -200,6 +234,8 @@ def test_streams_equal_batches(spark, tmp_path):
     got = jobs.run_to_table(jobs.price_drop_alerts(stream(), 10.0), str(tmp_path / "o1"), str(tmp_path / "c1"))
     want = history.price_drops(spark.createDataFrame(rows, schema), 10.0)
     assert got.count() > 5 and sorted((r.ordinal, r.last_price, r.drop_percent) for r in got.collect()) == sorted((r.ordinal, r.last_price, r.drop_percent) for r in want.collect())
+    kept = jobs.run_to_table(jobs.price_drop_alerts(stream(), 10.0, keep="1 day"), str(tmp_path / "o4"), str(tmp_path / "c4"))
+    assert sorted((r.ordinal, r.last_price) for r in kept.collect()) == sorted((r.ordinal, r.last_price) for r in want.collect())
     seen = jobs.run_to_table(jobs.first_seen(stream()), str(tmp_path / "o2"), str(tmp_path / "c2"))
     assert sorted(r.url for r in seen.collect()) == ["a", "b"]
     log = stream().select(F.col("url").alias("site"), F.lit(2).alias("items"), F.lit(None).cast("string").alias("error"))
