@@ -89,10 +89,13 @@ def normalised(text: Column) -> Column:
 
 
 def _key(text: Column) -> Column:
-    """Two 64-bit hashes of the normalised words; null when there are none."""
-    words = normalised(text)
-    a, b = hash_pair(words)
-    return F.when(words != "", F.struct(a.alias("a"), b.alias("b")))
+    """Two 64-bit hashes of the normalised words, which are worked out once; null when there are none."""
+
+    def hashed(words: Column) -> Column:
+        a, b = hash_pair(words)
+        return F.when(words != "", F.struct(a.alias("a"), b.alias("b")))
+
+    return F.get(F.transform(F.array(normalised(text)), hashed), F.lit(0))
 
 
 def parsed_messages(messages: DataFrame) -> DataFrame:
@@ -141,7 +144,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     parsed = materialise(parsed_messages(messages), "messages")
     whole = parsed.select("conv_id", "turn", F.lit(0).alias("partial"), F.col("text").alias("words"))
     some = parsed.select("conv_id", "turn", F.lit(1).alias("partial"), F.explode("own_parts").alias("words"))
-    origin = whole.unionByName(some).select("conv_id", "turn", "partial", _key(F.col("words")).alias("quote_key")).where("quote_key is not null")
+    # keys are written down once: all that follows reads 16 bytes for a text
+    origin = materialise(whole.unionByName(some).select("conv_id", "turn", "partial", _key(F.col("words")).alias("quote_key")), "quotable").where("quote_key is not null")
     here = origin.groupBy("conv_id", "quote_key", "partial").agg(F.min("turn").alias("turn"))
     first = here.groupBy("quote_key", "partial").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     # whole messages before parts, in one row for each key
@@ -150,7 +154,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "q.level", "q.piece", "q.back", F.length("q.words").alias("size"), _key(F.col("q.words")).alias("quote_key")
     )
     # a message's place; repeated rows share it
-    asked = asked.where("quote_key is not null").distinct()
+    asked = materialise(asked, "quoted").where("quote_key is not null").distinct()
     linked = earlier_turns(origin, asked).join(first, "quote_key", "left")
     place = F.struct("conv_id", "turn")
 

@@ -150,13 +150,12 @@ def test_near_prefix_join_of_forms_makes_no_pairs(spark):
     scratch.clear()
 
 
-def test_near_leaves_no_tables_behind(spark, messy, tmp_path):
+def test_near_leaves_no_tables_behind(spark, messy, tmp_path, monkeypatch):
+    from shelftrail.llm import _common
+
     _, df = messy
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        assert minhash_dedup.near_components(df, shingle_words=2).count() > 0
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(_common, "shared_dir", lambda _: f"file://{tmp_path}")
+    assert minhash_dedup.near_components(df, shingle_words=2).count() > 0
     assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["near_classes"]
 
 
