@@ -287,7 +287,7 @@ def test_decontamination_equals_aligning_everything(spark):
     items = [say(n) for n in (3, 8, 12, 20, 45, 150)] + [say(12)]
     items.append(items[1])
     docs = []
-    for d in range(120):
+    for d in range(240):
         text = say(rng.randint(0, 60))
         w = items[rng.randrange(len(items))]
         a = rng.randrange(len(w))
