@@ -3,7 +3,7 @@
 Lines are exploded with their positions; a line's key (ends stripped, A-Z lower-cased) is hashed twice, to 128 bits in
 all. Distinct (key, document) pairs are counted per key, each step combined before it moves, so a line on every page is
 one row per task. Keys of `least_docs` documents or more keep their lines in the smallest doc_id that holds them; the
-positions of all others go back to their documents, whose text is put together again from the runs of lines between them.
+positions of all others go back to their documents, whose text is put together again from the lines at all other positions.
 Only hashes and positions are exploded and shuffled, and each text moves once, whole.
 
 Defined cases: a null or empty text is one empty line; keys shorter than `min_chars` never count; rows with the same
@@ -44,11 +44,9 @@ def repeated_keys(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 
 def _without(lines: Column, gone: Column) -> Column:
-    """The runs of lines between the sorted places in `gone`."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda p: p + 1))
-    ends = F.concat(gone, F.array(F.size(lines)))
-    runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"] < r["b"])
-    return F.flatten(F.transform(runs, lambda r: F.slice(lines, r["a"] + 1, r["b"] - r["a"])))
+    """The lines at the places that are not in `gone`, in order; one hash lookup a line."""
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.transform(kept, lambda p: F.get(lines, p))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
