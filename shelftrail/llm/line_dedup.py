@@ -29,8 +29,8 @@ def _lines(text: Column) -> Column:
 
 def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, text_hash, pos, a, b): place and key hashes of each line that counts; a row is known by its id and text."""
-    texts = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text"))
-    lines = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    texts = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text")).withColumn("text_hash", F.xxhash64("text"))  # once a text, below the explode
+    lines = texts.select("doc_id", "text_hash", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(SPACE_CHARS)).alias("key")).where(F.char_length("key") >= min_chars)
     a, b = hash_pair(ascii_lower_key(F.col("key")))
     return keys.select("doc_id", "text_hash", "pos", a.alias("a"), b.alias("b"))
