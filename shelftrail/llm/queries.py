@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_quotes, decontaminate, exact_dedup, license_scan, line_dedup, minhash_dedup, quality, token_counts, toxicity
+from . import bpe, chat_quotes, decontaminate, exact_dedup, hard_negatives, license_scan, line_dedup, minhash_dedup, nearest, quality, token_counts, toxicity, whitening
 from ._common import table
 
 
@@ -50,11 +50,26 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_quotes.link_quotes(chat_quotes.with_quotes(table(spark, sf_dir, "conversations")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's labels: every seventh row's is moved on by one first."""
+    vec_id, label = F.col("vec_id"), F.col("label")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), anchor_every=100, positives=5, negatives=10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_minhash_dedup, op3_line_dedup, op4_token_counts, op5_byte_bpe, op6_quality, op7_license_scan,
-        op8_exact_dedup, op9_toxicity, op10_chat_quotes,
+        op8_exact_dedup, op9_toxicity, op10_chat_quotes, op11_whitening, op12_nearest, op13_hard_negatives,
     )
 }
 
@@ -145,4 +160,26 @@ WITH RECURSIVE m AS (
 SELECT p.conv_id, p.turn, p.role, CASE WHEN parent_turn IS NOT NULL THEN p.conv_id END AS parent_conv, parent_turn, p.conv_id AS thread_conv,
        d.thread_turn, d.depth, quotes1::INT + quotes2::INT AS n_quotes, quotes1::INT + quotes2::INT AS levels, p.text
 FROM p JOIN d USING (conv_id, turn)""",
+    "op12_nearest": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_distance(q.x, v.x) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM d
+WINDOW w AS (PARTITION BY query_id ORDER BY score, vec_id) QUALIFY row_number() OVER w <= 10""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score
+  FROM v a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
 }
