@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import change as C
 from ..functions.text import clean_category, display_sku, display_title, truncate_value
 from .history import price_changes
+from .ranking import ranked
 
 PRODUCT_COLUMNS = ["product_id", "sku", "title", "url", "brand", "category", "model", "stock_status"]
 DEFAULT_TYPES = ("new", "price", "stock", "description")
@@ -55,9 +56,20 @@ def union_feed(history: DataFrame, changes: DataFrame, products: DataFrame) -> D
     return events.join(products.select(*PRODUCT_COLUMNS), "product_id")
 
 
+def feed_order() -> list[Column]:
+    return [F.desc("changed_at"), F.asc("product_id"), F.asc("change_type"), F.asc("new_numeric"), F.asc("new_text")]
+
+
 def recent_changes(feed: DataFrame, wanted: ChangeFilter, limit: int = 50, offset: int = 0) -> DataFrame:
-    order = [F.desc("changed_at"), "product_id", "change_type", "new_numeric", "new_text"]
-    return wanted.apply(feed).orderBy(*order).offset(offset).limit(limit)
+    """The head of the feed: a top-k of offset + limit rows. For pages from anywhere see `feed_page`."""
+    return wanted.apply(feed).orderBy(*feed_order()).offset(offset).limit(limit)
+
+
+def feed_page(feed: DataFrame, wanted: ChangeFilter, number: int, size: int, path: str) -> DataFrame:
+    """A page of the filtered feed by its number, or the last page there is, with places (`position`), total and number of
+    pages, from the feed ranked under the new folder `path`."""
+    listed = ranked(wanted.apply(feed), [*feed_order(), F.asc("old_numeric"), F.asc("old_text")], path)
+    return listed.page(number, size).withColumns({"total": F.lit(listed.total).cast("long"), "pages": F.lit(listed.pages(size)).cast("long")})
 
 
 def told(feed: DataFrame) -> DataFrame:

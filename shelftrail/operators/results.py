@@ -11,6 +11,7 @@ from ..functions import money, stock
 from ..functions.text import contains_all, contains_any, let, model_key, natural_key, normal_title
 from ..functions.urls import domain
 from .compare import with_compare_price
+from .ranking import ranked
 
 
 @dataclass(frozen=True)
@@ -112,10 +113,8 @@ def watched(rows: DataFrame, watchlist: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, number: int, size: int, order: str) -> DataFrame:
-    """A page, by its number or the last page there is, with the place of each row in the whole list.
-
-    One run: the first `number` pages are a bounded top-k, and if there are fewer rows than that they are all there are.
-    """
+    """A page near the head of the list, with the place of each row in the whole list: a bounded top-k of `number` pages.
+    For pages from anywhere, and the last one, see `deep_page`."""
     held = rows.orderBy(*order_columns(order)).limit(number * size)  # windows over these rows are small
     place = F.row_number().over(Window.orderBy(*order_columns(order)))
     held = held.withColumns({"position": place, "_n": F.count("*").over(Window.partitionBy())})
@@ -123,6 +122,12 @@ def page(rows: DataFrame, number: int, size: int, order: str) -> DataFrame:
     return held.where(F.col("position") > (last - 1) * size).drop("_n")
 
 
+def deep_page(rows: DataFrame, number: int, size: int, order: str, path: str) -> DataFrame:
+    """The same page by its number, or the last page there is, from the list ranked under the new folder `path`: no task
+    holds more than a partition of it, and what is read is the partition that the page is in."""
+    return ranked(rows, order_columns(order), path).page(number, size)
+
+
 def results(items: DataFrame, options: ResultOptions, sheet: DataFrame | None = None, watchlist: DataFrame | None = None) -> DataFrame:
     """The list: filters and duplicates first, on what they need, then what is shown of the rows that are left."""
     rows = keyword_filter(priced(items), options.include, options.exclude)

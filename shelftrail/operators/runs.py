@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import normal_url
 from .catalog import first_wins
+from .scans import time_range, totals_upto
 from .sessions import newest, tolerant_json
 
 
@@ -141,11 +142,12 @@ def cut_pages_after_two(pages: DataFrame, keys: list[str], page: str, least_new:
 
 
 def running_counters(steps: DataFrame, run: str, order: list[str], model: str) -> DataFrame:
-    """A run's counters after each step: rows, new ones, and distinct models by the flag of a model's first step."""
-    upto = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    first = F.row_number().over(Window.partitionBy(run, model).orderBy(*order)) == 1
-    flagged = steps.withColumn("_first", first.cast("int"))
-    return flagged.withColumns({"products": F.count("*").over(upto), "new_products": F.sum(F.col("is_new").cast("int")).over(upto), "models": F.sum("_first").over(upto)}).drop("_first")
+    """A run's counters after each step: rows, new ones, and distinct models, told by a model's first step. `order` begins
+    with a time and tells the steps of a run apart; a long run is scanned in ranges of it."""
+    firsts = steps.groupBy(run, model).agg(F.min(F.struct(*order)).alias("_first")).select(run, model, "_first.*").withColumn("_is_first", F.lit(1))
+    flagged = steps.join(firsts, [run, model, *order], "left")
+    sums = {"products": F.lit(1), "new_products": F.col("is_new").cast("int"), "models": F.coalesce("_is_first", F.lit(0))}
+    return totals_upto(flagged, [run], order, time_range(order[0]), sums).drop("_is_first")
 
 
 def timing_estimate(jobs: DataFrame, as_of: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import retention as R
 from ..operators import runs as U
 from ..sources.writers import change_report
 from .registry import query
-from .tables import CHANGE_LOG_SQL, PRODUCTS_SQL, catalog, change_log, price_history, products, table
+from .tables import CHANGE_LOG_SQL, PRODUCTS_SQL, catalog, change_log, newest, price_history, products, scratch, table
 
 LAGGED = """lagged AS (
   SELECT event_id, user_id AS product_id, value AS price, ts AS recorded_at, lag(value) OVER w AS old_price, lag(ts) OVER w AS previous_at
@@ -25,10 +25,6 @@ LAGGED = """lagged AS (
 )"""
 
 
-def _as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg(F.max("ts").alias("as_of"))
-
-
 @query(f"WITH {LAGGED} SELECT product_id, price, old_price, round_even(difference, 2) AS difference, direction, CAST(recorded_at AS VARCHAR) AS recorded_at FROM price_changes ORDER BY price_changes.recorded_at DESC, product_id LIMIT 50")
 def price_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = H.price_changes(price_history(spark, sf_dir)).orderBy(F.desc("recorded_at"), "product_id").limit(50)
@@ -45,8 +41,7 @@ def price_change_feed_tiesafe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LAGGED} SELECT count(*) AS n FROM price_changes WHERE recorded_at >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def changes_last_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = H.price_changes(price_history(spark, sf_dir)).crossJoin(_as_of(spark, sf_dir))
-    return H.count_recent(seen, "recorded_at", F.col("as_of"))
+    return H.count_recent_changes(price_history(spark, sf_dir), newest(spark, sf_dir, "events", "ts"))
 
 
 TYPED = """typed AS (
@@ -69,12 +64,11 @@ SELECT count_if(kind = 'stock') AS stock_changes, count_if(kind = 'description')
        (SELECT count(*) FROM price_changes JOIN products USING (product_id) WHERE recorded_at >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR) AS price_changes
 FROM typed WHERE changed_at >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
 def totals_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _as_of(spark, sf_dir)
-    known = products(spark, sf_dir)
-    recent = G.property_changes(change_log(spark, sf_dir), known).crossJoin(at).where("changed_at >= as_of - interval 24 hours")
+    at, known = newest(spark, sf_dir, "events", "ts"), products(spark, sf_dir)
+    recent = G.property_changes(change_log(spark, sf_dir), known).where(F.col("changed_at") >= at - F.expr("interval 24 hours"))
     typed = recent.agg(F.count_if(F.col("change_type") == "stock").alias("stock_changes"), F.count_if(F.col("change_type") == "description").alias("description_changes"))
-    prices = H.price_changes(price_history(spark, sf_dir)).join(known.select("product_id"), "product_id").crossJoin(at)
-    return typed.crossJoin(H.count_recent(prices, "recorded_at", F.col("as_of")).withColumnRenamed("n", "price_changes"))
+    prices = price_history(spark, sf_dir).join(known.select("product_id"), "product_id")
+    return typed.crossJoin(H.count_recent_changes(prices, at).withColumnRenamed("n", "price_changes"))
 
 
 FEED = f"""{CHANGE_LOG_SQL}, {PRODUCTS_SQL}, {TYPED}, {LAGGED}, feed AS (
@@ -93,10 +87,9 @@ WHERE change_type IN ('price', 'stock', 'description') AND changed_at >= (SELECT
   AND (lower(title) LIKE '%high%' OR lower(sku) LIKE '%high%')
 ORDER BY full_feed.changed_at DESC, product_id, change_type, new_numeric NULLS FIRST, new_text NULLS FIRST LIMIT 100 OFFSET 5""")
 def union_change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = _feed(spark, sf_dir).crossJoin(_as_of(spark, sf_dir))
-    as_of = F.col("as_of")
+    as_of = newest(spark, sf_dir, "events", "ts")
     wanted = G.ChangeFilter(("price", "stock", "description"), as_of - F.expr("interval 10 days"), as_of - F.expr("interval 1 day"), "HIGH")
-    out = G.recent_changes(feed, wanted, limit=100, offset=5)
+    out = G.recent_changes(_feed(spark, sf_dir), wanted, limit=100, offset=5)
     return out.select("product_id", "sku", "change_type", F.col("changed_at").cast("string"), "old_numeric", "new_numeric", "old_text", "new_text", "brand", "category", "model")
 
 
@@ -111,6 +104,15 @@ def union_feed_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.select("product_id", "sku", F.col("changed_at").cast("string"), "old_numeric", "new_numeric")
 
 
+@query(f"""WITH {FEED}, r AS (
+  SELECT *, row_number() OVER (ORDER BY changed_at DESC, product_id, change_type, new_numeric NULLS FIRST, new_text NULLS FIRST, old_numeric NULLS FIRST, old_text NULLS FIRST) AS position, count(*) OVER () AS total FROM full_feed)
+SELECT product_id, change_type, CAST(changed_at AS VARCHAR) AS changed_at, old_numeric, new_numeric, old_text, new_text, position, total, CAST(ceil(total / 40.0) AS BIGINT) AS pages FROM r WHERE position > ((total - 1) // 40) * 40""")
+def change_feed_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of the whole feed: the last page stands for any page beyond it."""
+    out = G.feed_page(_feed(spark, sf_dir), G.ChangeFilter(), 1_000_000, 40, scratch(spark, "feed"))
+    return out.select("product_id", "change_type", F.col("changed_at").cast("string"), "old_numeric", "new_numeric", "old_text", "new_text", "position", "total", "pages")
+
+
 @query(f"WITH {FEED} SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM full_feed WHERE change_type IN ('new', 'stock')")
 def change_feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.feed_pages(G.ChangeFilter(("new", "stock")).apply(_feed(spark, sf_dir)), 25)
@@ -180,7 +182,7 @@ def catalog_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     for name, t in (("brands", "region"), ("categories", "nation"), ("models", "customer")):
         out = out.crossJoin(table(spark, sf_dir, t).agg(F.count("*").alias(name)))
-    recent = price_history(spark, sf_dir).crossJoin(_as_of(spark, sf_dir)).where("recorded_at >= as_of - interval 7 days")
+    recent = price_history(spark, sf_dir).where(F.col("recorded_at") >= newest(spark, sf_dir, "events", "ts") - F.expr("interval 7 days"))
     return out.crossJoin(recent.agg(F.countDistinct("product_id").alias("priced_7d")))
 
 
@@ -205,9 +207,8 @@ def json_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
   greatest(0, CAST(floor(date_diff('second', (SELECT max(ts) FROM events), max(ts) + INTERVAL 12 HOUR) / 60.0) AS BIGINT)) AS eta_minutes FROM events WHERE event_type = 'purchase'""")
 def last_run_and_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("status"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second"), F.col("ts").alias("started_at"))
-    last = U.last_run(runs, "purchase").crossJoin(_as_of(spark, sf_dir))
-    cut = last.withColumns({c: F.date_trunc("second", c).cast("timestamp_ntz") for c in ("as_of",)})
-    out = U.minutes_to_next(cut.withColumn("shown", F.col("last_run")).withColumn("last_run", F.date_trunc("second", "last_run").cast("timestamp_ntz")), F.col("as_of"), 12)
+    last, at = U.last_run(runs, "purchase"), F.date_trunc("second", newest(spark, sf_dir, "events", "ts")).cast("timestamp_ntz")
+    out = U.minutes_to_next(last.withColumn("shown", F.col("last_run")).withColumn("last_run", F.date_trunc("second", "last_run").cast("timestamp_ntz")), at, 12)
     return out.select(F.col("shown").cast("string").alias("last_run"), "eta_minutes")
 
 
@@ -258,9 +259,9 @@ def run_timing_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT products, changes_24h, CAST((SELECT max(ts) FROM events WHERE event_type = 'purchase') AS VARCHAR) AS last_run, 80 AS total, (SELECT max(value) FILTER (event_type = 'error')::INT % 80 FROM events) AS completed,
   round_even((SELECT max(value) FILTER (event_type = 'error')::INT % 80 FROM events) / 80.0 * 100, 2) AS completion_pct FROM t""")
 def dashboard_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events, at = table(spark, sf_dir, "events"), _as_of(spark, sf_dir)
+    events, at = table(spark, sf_dir, "events"), newest(spark, sf_dir, "events", "ts")
     totals = products(spark, sf_dir).agg(F.count("*").alias("products"))
-    totals = totals.crossJoin(H.count_recent(events.crossJoin(at), "ts", F.col("as_of")).withColumnRenamed("n", "changes_24h"))
+    totals = totals.crossJoin(H.count_recent(events, "ts", at).withColumnRenamed("n", "changes_24h"))
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("category_id"))
     done = U.completion(nations, catalog(spark, sf_dir).select("category_id"), "category_id")
     last = U.last_run(events.select(F.col("event_type").alias("status"), F.col("ts").alias("started_at")), "purchase").select(F.col("last_run").cast("string"))
@@ -378,14 +379,11 @@ UNION ALL SELECT 'prices', count_if(ts < cut_at), count_if(ts >= cut_at AND o_or
 UNION ALL SELECT 'products', (SELECT count(*) FROM orders) - (SELECT count(*) FROM stay), 0
 UNION ALL SELECT 'baselines', 0, (SELECT count(*) FROM orders) - (SELECT count(*) FROM stay)""")
 def purge_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _as_of(spark, sf_dir)
-    known = products(spark, sf_dir)
+    at, known = newest(spark, sf_dir, "events", "ts"), products(spark, sf_dir)
     # both tables on one clock: the products' dates are moved so that their newest is the events' newest
     shift = known.agg(F.max("updated_at").alias("newest"))
-    recent = known.crossJoin(shift).crossJoin(at).withColumn("updated_at", F.when(F.col("updated_at") >= F.col("newest") - F.expr("interval 900 days"), F.col("as_of")).otherwise(F.col("as_of") - F.expr("interval 8 days")))
-    log = change_log(spark, sf_dir).crossJoin(at)
-    prices = price_history(spark, sf_dir).crossJoin(at)
-    _, removed = R.purge_history(log, prices, recent, known.select("product_id"), F.col("as_of") - F.expr("interval 7 days"), include_products=True)
+    recent = known.crossJoin(shift).withColumn("updated_at", F.when(F.col("updated_at") >= F.col("newest") - F.expr("interval 900 days"), at).otherwise(at - F.expr("interval 8 days")))
+    _, removed = R.purge_history(change_log(spark, sf_dir), price_history(spark, sf_dir), recent, known.select("product_id"), at - F.expr("interval 7 days"), include_products=True)
     return removed
 
 
@@ -403,3 +401,66 @@ def change_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT strftime(max(ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS newest, CAST(max(event_id) AS BIGINT) AS last_id FROM events")
 def last_write_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.date_format(local_time(F.max("ts")), "yyyy-MM-dd HH:mm").alias("newest"), F.max("event_id").alias("last_id"))
+
+
+#: A third of the events as one product's: `hot` is 0 for them.
+HOT_SQL = "hot AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS hot FROM events)"
+
+
+def _hot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return price_history(spark, sf_dir).withColumn("product_id", F.when(F.col("product_id") % 3 == 0, 0).otherwise(F.col("product_id")))
+
+
+@query(f"""WITH {HOT_SQL}, t AS (SELECT hot, ts, lag(ts) OVER (PARTITION BY hot ORDER BY ts) AS before FROM (SELECT DISTINCT hot, ts FROM hot))
+SELECT e.hot AS product_id, e.event_id, p.value AS old_price, e.value AS price, CASE WHEN e.value > p.value THEN 'up' WHEN e.value < p.value THEN 'down' ELSE 'flat' END AS direction
+FROM hot e JOIN t ON t.hot = e.hot AND t.ts = e.ts JOIN hot p ON p.hot = t.hot AND p.ts = t.before WHERE p.value IS DISTINCT FROM e.value""")
+def hot_product_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price changes where one product has a third of the history."""
+    return H.price_changes(_hot_history(spark, sf_dir)).select("product_id", "event_id", "old_price", "price", "direction")
+
+
+@query(f"""WITH {HOT_SQL}, o AS (SELECT *, last_value(value IGNORE NULLS) OVER (PARTITION BY hot ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_price FROM hot)
+SELECT event_id AS ordinal, hot AS url, last_price, value AS price FROM o WHERE (last_price - value) / last_price * 100 >= 60""")
+def hot_product_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _hot_history(spark, sf_dir).select(F.col("event_id").alias("ordinal"), F.col("product_id").alias("url"), "price", F.col("recorded_at").alias("seen_at"))
+    return H.price_drops(seen, 60.0).drop("seen_at", "drop_percent")
+
+
+@query(f"""WITH {HOT_SQL}, s AS (SELECT *, row_number() OVER (PARTITION BY hot, event_type ORDER BY ts, event_id) = 1 AS first FROM hot)
+SELECT event_id, hot AS run_id, count(*) OVER w AS products, CAST(sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS new_products, CAST(sum(first::INT) OVER w AS BIGINT) AS models
+FROM s WINDOW w AS (PARTITION BY hot ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def hot_run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")).alias("run_id"), "ts", "event_type", (F.col("value") > 50).alias("is_new")
+    )
+    return U.running_counters(steps, "run_id", ["ts", "event_id"], "event_type").select("event_id", "run_id", "products", "new_products", "models")
+
+
+#: Prices rounded to tens and times to days, so that many rows share product, time and price.
+TIED_SQL = "tied AS (SELECT event_id, user_id % 50 AS product_id, date_trunc('day', ts) AS day, CASE WHEN event_id % 41 <> 0 THEN floor(value / 10) * 10 END AS price FROM events)"
+
+
+def _tied_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return price_history(spark, sf_dir).select(
+        "event_id", (F.col("product_id") % 50).alias("product_id"), F.date_trunc("day", "recorded_at").cast("timestamp_ntz").alias("recorded_at"),
+        F.when(F.col("event_id") % 41 != 0, F.floor(F.col("price") / 10) * 10.0).alias("price"),
+    )
+
+
+@query(f"""WITH {TIED_SQL}, s AS (SELECT product_id, day, price, count(*) AS n FROM tied GROUP BY ALL), d AS (SELECT product_id, day, lag(day) OVER (PARTITION BY product_id ORDER BY day) AS before FROM (SELECT DISTINCT product_id, day FROM s))
+SELECT d.product_id, CAST(d.day AS VARCHAR) AS recorded_at, CAST(d.before AS VARCHAR) AS previous_at, CAST(sum(c.n * p.n) FILTER (c.price IS DISTINCT FROM p.price) AS BIGINT) AS changed,
+  CAST(coalesce(sum(c.n * p.n) FILTER (c.price > p.price), 0) AS BIGINT) AS up, CAST(coalesce(sum(c.n * p.n) FILTER (c.price < p.price), 0) AS BIGINT) AS down, CAST(count(DISTINCT coalesce(c.price, -1)) AS INTEGER) AS n_prices
+FROM d JOIN s c ON c.product_id = d.product_id AND c.day = d.day JOIN s p ON p.product_id = d.product_id AND p.day = d.before GROUP BY d.product_id, d.day, d.before""")
+def tied_price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per product and day: how many pairs of one of its rows and one of the day before differ in price, without making them."""
+    steps = H.step_counts(H.price_steps(_tied_history(spark, sf_dir), hours=24 * 7))
+    return steps.select("product_id", F.col("recorded_at").cast("string"), F.col("previous_at").cast("string"), "changed", "up", "down", F.size("prices").alias("n_prices"))
+
+
+@query(f"""WITH {TIED_SQL}, k AS (SELECT product_id, day, arg_max(event_id, event_id) AS event_id, arg_max(coalesce(price, -1), event_id) AS p FROM tied GROUP BY ALL),
+l AS (SELECT product_id, day, event_id, nullif(p, -1) AS price, nullif(lag(p) OVER w, -1) AS old_price, lag(day) OVER w AS before FROM k WINDOW w AS (PARTITION BY product_id ORDER BY day))
+SELECT product_id, event_id, CAST(day AS VARCHAR) AS recorded_at, old_price, price FROM l WHERE before IS NOT NULL AND price IS DISTINCT FROM old_price""")
+def prices_kept_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One price of a product and time is kept when a batch is written; then the row before is the time before."""
+    kept = H.one_price_a_time(_tied_history(spark, sf_dir), ["event_id"])
+    return H.price_changes(kept, strict=False).select("product_id", "event_id", F.col("recorded_at").cast("string"), "old_price", "price")

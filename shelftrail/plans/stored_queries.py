@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import change as C
 from ..operators import results as E
 from ..operators import runs as U
 from ..operators import sessions as S
+from ..operators.ranking import ranked
 from ..sources.writers import save_session
 from .registry import query
-from .tables import ITEMS_SQL, PRODUCTS_SQL, dimensions, items, price_history, products, scratch, table
+from .tables import ITEMS_SQL, PRODUCTS_SQL, dimensions, items, newest, price_history, products, scratch, table
 
 #: Orders as stored sessions: every eleventh has unreadable JSON, every third names its URLs by number of the customer.
 STORED_SQL = """stored AS (
@@ -38,12 +39,6 @@ def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _newest(spark: SparkSession, sf_dir: str, name: str, column: str) -> Column:
-    """The newest time of a table as a literal, so that bounds by it reach the scan."""
-    at = table(spark, sf_dir, name).agg(F.max(column).cast("string")).first()[0]
-    return F.lit(at).cast("timestamp_ntz")
-
-
 @query(f"""WITH {STORED_SQL} SELECT session_id, epoch_ms(ts) AS epoch_ms, CASE WHEN broken THEN 0 ELSE least(n_urls, 3) END AS n_urls,
   CASE WHEN NOT broken AND n_urls > 0 THEN 'https://shop.example/c/' || o_custkey END AS first_url, site, CASE WHEN NOT broken THEN CAST(o_custkey % 30 AS DOUBLE) END AS percent_off
 FROM stored ORDER BY ts DESC, session_id DESC LIMIT 200 OFFSET 20""")
@@ -126,14 +121,14 @@ def catalog_run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("run_id"), F.col("event_type").alias("status"), F.col("ts").alias("started_at"), F.get_json_object("props", "$.k").try_cast("long").alias("total_products")
     )
     known = {"brands": brands, "categories": categories, "models": models}
-    out = U.catalog_statistics(known, products(spark, sf_dir), price_history(spark, sf_dir), runs, _newest(spark, sf_dir, "events", "ts"), "In Stock")
+    out = U.catalog_statistics(known, products(spark, sf_dir), price_history(spark, sf_dir), runs, newest(spark, sf_dir, "events", "ts"), "In Stock")
     return out.withColumn("last_started", F.col("last_started").cast("string"))
 
 
 @query(f"""WITH {ITEMS_SQL}, n AS (SELECT max(l_shipdate) AS newest FROM lineitem) SELECT count(*) AS products, count_if(seen_at >= newest - INTERVAL 480 HOUR) AS price_changes,
   count_if(seen_at >= newest - INTERVAL 480 HOUR) AS stock_changes FROM items, n WHERE site ILIKE '%siter%'""")
 def site_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.site_totals(items(spark, sf_dir), "%siteR%", _newest(spark, sf_dir, "lineitem", "l_shipdate"), 480)
+    return S.site_totals(items(spark, sf_dir), "%siteR%", newest(spark, sf_dir, "lineitem", "l_shipdate"), 480)
 
 
 _LISTED_SQL = f"""{ITEMS_SQL}, listed AS (
@@ -164,7 +159,20 @@ def result_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def result_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page number beyond the end is the last page."""
     rows = E.price_filter(E.enrich(_listed(spark, sf_dir)), 99000.01, None)
-    return E.page(rows, 1000, 50, "final-desc").select("ordinal", "title", "position")
+    return E.deep_page(rows, 1000, 50, "final-desc", scratch(spark, "ranked")).select("ordinal", "title", "position")
+
+
+@query(f"WITH {_LISTED_SQL}, r AS (SELECT ordinal, title, d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, ordinal) AS position, count(*) OVER () AS n FROM shown) SELECT ordinal, title, position FROM r WHERE position > 50 * (n // 100) AND position <= 50 * (n // 100) + 50")
+def result_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of the whole list, by discount, where thousands of rows share a value."""
+    listed = ranked(E.enrich(_listed(spark, sf_dir)), E.order_columns("discount-desc"), scratch(spark, "ranked"))
+    return listed.page(listed.total // 100 + 1, 50).select("ordinal", "title", "position")
+
+
+@query(f"WITH {_LISTED_SQL} SELECT ordinal, row_number() OVER (ORDER BY f NULLS LAST, ordinal) AS position FROM shown")
+def result_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row in the list."""
+    return ranked(E.priced(_listed(spark, sf_dir)).select("final", "ordinal"), E.order_columns("final-asc"), scratch(spark, "ranked")).all().select("ordinal", "position")
 
 
 @query(f"""WITH {_LISTED_SQL}, m AS (SELECT *, CASE WHEN p_size % 3 = 0 THEN 'a' || (p_size % 90 + 10) ELSE '' END AS code FROM part),

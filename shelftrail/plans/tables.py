@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def newest(spark: SparkSession, sf_dir: str, name: str, column: str) -> Column:
+    """The newest time of a table as a literal, so that bounds by it reach the scan."""
+    at = table(spark, sf_dir, name).agg(F.max(column).cast("string")).first()[0]
+    return F.lit(at).cast("timestamp_ntz")
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("product_id"), F.col("value").alias("price"), F.col("ts").alias("recorded_at"))
 
