@@ -129,7 +129,15 @@ def test_a_hot_product_is_spread(spark):
 # --- places ------------------------------------------------------------------------------------------------------------
 
 
-def test_places_and_pages(spark, tmp_path):
+@pytest.fixture
+def whole_partitions(spark):
+    """Small partitions stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_places_and_pages(spark, tmp_path, whole_partitions):
     rng = random.Random(4)
     values = [(i, rng.choice([None, 1, 1, 1, 2, 3, rng.randrange(50)])) for i in range(1000)]
     df = spark.createDataFrame(values, "id long, v long").repartition(6)
