@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import apply_discount, parse_price
@@ -152,6 +152,18 @@ def _stock_texts(card: Node) -> list[str]:
     return [t for t in [*found, card.text()] if t]
 
 
+def _priced(page: Node) -> set[Node]:
+    """The nodes whose text names a price: each is marked once, from the text up to what is marked already."""
+    marked: set[Node] = set()
+    for node in [page, *(x for x in page.walk() if isinstance(x, Node))]:
+        if any(isinstance(x, str) and re.search(r"\$\d", x) for x in node.children):
+            up = node
+            while up and up not in marked:
+                marked.add(up)
+                up = up.parent
+    return marked
+
+
 def _cards(page: Node, layout: Layout) -> Iterator[tuple[Node, Node]]:
     """(card, link) pairs. Without card classes a card is the nearest ancestor of a product link, up to five levels, that names a price."""
     if layout.cards:
@@ -164,14 +176,16 @@ def _cards(page: Node, layout: Layout) -> Iterator[tuple[Node, Node]]:
     for link in page.all("a", attr="href"):
         if layout.link_part in link.attrs["href"]:
             by_target.setdefault(link.attrs["href"], []).append(link)
+    priced = _priced(page)
     for links in by_target.values():  # an image link and a title link for each product
         card, up = links[0], 0
-        while card.parent and up < 5 and not re.search(r"\$\d", card.text()):
+        while card.parent and up < 5 and card not in priced:
             card, up = card.parent, up + 1
         yield card, next((x for x in links if x.text()), links[0])
 
 
-SCHEMA = "page_id long, position int, url string, title string, image_url string, sale_text string, list_text string, stock_texts array<string>, category_path string, description string"
+#: card: the number of the card in its page; the stock texts of a card stand in its first row alone, as many links may share one.
+SCHEMA = "page_id long, position int, card int, url string, title string, image_url string, sale_text string, list_text string, stock_texts array<string>, category_path string, description string"
 
 
 def card_rows(pages: DataFrame, layout: str = "generic") -> DataFrame:
@@ -186,13 +200,17 @@ def card_rows(pages: DataFrame, layout: str = "generic") -> DataFrame:
                 trail = page.first(classes=set(chosen.crumbs))
                 path = " > ".join([a.text() for a in trail.all("a")][1:]) if trail else ""
                 about = page.first(classes={"description", "product-description"})
+                seen: dict[Node, tuple] = {}  # what a card shows is read once
                 for k, (card, link) in enumerate(_cards(page, chosen)):
+                    new = card not in seen
+                    if new:
+                        image = card.first("img", attr="data-src") or card.first("img", attr="src")
+                        seen[card] = (len(seen), _price_texts(card, chosen), (image.attrs.get("data-src") or image.attrs.get("src")) if image else "")
+                    number, prices, source = seen[card]
                     named = card.first(classes=set(chosen.title)) if chosen.title else None
-                    image = card.first("img", attr="data-src") or card.first("img", attr="src")
-                    source = (image.attrs.get("data-src") or image.attrs.get("src")) if image else ""
                     title = link.attrs.get("title") or (named or link).text() or link.text()
-                    out.append((page_id, k, urljoin(url, link.attrs["href"]), title, urljoin(url, source) if source else "", *_price_texts(card, chosen), _stock_texts(card), path, about.text() if about else ""))
-            types = [pa.int64(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string(), pa.string()]
+                    out.append((page_id, k, number, urljoin(url, link.attrs["href"]), title, urljoin(url, source) if source else "", *prices, _stock_texts(card) if new else None, path, about.text() if about else ""))
+            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string(), pa.string()]
             columns = list(zip(*out, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -203,9 +221,11 @@ def listing_items(pages: DataFrame, layout: str = "generic", percent_off: float
     """Item rows of listing pages: prices, discount rules and stock are native expressions over the raw cards."""
     rows = card_rows(pages, layout)
     price = F.coalesce(parse_price(F.col("sale_text")), parse_price(F.col("list_text")))
-    statuses = F.filter(F.transform("stock_texts", stock_status), lambda x: x.isNotNull())
+    rows = rows.withColumn("_stock", F.get(F.filter(F.transform("stock_texts", stock_status), lambda x: x.isNotNull()), F.lit(0)))
+    if LAYOUTS[layout].link_part:  # several links may share a card
+        rows = rows.withColumn("_stock", F.max("_stock").over(Window.partitionBy("page_id", "card")))
     return rows.select(
         "page_id", "position", "url", F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown Product")).alias("title"), price.alias("price_value"),
         apply_discount(price, F.lit(percent_off), F.lit(absolute_off)).alias("discounted_value"), F.col("list_text").alias("original_formatted"),
-        F.get(statuses, F.lit(0)).alias("stock_status"), "image_url", "category_path", "description",
+        F.col("_stock").alias("stock_status"), "image_url", "category_path", "description",
     )

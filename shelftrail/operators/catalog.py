@@ -93,14 +93,15 @@ STORED_PRODUCTS = "sku string, product_url string, model_id long, title string,
 PRODUCT_ATTRIBUTES = ["title", "description", "price", "stock_status"]
 
 
-def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order: list[str] | None = None) -> Upsert:
+def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order: list[str] | None = None, owners: DataFrame | None = None) -> Upsert:
     """A batch of products by sku against the stored ones.
 
     stored, incoming: sku, product_url, model_id, title, description, price, stock_status; stored also created_at and
     updated_at, incoming the `order` columns. All six results come from one join of the two on sku. Of repeated skus in
     a batch the first counts; a new sku whose product_url another sku has is rejected. An existing product keeps its model
     and URL. Prices are logged when they differ and are not null, stock when it differs beyond case and space and is not
-    blank, descriptions when they differ and are not blank.
+    blank, descriptions when they differ and are not blank. `stored` may be the part of the catalog that has the batch's skus,
+    if `owners` (product_url) then names the URLs taken by any.
     """
     order = order or ["ordinal"]
     batch = first_wins(incoming, ["sku"], order)
@@ -109,7 +110,8 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: Column, order
     named = [c for c in ("brand", "category", "model") if c in incoming.columns]  # told in the summary only
     both = old.join(batch.select("sku", attributes.alias("new"), *order, *named), "sku", "full_outer")
     fresh = both.where("old is null")
-    taken = fresh.join(stored.select(F.col("product_url").alias("url")), F.col("new.product_url") == F.col("url"), "left_semi").select("sku")
+    urls = (stored if owners is None else owners).select(F.col("product_url").alias("url"))
+    taken = fresh.join(urls, F.col("new.product_url") == F.col("url"), "left_semi").select("sku")
     repeated = fresh.groupBy(F.col("new.product_url").alias("url")).agg(F.min_by("sku", F.struct(*order, "sku")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = fresh.join(repeated, F.col("new.product_url") == F.col("url")).where("sku <> first").select("sku")
     rejected = taken.union(later).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,3 +194,20 @@ def site_options(urls: DataFrame) -> DataFrame:
 def items_bound(sizes: DataFrame) -> DataFrame:
     """Upper end of the size slider: the largest session rounded up to tens, at least 50."""
     return sizes.agg(F.greatest(F.lit(50), F.coalesce(F.ceil(F.max("n_items") / 10) * 10, F.lit(0))).cast("long").alias("bound"))
+
+
+def canonical_items(rows: DataFrame, site: str, source: str, currency: str = "USD") -> DataFrame:
+    """Items of the second schema (url, site, title, original, discounted and both as text, image_url) in the columns of all
+    others: the price is the discounted one unless it is missing or 0, its text likewise unless blank."""
+    text = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(None).cast("string"))
+    cut = F.col("discounted")
+    return rows.select(
+        "url", F.coalesce(text("site"), F.lit(site)).alias("site"), "title", F.when(F.coalesce(cut != 0, F.lit(False)), cut).otherwise(F.col("original")).alias("price_value"),
+        F.lit(currency).alias("price_currency"), F.coalesce(text("discounted_formatted"), F.col("original_formatted")).alias("price_text"), cut.alias("discounted_value"),
+        "discounted_formatted", "original_formatted", F.lit(source).alias("source"), "image_url",
+    )
+
+
+def supplier_items(suppliers: list[DataFrame]) -> DataFrame:
+    """Items of several suppliers as one table; a column that one lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), suppliers)

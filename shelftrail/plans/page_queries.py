@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cards as D
+from ..operators import navigation as N
 from ..operators import pages as P
 from ..operators import runs as U
 from ..sources import readers as R
 from ..streaming import jobs as J
+from ..streaming import stateful as T
 from .registry import query
 from .tables import items, scratch, table
 
@@ -175,3 +177,60 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark, "snapshots")
     J.snapshot_stream(seen, root, advance).awaitTermination()
     return J.last_snapshot(spark, root).select("url", F.col("x.price").alias("price"), "n")
+
+
+def _timed_stream(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """The events as a stream of `batches` micro-batches in the order of time: (url, price, seen_at, ordinal, stock)."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), F.col("value").alias("price"), F.col("ts").cast("timestamp").alias("seen_at"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("stock"))
+    first, last = events.agg(F.unix_micros(F.min("seen_at")), F.unix_micros(F.max("seen_at"))).first()
+    part, root = F.floor((F.unix_micros("seen_at") - first) * batches / (last - first + 1)), scratch(spark, "slices")
+    for k in range(batches):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(root)  # a file is a micro-batch
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query("""WITH o AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_price FROM events)
+SELECT event_id AS ordinal, user_id AS url, last_price, value AS price FROM o WHERE (last_price - value) / last_price * 100 >= 60""")
+def stream_state_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price drops over several micro-batches, with state that timers clear."""
+    with T.with_state_store(spark):
+        out = J.run_to_table(T.price_drop_alerts(_timed_stream(spark, sf_dir), 60.0), scratch(spark, "drops"), scratch(spark, "drops-state"))
+    return out.drop("seen_at", "drop_percent")
+
+
+@query("""SELECT user_id AS url, CAST(min(ts) AS VARCHAR) AS seen_at, arg_min(event_id, (ts, event_id)) AS ordinal FROM events GROUP BY user_id HAVING min(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of each key by time and position, told once the stream's time has passed it by an hour."""
+    with T.with_state_store(spark):
+        out = J.run_to_table(T.first_seen(_timed_stream(spark, sf_dir)), scratch(spark, "first"), scratch(spark, "first-state"))
+    return out.select("url", F.col("seen_at").cast("timestamp_ntz").cast("string").alias("seen_at"), "ordinal")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS sku, arg_max(value, (third, -epoch_us(ts), -event_id)) AS price, arg_max(event_type, (third, -epoch_us(ts), -event_id)) AS stock_status FROM (SELECT *, floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 3.0 / ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events))) AS third FROM events) GROUP BY user_id""")
+def stream_catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as products in three micro-batches into a catalog in buckets: the last state."""
+    sku = F.col("url").cast("string")
+    seen = _timed_stream(spark, sf_dir).select(
+        sku.alias("sku"), F.concat(F.lit("u"), sku).alias("product_url"), F.lit(1).cast("long").alias("model_id"), F.concat(F.lit("Product "), sku).alias("title"),
+        F.lit("").alias("description"), "price", F.col("stock").alias("stock_status"), F.col("seen_at").alias("ts"), F.col("ordinal").alias("event_id"),
+    )
+    root = scratch(spark, "catalog")
+    J.catalog_merge_stream(seen, root, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), ["ts", "event_id"], buckets=16).awaitTermination()
+    return J.merged_catalog(spark, root, 16).select("sku", "price", "stock_status")
+
+
+@query("""WITH l AS (
+  SELECT p_partkey AS page_id, 0 AS position, 'https://shop.example/c/' || p_size AS url, p_name AS label, CASE p_partkey % 4 WHEN 0 THEN 'Apple' WHEN 1 THEN 'Lg' WHEN 2 THEN NULL ELSE 'Sony' END AS brand FROM part
+  UNION ALL SELECT p_partkey, 1, 'https://shop.example/replacement-parts/' || p_brand, p_type, 'Unknown' FROM part)
+SELECT url, arg_min(label, (page_id, position)) AS label, CASE WHEN arg_min(coalesce(brand, ''), (page_id, position)) = '' THEN NULL ELSE arg_min(coalesce(brand, ''), (page_id, position)) END AS brand FROM l GROUP BY url""")
+def category_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menus made of parts: a brand's entry with its category, links outside that do not count, and a plain navigation."""
+    of = F.element_at(F.array(*map(F.lit, ["apple mac-enable", "level-top lg", "my-samsung-menu", "sony"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    html = F.concat(
+        F.lit('<div id="nav-mobile" class="mobile-nav dynamicMenu"><ul><li class="other"><a class="nlabel-f" href="/x">X</a></li><li class="'), of,
+        F.lit('"><ul class="level0 slayouts-menu"><li><ul class="sview-inul"><ul class="sview-row"><li><a class="nlabel-f" href="/c/'), F.col("p_size"), F.lit('"> <b>'), F.col("p_name"),
+        F.lit('</b></a><a class="nlabel-f" href="https://elsewhere.example/">E</a><a href="/y">Y</a></li></ul></ul></li></ul></li></ul></div><nav><a href="/replacement-parts/'), F.col("p_brand"),
+        F.lit('">'), F.col("p_type"), F.lit('</a><a href="/about">About</a></nav>'),
+    )
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/").alias("url"), html.alias("html"))
+    return N.category_menu(pages)

@@ -272,9 +272,11 @@ def seed_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = items(spark, sf_dir)
     first = listed.where("site <> 'siter.example'").select("url", "site", "title", F.coalesce(money.parse_price(F.col("discounted_formatted")), money.parse_price(F.col("original_formatted"))).alias("price_value"))
-    other = listed.where("site = 'siter.example'").select("url", "site", "title", money.parse_price(F.col("original_formatted")).alias("original"), F.coalesce(money.parse_price(F.col("discounted_formatted")), F.lit(0.0)).alias("discounted"))
-    mapped = other.withColumns({"price_value": F.when(F.col("discounted") > 0, F.col("discounted")).otherwise(F.col("original")), "price_currency": F.lit("USD")}).drop("original", "discounted")
-    both = first.unionByName(mapped, allowMissingColumns=True)
+    second = listed.where("site = 'siter.example'").select(
+        "url", "site", "title", money.parse_price(F.col("original_formatted")).alias("original"), F.coalesce(money.parse_price(F.col("discounted_formatted")), F.lit(0.0)).alias("discounted"),
+        "original_formatted", "discounted_formatted", F.lit("").alias("image_url"),
+    )
+    both = S.supplier_items([first, S.canonical_items(second, "siter.example", "second_auto")])
     supplier = route(F.col("url"), {"sitea": "first", "siter": "second"})
     return both.groupBy(supplier.alias("supplier"), source_label(F.col("site")).alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("price_value").cast("decimal(18,2)")).cast("double").alias("total"))
 
@@ -296,3 +298,16 @@ def category_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('day', o_orderdate + INTERVAL 5 HOUR) AS DATE)::VARCHAR AS day, count(*) AS sessions FROM orders GROUP BY 1")
 def sessions_by_local_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).groupBy(local_time(F.col("ts")).cast("date").cast("string").alias("day")).agg(F.count("*").alias("sessions"))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT ordinal, CASE WHEN ordinal % 5 = 0 THEN 'fallback.example' ELSE site END AS site, CAST(final AS DOUBLE) AS price_value, 'USD' AS price_currency, 'second_auto' AS source,
+  CASE WHEN final <> original THEN CAST(final AS DOUBLE) ELSE 0.0 END AS discounted_value FROM items WHERE ordinal % 3 = 0""")
+def second_schema_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the second schema in the common one, some without a site, some without a discount."""
+    listed = items(spark, sf_dir).where("ordinal % 3 = 0").select(
+        F.col("ordinal").cast("string").alias("url"), F.when(F.col("ordinal") % 5 != 0, F.col("site")).otherwise("").alias("site"), "title",
+        money.parse_price(F.col("original_formatted")).alias("original"), F.coalesce(money.parse_price(F.col("discounted_formatted")), F.lit(0.0)).alias("discounted"),
+        "original_formatted", "discounted_formatted", F.lit("").alias("image_url"),
+    )
+    out = S.canonical_items(listed, "fallback.example", "second_auto")
+    return out.select(F.col("url").cast("long").alias("ordinal"), "site", "price_value", "price_currency", "source", "discounted_value")

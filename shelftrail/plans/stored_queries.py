@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import change as C
+from ..operators import day_tables as D
+from ..operators import partials as P
 from ..operators import results as E
 from ..operators import runs as U
 from ..operators import sessions as S
 from ..operators.ranking import ranked
+from ..operators.search_index import SearchIndex
+from ..sources import readers as R
 from ..sources.writers import save_session
 from .registry import query
 from .tables import ITEMS_SQL, PRODUCTS_SQL, dimensions, items, newest, price_history, products, scratch, table
@@ -217,3 +222,77 @@ def stock_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("event_id") % len(_BADGES) + 1).cast("int")
     old, new = (F.element_at(F.array(*[F.lit(p[k]) for p in _BADGES]), at) for k in (0, 1))
     return table(spark, sf_dir, "events").select("event_id", C.stock_badge(old, new).alias("badge"))
+
+
+#: An event's session is named by its user; the cut lies in the middle of a day.
+_CUT_SQL = "cut AS (SELECT date_trunc('day', max(ts)) - INTERVAL 10 DAY + INTERVAL 9 HOUR AS cut_at FROM events)"
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> dt.datetime:
+    newest_day = table(spark, sf_dir, "events").agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")).first()[0]
+    return newest_day - dt.timedelta(days=10) + dt.timedelta(hours=9)
+
+
+@query(f"WITH {_CUT_SQL} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS rows, (SELECT count(*) FROM events WHERE ts < (SELECT cut_at FROM cut)) AS removed FROM events WHERE ts >= (SELECT cut_at FROM cut) GROUP BY 1")
+def purge_stored_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored by day and purged up to a time: whole days are dropped, one day is written again."""
+    path = scratch(spark, "days")
+    D.write_days(table(spark, sf_dir, "events"), "ts", path)
+    removed = sum(D.purge_days(spark, path, "ts", _cut(spark, sf_dir)).values())
+    left = spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+    return left.withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("""WITH t AS (SELECT min(l_orderkey) AS k FROM lineitem) SELECT CAST(CAST(date_trunc('quarter', o_orderdate) AS DATE) AS VARCHAR) AS day, count(*) AS rows, (SELECT count(*) FROM lineitem, t WHERE l_orderkey = k) AS removed
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey, t WHERE l_orderkey <> k GROUP BY 1""")
+def session_delete_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session deleted from items stored by day."""
+    path = scratch(spark, "sessions")
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.date_trunc("quarter", "o_orderdate").alias("ts"))
+    listed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("session_id"), F.col("l_extendedprice").alias("price"))
+    save_session(known, listed.join(known, "session_id"), path)
+    removed = D.delete_session(spark, path, listed.agg(F.min("session_id")).first()[0])
+    left = spark.read.parquet(f"{path}/items").groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"))
+    return left.withColumn("removed", F.lit(removed).cast("long"))
+
+
+@query("""WITH w AS (SELECT *, CAST(ts AS DATE) AS day FROM events WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM events) - 14)
+SELECT event_type AS site, count(*) AS rows, round(sum(value), 2) AS total, count(DISTINCT event_id) AS events, count(DISTINCT user_id) AS users, TRUE AS events_close, TRUE AS users_close FROM w GROUP BY 1""")
+def window_from_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two weeks added up from daily partials: sums are those of the rows, estimates within five deviations of the exact numbers."""
+    events, path = table(spark, sf_dir, "events").withColumn("site", F.col("event_type")), scratch(spark, "partials")
+    day = F.to_date("ts")
+    told = lambda rows: P.daily_partials(rows, "ts", ["site"], {"rows": F.lit(1).cast("long"), "total": F.col("value")}, {"events": F.col("event_id"), "users": F.col("user_id")})
+    last = events.agg(F.max(day)).first()[0]
+    P.store_partials(told(events.where(day < F.lit(last))), path)
+    P.store_partials(told(events.where(day == F.lit(last))), path)  # a later run adds the day that was missing
+    first = F.lit(last - dt.timedelta(days=13))
+    found = P.merged(spark.read.parquet(path), ["site"], ["rows", "total"], ["events", "users"], first)
+    exact = events.where(day >= first).groupBy("site").agg(F.countDistinct("event_id").alias("e"), F.countDistinct("user_id").alias("u"))
+    close = lambda estimate, n: F.abs(F.col(estimate) - F.col(n)) <= 5 * P.ERROR * F.col(n) + 1
+    return found.join(exact, "site").select(
+        "site", "rows", F.round("total", 2).alias("total"), F.col("e").alias("events"), F.col("u").alias("users"), close("events", "e").alias("events_close"), close("users", "u").alias("users_close")
+    )
+
+
+_TERMS = ("widget", "CON_M%", "RED b", "lt")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS term, p_partkey, p_name FROM part WHERE p_name ILIKE '%{t}%' OR p_type ILIKE '%{t}%'" for t in _TERMS))
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Substring searches through a trigram index; a term without three characters in a row is a scan."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    index = SearchIndex(spark, scratch(spark, "index"), "p_partkey", ("p_name", "p_type"), 8).build(parts)
+    found = [index.search(term).select(F.lit(term).alias("term"), "p_partkey", "p_name") for term in _TERMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("""WITH f AS (SELECT DISTINCT p_size, p_size % 3 AS k FROM part) SELECT CASE k WHEN 0 THEN 'GIF' WHEN 1 THEN 'WEBP' END AS format, count(*) AS processed,
+  CASE WHEN k < 2 THEN count(*) ELSE 0 END AS successful, CASE WHEN k < 2 THEN 0 ELSE count(*) END AS failed FROM f GROUP BY k""")
+def image_file_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, one per size of part, of which two formats are known: counted from their first twelve bytes."""
+    head = F.element_at(F.array(F.lit("GIF89a"), F.lit("RIFF0000WEBPVP8 "), F.lit("plain words")), (F.col("p_size") % 3 + 1).cast("int"))
+    path = scratch(spark, "images")
+    lines = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.concat(head, F.col("p_name")).alias("value"))
+    lines.repartition(8, "size").write.partitionBy("size").text(path)
+    return R.image_census(spark, path)

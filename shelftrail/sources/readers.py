@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.money import parse_price_local
 from ..functions.text import blank_to_null
+from ..shipping import ship_package
+from .heads import FileHeads
 
 LOG_SCHEMA = "ts string, level string, event string, message string, site string, url string, page int, items long, t_fetch_ms double, t_parse_ms double, t_db_ms double, cf_detected boolean, error string"
 # Headers that a comparison sheet may use for each column.
@@ -58,8 +60,16 @@ def image_format(content: Column, url: Column | None = None) -> Column:
     return out
 
 
+def image_heads(spark: SparkSession, path: str) -> DataFrame:
+    """The files under `path` (path, size, error) with their image format; only the first bytes of each are read."""
+    ship_package(spark)
+    spark.dataSource.register(FileHeads)
+    files = spark.read.format("file_heads").option("path", path).option("bytes", 12).load()
+    return files.select("path", "size", "error", F.when(F.col("error").isNull(), image_format(F.col("head"))).alias("format"))
+
+
 def image_census(spark: SparkSession, path: str) -> DataFrame:
     """Number of files by format: processed, successful (known format) and failed."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kinds = files.select(image_format(F.col("content")).alias("format")).groupBy("format").agg(F.count("*").alias("processed"))
-    return kinds.select("format", "processed", F.when(F.col("format").isNotNull(), F.col("processed")).otherwise(0).alias("successful"), F.when(F.col("format").isNull(), F.col("processed")).otherwise(0).alias("failed"))
+    kinds = image_heads(spark, path).groupBy("format").agg(F.count("*").alias("processed"))
+    known = F.col("format").isNotNull()
+    return kinds.select("format", "processed", F.when(known, F.col("processed")).otherwise(0).alias("successful"), F.when(known, 0).otherwise(F.col("processed")).alias("failed"))

@@ -12,9 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.catalog import STORED_PRODUCTS, upsert_products
 from ..shipping import ship_package
+from .store import BucketStore, delete, numbered
 
 
-def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = None) -> DataFrame:
+def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = "90 days") -> DataFrame:
     """Alerts on a stream of (url, price, seen_at, ordinal) when a price falls by `threshold` percent or more: state is the
     last price of a url. Rows of one batch are put in time order first, as a micro-batch has none. With `keep` (as in
     "90 days") a url that the stream's own time has left so far behind is forgotten, so state does not grow with all urls
@@ -38,6 +39,8 @@ def price_drop_alerts(items: DataFrame, threshold: float, keep: str | None = Non
         yield alerts[["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"]]
 
     ship_package(items.sparkSession)
+    if keep is not None:
+        items = items.withColumn("seen_at", F.col("seen_at").cast("timestamp"))  # only such a column carries a watermark
     kind = items.schema["url"].dataType.simpleString()
     at = items.schema["seen_at"].dataType.simpleString()
     if keep is not None:
@@ -71,11 +74,6 @@ def upsert_stream(items: DataFrame, apply: Callable[[DataFrame, int], None], che
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folder(spark: SparkSession, path: str):
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def snapshot_stream(items: DataFrame, root: str, advance: Callable[[DataFrame | None, DataFrame], DataFrame], mode: str = "append") -> StreamingQuery:
     """A table that each micro-batch moves on: snapshot n is `advance(snapshot n - 1, batch n)`, in a folder named by n.
 
@@ -87,23 +85,21 @@ def snapshot_stream(items: DataFrame, root: str, advance: Callable[[DataFrame |
         spark = batch.sparkSession
         stored = spark.read.parquet(f"{root}/batch={number - 1}") if number else None
         advance(stored, batch).write.mode("overwrite").parquet(f"{root}/batch={number}")
-        old, store = _folder(spark, f"{root}/batch={number - 2}")
-        store.delete(old, True)
+        delete(spark, f"{root}/batch={number - 2}")
 
     return items.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", f"{root}-checkpoint").trigger(availableNow=True).start()
 
 
 def last_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot of `snapshot_stream`."""
-    folder, store = _folder(spark, root)
-    numbers = [int(f.getPath().getName().removeprefix("batch=")) for f in store.listStatus(folder)]
-    return spark.read.parquet(f"{root}/batch={max(numbers)}")
+    """The newest snapshot of `snapshot_stream` that is written to the end."""
+    return spark.read.parquet(f"{root}/batch={max(numbered(spark, root, 'batch='))}")
 
 
 def catalog_stream(products: DataFrame, root: str, as_of: Column, order: list[str]) -> StreamingQuery:
     """Products (as `upsert_products` takes them) into a catalog under `root`: per batch a snapshot, and the prices, changes
     and baselines it added. Batch n starts from the snapshot of batch n - 1 and overwrites only its own folders, so a batch
-    that runs again after a failure leaves the same state. Snapshots older than that are deleted, what was added stays."""
+    that runs again after a failure leaves the same state. Snapshots older than that are deleted, what was added stays.
+    For catalogs much larger than a batch see `catalog_merge_stream`."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -111,12 +107,44 @@ def catalog_stream(products: DataFrame, root: str, as_of: Column, order: list[st
         out = upsert_products(stored, batch, as_of, order)
         for name in ("products", "prices", "changes", "baselines"):
             getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
-        old, store = _folder(spark, f"{root}/products/batch={number - 2}")
-        store.delete(old, True)
+        delete(spark, f"{root}/products/batch={number - 2}")
 
     return upsert_stream(products, apply, f"{root}/checkpoint")
 
 
+def product_stores(spark: SparkSession, root: str, buckets: int) -> tuple[BucketStore, BucketStore]:
+    """The products of a catalog by sku, and who owns a product URL."""
+    return BucketStore(spark, f"{root}/products", "sku", STORED_PRODUCTS, buckets), BucketStore(spark, f"{root}/owners", "product_url", "product_url string, sku string", buckets)
+
+
+def merge_products(batch: DataFrame, number: int, root: str, as_of: Column, order: list[str], buckets: int) -> None:
+    """Version `number` of a catalog in buckets: of its products and URL owners only the buckets with skus and URLs of the batch
+    are read and written; prices, changes and baselines that the batch adds go into folders of its number."""
+    spark = batch.sparkSession
+    known, owners = product_stores(spark, root, buckets)
+    batch = batch.persist()
+    skus, urls = known.touched(batch), owners.touched(batch)
+    owned = owners.read(number - 1, urls)
+    out = upsert_products(known.read(number - 1, skus), batch, as_of, order, owned)
+    for name in ("prices", "changes", "baselines"):
+        getattr(out, name).write.mode("overwrite").parquet(f"{root}/{name}/batch={number}")
+    fresh = out.products.join(out.baselines.select("sku"), "sku", "left_semi").select("product_url", "sku")
+    owners.write(number, owned.unionByName(fresh.where("product_url is not null")), urls)
+    known.write(number, out.products, skus)
+    batch.unpersist()
+
+
+def catalog_merge_stream(products: DataFrame, root: str, as_of: Column, order: list[str], buckets: int = 256) -> StreamingQuery:
+    """`catalog_stream` for a catalog in buckets: what a batch reads and writes follows the batch, not the catalog."""
+    return upsert_stream(products, lambda batch, number: merge_products(batch, number, root, as_of, order, buckets), f"{root}/checkpoint")
+
+
+def merged_catalog(spark: SparkSession, root: str, buckets: int = 256) -> DataFrame:
+    """The products of the newest whole version."""
+    known, _ = product_stores(spark, root, buckets)
+    return known.read(known.last())
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """What a stream gives for all that is there now, as a table in the session's memory: for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
