@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, materialise
 
+#: Links of a file of a round's table: many small files cost more than their rows.
+FILE_LINKS = 1 << 20
+
 
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
@@ -26,14 +29,15 @@ def connected_components(links: DataFrame, scratch: Scratch | None = None) -> Da
     edges = last.write(edges, "links")
     state = _state(edges)
     while True:
+        files = 1 + 2 * state[0] // FILE_LINKS  # a step has no more links than the one before, but for one to each least neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        large = last.write(large, "links")
+        large = last.write(large.coalesce(files), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         step = Scratch(links.sparkSession)
-        edges = step.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        edges = step.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(files), "links")
         last.clear()
         last, now = step, _state(edges)
         if now == state:
