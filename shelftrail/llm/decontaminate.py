@@ -1,29 +1,34 @@
-"""Benchmark decontamination: word n-grams seed, Smith-Waterman decides.
+"""Benchmark decontamination: word n-grams seed, an item's rarest words join, Smith-Waterman decides.
 
 Every n-gram of a benchmark item is a seed, however many documents hold it: one that is everywhere may be all that edits
-have left of a passage that is everywhere. Where seeds are rare they cost nothing, and a common one makes a candidate
-only where enough of its item's words stand around it. One pass over the text finds the seeds and cuts out windows of
-words around them, as wide as the items of the seed's length class are long; the windows are joined to the items by
-seed, items of equal words as one. A pair scores by local alignment on words: `MATCH` for equal words, less `MISMATCH`
-and `GAP` for edits, over the score of the whole item, so 1.0 is a verbatim copy. A score of `threshold` takes that share
-of the item's words at least, so pairs with fewer of them in the window, as chance seeds leave, are not aligned.
-
-The corpus is only ever filtered against Bloom filters of bounded size; which seed belongs to which item is an ordinary
+have left of a passage that is everywhere. One pass over the text finds the seeds and cuts out windows of words around
+them, as wide as the items of the seed's length class are long; a long run of seeds is cut into windows that overlap.
+
+A seed may be common to many documents and many items, so seeds do not join: rare words do. A score of `threshold` takes
+that share of an item's words at least, so a window that reaches it holds one of the item's rarest words, of which as many
+count as the threshold leaves room for: without them too few words would be left. How rare a word is, is counted over all
+windows. Pairs that meet at such a word, but of whose item's words too few can be in the window, go before any text moves.
+
+A pair scores by local alignment on words: `MATCH` for equal words, less `MISMATCH` and `GAP` for edits, over the score of
+the whole item, so 1.0 is a verbatim copy. Pairs without a common seed or without enough words are not aligned; those that
+are, are aligned together by as many as `CELLS` bounds.
+
+The corpus is only ever filtered against Bloom filters of bounded size; which word belongs to which item is an ordinary
 join, whatever the size of the benchmark. Words are compared in lower case without ASCII punctuation.
 
 Defined cases: null texts are empty and neither leak nor are leaked; items of fewer words than a seed are not searched
 for; repeated items are reported each; repeated documents are one per doc_id; rows without an id are left out; an empty
-table on either side gives an empty result; other columns are ignored by `find_leaks` and carried by `drop_leaks`,
-whatever their names.
+table on either side gives an empty result; a very long text is as many windows of bounded width; other columns are ignored
+by `find_leaks` and carried by `drop_leaks`, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import in_pieces, map_arrow
@@ -36,7 +41,10 @@ SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, 1, 1
 #: Chance alignments of common words reach a third on the tables here; half an item, or all of it with a third of its words edited, counts.
 THRESHOLD = 0.5
-ALIGNED_TOGETHER = 64
+#: Cells of the rows that pairs take while they are aligned together; a pair alone may have more.
+CELLS = 1 << 19
+#: A window's seeds span so many times what the items of a class reach, at most.
+SPAN = 4
 #: Items are classed by length: up to this many words, up to this many times more, and so on.
 CLASS_WORDS = 32
 
@@ -66,69 +74,123 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in in_pieces(batches, 3):
-        pairs = [(i, x.split(), y.split()) for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))]
-        pairs.sort(key=lambda p: (len(p[2]), len(p[1])))
-        score = np.zeros(len(pairs))
-        for k in range(0, len(pairs), ALIGNED_TOGETHER):
-            part, ids = pairs[k : k + ALIGNED_TOGETHER], {}
-            number = lambda ws, ids=ids: np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64)
-            got = align([number(x) for _, x, _ in part], [number(y) for _, _, y in part])
-            for (i, x, _), s in zip(part, got.tolist(), strict=True):
-                score[i] = s / (MATCH * len(x))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["doc_id", "item", "score"])
+def reachable(item: list[str], window: list[str], seed_words: int, threshold: float) -> list[str]:
+    """The words of the window that the item can reach from the seeds they share, with as much room for insertions as it is
+    long; none if they share no seed or too few words."""
+    places: dict[tuple, list[int]] = {}
+    for i in range(len(item) - seed_words + 1):
+        places.setdefault(tuple(item[i : i + seed_words]), []).append(i)
+    known, n = set(item), len(item)
+    low = high = None
+    for here, word in enumerate(window):
+        if word in known and (at := places.get(tuple(window[here : here + seed_words]))):
+            low = here - at[-1] if low is None else min(low, here - at[-1])
+            high = here - at[0] if high is None else max(high, here - at[0])
+    if low is None:
+        return []
+    part = window[max(0, low - n) : high + 2 * n + seed_words]
+    held = set(part)
+    return part if sum(w in held for w in item) >= threshold * n - 1e-9 else []
+
+
+def _scores(seed_words: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of batches (doc_id, item, wanted, words): (doc_id, item, score) of the pairs that are worth aligning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches, 3):
+            pairs = []
+            for i, (wanted, words) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                part = reachable(wanted.split(), words.split(), seed_words, threshold)
+                if part:
+                    pairs.append((i, wanted.split(), part))
+            pairs.sort(key=lambda p: (len(p[2]), len(p[1])))
+            score, at = np.zeros(len(pairs)), 0
+            while at < len(pairs):
+                end = at + 1
+                while end < len(pairs) and (end + 1 - at) * len(pairs[end][2]) <= CELLS:  # the last is the widest
+                    end += 1
+                part, ids = pairs[at:end], {}
+                number = lambda ws, ids=ids: np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64)
+                got = align([number(x) for _, x, _ in part], [number(y) for _, _, y in part])
+                score[at:end] = [s / (MATCH * len(x)) for s, (_, x, _) in zip(got.tolist(), part, strict=True)]
+                at = end
+            rows = pa.array([i for i, _, _ in pairs], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(score)], names=["doc_id", "item", "score"])
+
+    return run
 
 
 def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
-    """(item_id, words, h, at): each n-gram of each item with its place."""
+    """(item_id, words, h, w): the hashes of an item's n-grams and of its words, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
-            out = {"item_id": [], "words": [], "h": [], "at": []}
-            for i, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
+            out = {"item_id": [], "words": [], "h": [], "w": []}
+            for i, t, s, w in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), shingle_sequences(texts, 1), strict=True):
                 words = t.split()
                 if len(words) >= seed_words:
                     out["item_id"].append(i)
                     out["words"].append(b" ".join(words).decode("utf-8"))
                     out["h"].append(s.view(np.int64).tolist())
-                    out["at"].append(list(range(len(s))))
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
+                    out["w"].append(w.view(np.int64).tolist())
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("w", pa.list_(pa.int64()))]))
 
     some = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(some, run, "item_id long, words string, h array<long>, at array<int>")
+    return map_arrow(some, run, "item_id long, words string, h array<long>, w array<long>")
+
 
+def _pieces(at: np.ndarray, reach: np.ndarray, seed_words: int) -> Iterator[tuple[int, int]]:
+    """First and last word + 1 of the windows around seeds at the places `at`: overlapping ones are one, up to a span."""
+    ends = np.maximum.accumulate(at + seed_words + reach)
+    first = np.minimum.accumulate((at - reach)[::-1])[::-1]  # a later seed may reach further back
+    for part in np.split(np.arange(len(at)), np.flatnonzero(first[1:] > ends[:-1]) + 1):
+        turn = (at[part] - at[part[0]]) // (SPAN * int(reach[part].max()))
+        for own in np.split(part, np.flatnonzero(np.diff(turn)) + 1):
+            yield max(0, int((at[own] - reach[own]).min())), int((at[own] + seed_words + reach[own]).max())
 
-def _windows(docs: DataFrame, planes: list[tuple[int, np.ndarray]], seed_words: int) -> DataFrame:
-    """(doc_id, words, h, at): runs of words around seeds. planes: how many words items of a class reach, and their seeds."""
-    shared = docs.sparkSession.sparkContext.broadcast(planes)
+
+def _windows(docs: DataFrame, planes: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, seed_words: int) -> DataFrame:
+    """(doc_id, words, w): runs of words around seeds, and the distinct hashes of those that items have. planes: how many words
+    items of a class reach, and their seeds; vocabulary: the items' words."""
+    shared = docs.sparkSession.sparkContext.broadcast((planes, vocabulary))
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("w", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+        planes, vocabulary = shared.value
         for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
-            out = {f.name: [] for f in schema}
+            held = []
             for doc_id, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
                 reach = np.zeros(len(s), np.int64)
-                for around, plane in shared.value:  # from the shortest items to the longest
+                for around, plane in planes:  # from the shortest items to the longest
                     reach[_bloom.contains(plane, s)] = around
-                at = np.flatnonzero(reach)
-                if not len(at):
-                    continue
-                words, reach = t.split(), reach[at]
-                ends = np.maximum.accumulate(at + seed_words + reach)
-                first = np.minimum.accumulate((at - reach)[::-1])[::-1]  # a later seed may reach further back
-                for part in np.split(np.arange(len(at)), np.flatnonzero(first[1:] > ends[:-1]) + 1):
-                    start = max(0, int(first[part[0]]))
+                if len(at := np.flatnonzero(reach)):
+                    held.append((doc_id, t, at, reach[at]))
+            out = {f.name: [] for f in schema}
+            for (doc_id, t, at, reach), hashes in zip(held, shingle_sequences([t for _, t, *_ in held], 1), strict=True):
+                words, known = t.split(), _bloom.contains(vocabulary, hashes)
+                for start, end in _pieces(at, reach, seed_words):
+                    own = hashes[start:end][known[start:end]]
                     out["doc_id"].append(doc_id)
-                    out["words"].append(b" ".join(words[start : int(ends[part[-1]])]).decode("utf-8"))
-                    out["h"].append(s[at[part]].view(np.int64).tolist())
-                    out["at"].append((at[part] - start).tolist())
+                    out["words"].append(b" ".join(words[start:end]).decode("utf-8"))
+                    out["w"].append(np.unique(own).view(np.int64).tolist())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(some, run, "doc_id long, words string, h array<long>, at array<int>")
+    return map_arrow(some, run, "doc_id long, words string, w array<long>")
+
+
+def rarest_words(items: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
+    """(item, w, times, other): of the words of `items` (item, w), rarest in `seen` (w, df) first, as many as it takes that the
+    others, `other` words with repeats, are less than `threshold` of all; `times`: how often the item has the word."""
+    words = items.select("item", F.size("w").alias("n"), F.explode("w").alias("w")).groupBy("item", "n", "w").agg(F.count("*").alias("times"))
+    ranked = words.join(seen, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    upto = F.sum("times").over(Window.partitionBy("item").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("left", F.col("n") - upto)
+    rare = ranked.where(F.col("left") + F.col("times") >= threshold * F.col("n") - 1e-9)  # without it, enough words would be left
+    other = F.min("left").over(Window.partitionBy("item"))
+    return rare.select("item", "n", "w", "times", other.alias("other")).where(F.col("w").isNotNull())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -137,30 +199,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     named = scratch.write(item_seeds(benchmark, seed_words), "items")
-    items = named.groupBy("words").agg(F.min("item_id").alias("item"), F.first("h").alias("h"), F.first("at").alias("at"))
+    items = named.groupBy("words").agg(F.min("item_id").alias("item"), F.first("h").alias("h"), F.first("w").alias("w"))
     kind = F.ceil(F.greatest(F.lit(0.0), F.log2(F.size("h") / CLASS_WORDS)) / 2).cast("int")  # each class is up to four times as long
     items = scratch.write(items.withColumns({"n": F.size("h"), "kind": kind}), "item_classes")
-    seeds = items.select("item", "kind", F.explode(F.arrays_zip("h", "at")).alias("s")).select("item", "kind", "s.h", "s.at")
+    seeds = items.select("kind", F.explode("h").alias("h"))
     kinds = items.groupBy("kind").agg(F.sum("n").alias("seeds"), F.max("n").alias("longest")).orderBy("kind").collect()  # one row per power of four
     if not kinds:
         scratch.clear()
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
-    most = _bloom.MAX_BITS // len(kinds)
+    most = _bloom.MAX_BITS // (len(kinds) + 1)
     planes = [(k.longest + seed_words, _bloom.build(seeds.where(F.col("kind") == k.kind), _bloom.segments_for(k.seeds, most))) for k in kinds]
-    windows = scratch.write(_windows(texts, planes, seed_words).withColumn("window", F.monotonically_increasing_id()), "windows")
-    hit = windows.select("window", F.explode(F.arrays_zip("h", "at")).alias("s")).select("window", "s.h", F.col("s.at").alias("here"))
-    pairs = hit.join(seeds, "h").groupBy("window", "item").agg(
-        F.min(F.col("here") - F.col("at")).alias("low"), F.max(F.col("here") - F.col("at")).alias("high")
-    )
-    pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(items.select("item", F.col("words").alias("wanted"), "n"), "item")
-    # the part of the window that the item can reach, with as much room for insertions as it is long
-    first = F.greatest(F.lit(0), F.col("low") - F.col("n"))
-    part = F.slice(F.split("words", " "), first + 1, F.col("high") + 2 * F.col("n") + seed_words - first)
-    cut = pairs.select("doc_id", "item", "wanted", part.alias("part"))
-    wanted = F.split("wanted", " ")
-    enough = F.size(F.filter(wanted, lambda w: F.array_contains("part", w))) >= threshold * F.size(wanted) - 1e-9
-    cut = cut.where(enough).withColumn("part", F.array_join("part", " "))
-    scored = map_arrow(cut, _scores, "doc_id long, item long, score double")
+    vocabulary = _bloom.build(items.select(F.explode("w").alias("h")), _bloom.segments_for(sum(k.seeds + seed_words for k in kinds), most))
+    windows = scratch.write(_windows(texts, planes, vocabulary, seed_words).withColumn("window", F.monotonically_increasing_id()), "windows")
+    held = windows.select("window", F.explode("w").alias("w"))
+    rare = scratch.write(rarest_words(items, held.groupBy("w").agg(F.count("*").alias("df")), threshold), "rare")
+    met = held.join(rare, "w").groupBy("window", "item").agg((F.sum("times") + F.any_value("other")).alias("most"), F.any_value("n").alias("n"))
+    pairs = met.where(F.col("most") >= threshold * F.col("n") - 1e-9).select("window", "item")
+    pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(items.select("item", F.col("words").alias("wanted")), "item")
+    scored = map_arrow(pairs.select("doc_id", "item", "wanted", "words"), _scores(seed_words, threshold), "doc_id long, item long, score double")
     best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item").agg(F.max("score").alias("score"))
     same = named.select("item_id", "words").join(items.select("words", "item"), "words").select("item", "item_id").distinct()
     out = materialise(best.join(same, "item").select("doc_id", "item_id", "score"), "leaks")

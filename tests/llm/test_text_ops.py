@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -319,7 +320,8 @@ def test_decontamination_windows_follow_each_item(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1)}
     seeds = decontaminate.item_seeds(bench, 3).select(F.explode("h").alias("h"), F.size("h").alias("n"))
     planes = [(11, decontaminate._bloom.build(seeds.where("n < 100"), 1)), (5001, decontaminate._bloom.build(seeds.where("n > 100"), 8))]
-    sizes = {r.doc_id: r.n for r in decontaminate._windows(docs, planes, 3).groupBy("doc_id").agg(F.max(F.size(F.split("words", " "))).alias("n")).collect()}
+    words = decontaminate._bloom.build(decontaminate.item_seeds(bench, 3).select(F.explode("w").alias("h")), 8)
+    sizes = {r.doc_id: r.n for r in decontaminate._windows(docs, planes, words, 3).groupBy("doc_id").agg(F.max(F.size(F.split("words", " "))).alias("n")).collect()}
     assert sizes[0] < 100 and sizes[1] > 4000
 
 
@@ -335,6 +337,47 @@ def test_decontamination_finds_one_edit_in_many_documents(spark, verbatim, edite
         assert score == pytest.approx(slow_align(item, texts[d]) / (2 * len(item)))
 
 
+def test_decontamination_of_a_common_seed(spark):
+    """Documents and items that share three common words and nothing else never meet."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("d"), F.col("id") * 31 + i)), " "), F.lit(" one of the "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("e"), F.col("id") * 31 + i)), " ")).alias("text"))
+    bench = docs.where("doc_id < 150").select(F.col("doc_id").alias("item_id"), F.regexp_replace("text", r"\b([de]\d)", "x$1").alias("text"))
+    assert decontaminate.find_leaks(docs, bench).count() == 0
+    items = decontaminate.item_seeds(bench, 3).select(F.col("item_id").alias("item"), "w")
+    hashes = decontaminate.item_seeds(docs.select(F.col("doc_id").alias("item_id"), "text"), 3).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    rare = decontaminate.rarest_words(items, hashes, 0.5)
+    common = [r.w for r in hashes.orderBy(F.desc("df")).limit(3).collect()]
+    assert rare.where(F.col("w").isin(common)).count() == 0 and rare.groupBy("item").agg(F.sum("times").alias("n")).where("n <> 17").count() == 0
+
+
+def test_decontamination_of_a_very_long_document(spark):
+    """A text with an item's seeds every few words is cut into windows of bounded width, and the copy in it is found."""
+    item = [f"w{i}" for i in range(30)]
+    text = []
+    for i in range(4000):
+        text += [*item[i % 28 : i % 28 + 3], f"z{i}", f"y{i}"]
+    text[9001:9001] = item
+    docs = spark.createDataFrame([(0, " ".join(text)), (1, " ".join(text[:9000]))], SCHEMA)
+    bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got[0, 5] == 1.0
+    spans = [b - a for a, b in decontaminate._pieces(np.arange(0, 100_000, 5), np.full(20_000, 33), 3)]
+    assert max(spans) <= (decontaminate.SPAN + 2) * 33 + 3 and len(spans) < 900
+
+
+def test_alignments_are_bounded():
+    """Pairs aligned together take a bounded number of cells, however wide one of them is."""
+    seen, plain_align = [], decontaminate.align
+    decontaminate.align = lambda a, b: seen.append(len(b) * max(map(len, b))) or plain_align(a, b)
+    try:
+        item = " ".join(f"w{i}" for i in range(9))
+        words = [item] * 300 + [item + " x" * 20_000 + " " + item]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array([1] * 301), pa.array([item] * 301), pa.array(words)], names=["doc_id", "item", "wanted", "words"])
+        got = [s for b in decontaminate._scores(3, 0.5)(iter([batch])) for s in b.column(2).to_pylist()]
+    finally:
+        decontaminate.align = plain_align
+    assert got == [1.0] * 301 and max(seen) <= decontaminate.CELLS
+
+
 def test_quote_parsing():
     own, passages = chat_quotes.parse("> > a\n> > b\n> c\nmine\n>> d\n\nlast")
     assert own == "mine\n\nlast" and passages == [(2, "a\nb"), (1, "c"), (2, "d")]
