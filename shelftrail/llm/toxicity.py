@@ -11,7 +11,8 @@ which both lose weight. The posterior of the votes is the label on which a linea
 No label of a held-out row (crc32 of doc_id as text, modulo 5, is 0) is read, and no score uses labels, lang, source or
 doc_id. Lexicons and classifier are fitted on bounded samples of training rows; moments are summed over all of them.
 
-Near copies in the sample of labelled rows, told by the smallest hashes of their words, count as one row there.
+Near copies in the sample of labelled rows, told by MinHash over the shingles of whole texts, count as one row there: a row is
+left out if its signature agrees with that of a row of its label with a smaller doc_id. Unrelated texts stay, however long.
 
 Defined cases: a null or empty text has no hits and is scored as such; without labels only the fixed voters vote; of
 repeated labels the largest counts and null labels none; a null doc_id is held out; repeated rows are scored each for
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from ..shipping import in_pieces, map_arrow
 from ._common import hash_sample, materialise
 from ._linear import fit_logistic, linear, sigmoid
+from ._shingles import shingle_sets
+from .minhash_dedup import BANDS, ROWS, band_keys, signature
 
 #: Lexicons are induced from at most so many toxic and clean labelled training rows, by a hash of doc_id.
 TOXIC_ROWS, CLEAN_ROWS = 4_000, 12_000
@@ -44,8 +47,8 @@ SUPPORT, SHARE, PRECISION = 6, 0.01, 0.95
 LEXICON = 5_000
 #: Lengths of stems, and how many distinct words of a text on one stem are told apart.
 STEMS, SHARING = (3, 4, 5, 6, 7), 3
-#: Texts with the same so many smallest word hashes are near copies.
-ALIKE = 4
+#: Texts whose signatures over whole texts agree in so large a share of coordinates are near copies, by shingles of so many words.
+ALIKE, SHINGLE_WORDS = 0.8, 5
 PARTS = 4
 #: Fixed values of the voters without labels, chosen here: insults of four languages, hostile phrases, who is addressed how.
 INSULTS = [
@@ -202,6 +205,31 @@ def label_model(moments: np.ndarray, means: np.ndarray, prior: float) -> tuple[f
     return float(np.log(prior / (1 - prior)) - weight @ (toxic + clean) / 2), weight
 
 
+def first_of_copies(sample: DataFrame) -> DataFrame:
+    """The rows (doc_id, text, toxic) of a written sample of bounded size without near copies of rows of the same label, which
+    would count as support of their words. Only signatures come to the driver: 800 bytes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_pieces(batches):
+            sets = shingle_sets(b.column(0).to_pylist(), SHINGLE_WORDS)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], names=["doc_id", "toxic", "sig"])
+
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    rows = map_arrow(sample.select("text", "doc_id", "toxic"), run, f"doc_id {id_type}, toxic int, sig binary").collect()
+    kept, buckets = [], {}
+    for r in sorted(rows, key=lambda r: (r.toxic, r.doc_id)):
+        sig = np.frombuffer(r.sig, np.uint32)
+        keys = [(r.toxic, k, h) for k, h in enumerate(band_keys(sig, BANDS, ROWS).tolist())] if len(sig) else [(r.toxic, -1, 0)]
+        near = {i for key in keys for i in buckets.get(key, ())}
+        if any(not len(sig) or (kept[i][1] == sig).mean() >= ALIKE for i in near):
+            continue
+        for key in keys:
+            buckets.setdefault(key, []).append(len(kept))
+        kept.append((r.doc_id, sig))
+    ids = sample.sparkSession.createDataFrame([(i,) for i, _ in kept], f"doc_id {id_type}")
+    return materialise(sample.join(F.broadcast(ids), "doc_id", "left_semi").select("text", "toxic"), "sample")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, induce: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, score, predicted. Without `induce` only the fixed voters vote."""
     spark = docs.sparkSession
@@ -210,9 +238,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     parts = [hash_sample(known.where(f"toxic = {x}"), "doc_id", n) for x, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     chosen = materialise(parts[0].unionByName(parts[1]), "chosen")  # at most TOXIC_ROWS + CLEAN_ROWS
     texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    hashes = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.xxhash64(w))))
-    alike = texts.withColumn("alike", F.slice(hashes, 1, ALIKE)).groupBy("alike", "toxic")  # near copies would count as support
-    sample = materialise(alike.agg(F.min_by("text", "doc_id").alias("text")).select("text", "toxic"), "sample")
+    sample = first_of_copies(materialise(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled"))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     prior = min(0.5, max(0.01, n.get(1, 0) / max(1, sum(n.values()))))
 

@@ -1,5 +1,6 @@
 """Quality, toxicity and the pipeline: held-out accuracy, defined cases, and the stages one after another."""
 
+import math
 import random
 import re
 import zlib
@@ -181,6 +182,108 @@ def test_toxicity_counts_near_copies_once(spark):
     assert got == {5000: 1, 5001: 0, 5002: 0}
 
 
+def plain_copies(sample):
+    """Texts of a label without those alike at 0.8 by five-word shingles with one of a smaller id."""
+    kept = []
+    for i, text, toxic in sorted(sample, key=lambda r: (r[2], r[0])):
+        w = text.lower().split()
+        shingles = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        if not any(t == toxic and (s == shingles if not shingles else len(s & shingles) >= 0.8 * len(s | shingles)) for _, _, t, s in kept):
+            kept.append((i, text, toxic, shingles))
+    return [(text, toxic) for _, text, toxic, _ in kept]
+
+
+def plain_toxicity(docs, labels):
+    """The method of the docstring for a small table, a loop at a time: doc_id -> score."""
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, _ in docs}
+    known = {i: int(t > 0) for i, _, t in labels if not held[i]}
+    sample = plain_copies([(i, t or "", known[i]) for i, t in docs if i in known])
+    words = lambda t: set(re.findall(r"[^\W\d_]+", (t or "").lower()))
+
+    def terms(t):
+        out, stems = set(words(t)), {}
+        for w in words(t):
+            for k in toxicity.STEMS:
+                if len(w) > k:
+                    stems.setdefault(w[:k], set()).add(w)
+        return out | {s + "~" * n for s, ws in stems.items() for n in range(1, min(len(ws), toxicity.SHARING) + 1)}
+
+    counts = [{}, {}]
+    for t, toxic in sample:
+        for x in terms(t):
+            counts[toxic][x] = counts[toxic].get(x, 0) + 1
+    n_toxic = sum(t for _, t in sample)
+    often = {x: k for x, k in counts[1].items() if k >= max(toxicity.SUPPORT, toxicity.SHARE * n_toxic)}
+    good = sorted((x for x, k in often.items() if k / (k + counts[0].get(x, 0)) >= toxicity.PRECISION), key=lambda x: (-often[x], x))
+    place = {}
+    for rank, x in enumerate(good):
+        if x not in toxicity.INSULTS:
+            place[x] = toxicity.FIXED + rank % toxicity.PARTS + toxicity.PARTS * x.endswith("~")
+    fixed, n = toxicity.Voters([]), toxicity.N_LISTS
+    hits = {}
+    for i, t in docs:
+        row = [0] * n
+        row[:4] = fixed.hits(t)[:4]  # told by their own test
+        row[3] = sum(w in toxicity.INSULTS or w in place for w in re.findall(toxicity.ADDRESSED, (t or "").lower()))
+        for x in terms(t):
+            if x in place:
+                row[place[x]] += 1
+        hits[i] = row, len(words(t))
+
+    def votes(row, n_words):
+        said = [int(h > 0) for h in row]
+        by_word, by_stem, total = sum(row[:8]), sum(row[8:]), sum(row)
+        return [*said, 1 if by_word else -1, 1 if by_stem else -1, 1 if sum(said) >= 2 else -1, 1 if total * 200 > n_words else -1 if total == 0 else 0]
+
+    v = {i: np.array(votes(*h), float) for i, h in hits.items()}
+    train = np.array([v[i] for i, _ in docs if not held[i]])
+    cov = train.T @ train / len(train) - np.outer(train.mean(0), train.mean(0))
+    prior = min(0.5, max(0.01, sum(known.values()) / len(known)))
+    m, spread = len(cov), np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    accuracy = np.zeros(m)
+    for i in range(m):
+        triples = [math.sqrt(abs(cov[i][j] * cov[i][k] / cov[j][k])) for j in range(m) for k in range(j + 1, m) if i not in (j, k) and abs(cov[j][k]) > 1e-9]
+        accuracy[i] = min(float(np.median(triples)) if triples else 0.0, 0.98 * spread[i])
+    crowd = [1 + sum(max(0.0, min(0.95, (cov[i][j] - accuracy[i] * accuracy[j]) / spread[i] / spread[j])) for j in range(m) if j != i) for i in range(m)]
+    balance = max(1e-3, 4 * prior * (1 - prior))
+    weight = [2 * accuracy[i] / max(spread[i] ** 2 - accuracy[i] ** 2, 1e-4 * spread[i] ** 2 + 1e-9) / crowd[i] / math.sqrt(balance) for i in range(m)]
+    middle = [2 * train.mean(0)[i] + accuracy[i] * (2 * (1 - prior) - 2 * prior) / math.sqrt(balance) for i in range(m)]
+    odds = lambda x: math.log(prior / (1 - prior)) - sum(w * c for w, c in zip(weight, middle, strict=True)) / 2 + sum(w * a for w, a in zip(weight, x, strict=True))
+    squash = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+    features = {i: [*np.log1p(h), sum(h) / (k + 1), *v[i][n:]] for i, (h, k) in hits.items()}
+    x = np.array([features[i] for i, _ in docs if not held[i]])
+    y = np.array([squash(odds(v[i])) for i, _ in docs if not held[i]])
+    mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
+    ridge, w = np.diag([1e-3] + [1.0] * (z.shape[1] - 1)), np.zeros(z.shape[1])
+    for _ in range(200):  # Newton's steps to the optimum of the penalised likelihood
+        p = squash(z @ w)
+        w = w + np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
+    return {i: float(squash(np.concatenate([[1.0], (np.array(f) - mean) / scale]) @ w)) for i, f in features.items()}
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = corpus(random.Random(12), 900)
+    docs += [(5000, None, None, None, None), (5001, "", None, None, 0), (5002, "You are an absolute grolken, shut up", None, None, 9), (5003, "1d10t", None, None, 5)]
+    want = plain_toxicity([(i, t) for i, t, *_ in docs], labels)
+    tables = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(*tables).collect()}
+    assert set(got) == set(want) and 0.02 < np.mean([s >= 0.5 for s in want.values()]) < 0.5
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-5
+
+
+@pytest.mark.parametrize("words", [200, 4000])
+def test_toxicity_sample_keeps_unrelated_texts(spark, words):
+    """Texts over one vocabulary are no copies, however long; copies with a few words changed count once."""
+    rng = random.Random(words)
+    say = lambda: [f"v{''.join(rng.choice('abcdefgh') for _ in range(3))}" for _ in range(words)]
+    texts = [say() for _ in range(60)]
+    copies = [[w if k % 97 else f"c{i}" for k, w in enumerate(texts[0])] for i in range(20)]
+    rows = [(i, " ".join(t), i % 2) for i, t in enumerate(texts)] + [(1000 + i, " ".join(t), 0) for i, t in enumerate(copies)] + [(2000 + i, "", 0) for i in range(5)]
+    kept = toxicity.first_of_copies(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3))
+    assert kept.count() == 61 and kept.where("text = ''").count() == 1
+
+
 def test_toxicity_does_not_read_held_out_labels(spark, made):
     docs, labels, _ = made
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
