@@ -3,7 +3,9 @@
 Messages quote what they answer, as lines behind one `>` per level. Each message is parsed into its own lines and its
 quoted passages; a passage of level 1 is what the direct parent wrote itself. All passages and their paragraphs and lines
 are normalised, hashed and joined to messages and the runs, paragraphs and lines of messages: a quote belongs to the latest
-earlier message of its own conversation with those words, or else to the first in the whole table. Of the matches of a
+earlier message of its own conversation with those words. Words that its conversation has not said yet may be another's: a
+quote of `FAR_WORDS` words or more that one other conversation alone has said, and earlier by (conv_id, turn), belongs to its
+first message there; shorter or commoner words link no conversations. Of the matches of a
 message the parent is the one of lowest level; then whole passages come before parts of them, the own conversation before
 others, whole messages before parts, longer parts before shorter, and later passages before earlier. Following parents by
 pointer doubling gives each message its thread and its depth, by which a conversation can be read in reply order, without
@@ -33,6 +35,8 @@ from ._common import hash_pair, materialise
 #: A power of two: 2 ** CHUNK_BITS turns of one conversation are a chunk.
 CHUNK_BITS = 10
 CHUNK_TURNS = 1 << CHUNK_BITS
+#: A quote may lead to another conversation from so many words on, if it is in one alone.
+FAR_WORDS = 8
 _MARKS = re.compile(r"^((?:> ?)+)(.*)$", re.S)
 
 
@@ -139,7 +143,7 @@ def earlier_turns(origin: DataFrame, asked: DataFrame) -> DataFrame:
     return found.select(*asked.columns, *[before(p).alias(f"before{p}") for p in (0, 1)])
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def link_quotes(messages: DataFrame, far_words: int = FAR_WORDS) -> DataFrame:
     """One row per message: conv_id, turn, role, parent_conv, parent_turn, thread_conv, thread_turn, depth, n_quotes, levels, text."""
     parsed = materialise(parsed_messages(messages), "messages")
     whole = parsed.select("conv_id", "turn", F.lit(0).alias("partial"), F.col("text").alias("words"))
@@ -147,12 +151,15 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     # keys are written down once: all that follows reads 16 bytes for a text
     origin = materialise(whole.unionByName(some).select("conv_id", "turn", "partial", _key(F.col("words")).alias("quote_key")), "quotable").where("quote_key is not null")
     here = origin.groupBy("conv_id", "quote_key", "partial").agg(F.min("turn").alias("turn"))
-    first = here.groupBy("quote_key", "partial").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
-    # whole messages before parts, in one row for each key
-    first = first.groupBy("quote_key").agg(*[F.min(F.when(F.col("partial") == p, F.col("first"))).alias(f"first{p}") for p in (0, 1)])
-    asked = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
-        "conv_id", "turn", "q.level", "q.piece", "q.back", F.length("q.words").alias("size"), _key(F.col("q.words")).alias("quote_key")
+    # whole messages before parts, in one row for each key that a single conversation has
+    first = here.groupBy("quote_key").agg(
+        F.min("conv_id").alias("least"), F.max("conv_id").alias("most"), *[F.min(F.when(F.col("partial") == p, F.struct("conv_id", "turn"))).alias(f"first{p}") for p in (0, 1)]
     )
+    first = first.where("least = most").drop("least", "most")
+    asked = parsed.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
+        "conv_id", "turn", "q.level", "q.piece", "q.back", F.length("q.words").alias("size"), _key(F.col("q.words")).alias("quote_key"),
+        (F.size(F.split(normalised(F.col("q.words")), " ")) >= far_words).alias("telling"),
+    )
     # a message's place; repeated rows share it
     asked = materialise(asked, "quoted").where("quote_key is not null").distinct()
     linked = earlier_turns(origin, asked).join(first, "quote_key", "left")
@@ -160,7 +167,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     def found(far: int, partial: int) -> Column:
         at = F.col(f"first{partial}") if far else F.struct("conv_id", F.col(f"before{partial}").alias("turn"))
-        earlier = F.col(f"first{partial}") < place if far else F.col(f"before{partial}").isNotNull()
+        other = F.col("telling") & (F.col(f"first{partial}") < place) & (F.col(f"first{partial}.conv_id") != F.col("conv_id"))
+        earlier = other if far else F.col(f"before{partial}").isNotNull()
         length = F.when(F.col("piece") == 1, -F.col("size")).otherwise(0)
         rank = F.struct("level", "piece", F.lit(far).alias("far"), F.lit(partial).alias("partial"), length.alias("length"), "back", at.alias("at"))
         return F.when(earlier, rank)

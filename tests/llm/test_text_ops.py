@@ -390,7 +390,7 @@ def test_quotes_link_to_originals(spark):
         (2, 0, "user", "> Thanks\nfrom afar"), (2, 1, "user", None), (2, 2, "user", "> from afar\nok"), (2, 2, "user", "> from afar\nok"), (3, 0, "user", "Hi"), (None, 1, "user", "x"), (3, None, "user", "y"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"up": F.lit(1), "depth": F.lit("d"), "quoted": F.lit(2)})
-    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.thread_conv, r.thread_turn, r.depth, r.levels, r.text) for r in chat_quotes.link_quotes(df).collect()}
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn, r.thread_conv, r.thread_turn, r.depth, r.levels, r.text) for r in chat_quotes.link_quotes(df, far_words=1).collect()}
     assert got == {
         (1, 0): (None, None, 1, 0, 0, 0, "Hello  there"), (1, 1): (1, 0, 1, 0, 1, 1, "Hi"), (1, 2): (1, 1, 1, 0, 2, 2, "Thanks"), (1, 3): (None, None, 1, 3, 0, 1, "What?"),
         (2, 0): (1, 2, 1, 0, 3, 1, "from afar"), (2, 1): (None, None, 2, 1, 0, 0, ""), (2, 2): (2, 0, 1, 0, 4, 1, "ok"), (3, 0): (None, None, 3, 0, 0, 0, "Hi"),
@@ -405,7 +405,7 @@ def test_quotes_belong_to_the_latest_earlier_message(spark):
     asked = [-3, 1, 2, 4, chunk - 1, chunk, chunk + 4, chunk + 6, 3 * chunk, 5 * chunk, 5 * chunk + 1]
     rows = [(1, t, "user", x) for t, x in said.items()] + [(1, t, "assistant", "> thanks\nreply") for t in asked] + [(2, t, "user", "> Thanks\nfrom afar") for t in (0, 9)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df).where("text in ('reply', 'from afar')").collect()}
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df, far_words=1).where("text in ('reply', 'from afar')").collect()}
     want = {(1, t): (1, max(x for x in said if x < t)) for t in asked}
     assert got == want | {(2, 0): (1, -4), (2, 9): (1, -4)}
 
@@ -418,13 +418,24 @@ def test_quotes_of_parts_of_messages(spark):
         (1, 8, "> > only the first\n> \nan empty parent"), (2, 0, "> And a last line.\nfrom afar"), (2, 1, "yes"), (2, 2, "> yes\nok"),
     ]
     df = spark.createDataFrame([(c, t, "user", x) for c, t, x in texts], "conv_id long, turn int, role string, text string")
-    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df).collect()}
+    got = {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df, far_words=1).collect()}
     none = (None, None)
     assert got == {
         (1, 0): none, (1, 1): (1, 0), (1, 2): (1, 0), (1, 3): (1, 1), (1, 4): (1, 3), (1, 5): (1, 3), (1, 6): (1, 5), (1, 7): (1, 0), (1, 8): none, (2, 0): (1, 0), (2, 1): none, (2, 2): (2, 1),
     }
 
 
+def test_short_or_common_quotes_stay_in_their_conversation(spark):
+    long, other = "this is a passage of ten words that one said", "and this is another passage of words that two said"
+    rows = [
+        (1, 0, "ok"), (1, 1, long), (1, 2, other), (2, 0, other), (3, 0, "> ok\nshort"), (3, 1, f"> {long}\nunique"), (3, 2, f"> {other}\ncommon"), (3, 3, "ok"), (3, 4, "> ok\nat home"),
+        (0, 0, f"> {long}\nbefore it was said"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn int, role string, text string")
+    got = {r.text: (r.parent_conv, r.parent_turn) for r in chat_quotes.link_quotes(df).where("n_quotes > 0").collect()}
+    assert got == {"short": (None, None), "unique": (1, 1), "common": (None, None), "at home": (3, 3), "before it was said": (None, None)}
+
+
 def test_quotes_of_a_long_thread_come_back(spark):
     rows = [(1, t, "user", f"message number {t}") for t in range(70)]
     df = chat_quotes.with_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
