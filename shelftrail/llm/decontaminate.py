@@ -1,19 +1,20 @@
-"""Benchmark decontamination: word n-grams seed, an item's rarest words join, Smith-Waterman decides.
+"""Benchmark decontamination: word n-grams seed, Smith-Waterman decides.
 
 Every n-gram of a benchmark item is a seed, however many documents hold it: one that is everywhere may be all that edits
 have left of a passage that is everywhere. One pass over the text finds the seeds and cuts out windows of words around
 them, as wide as the items of the seed's length class are long; a long run of seeds is cut into windows that overlap.
 
-A seed may be common to many documents and many items, so seeds do not join: rare words do. A score of `threshold` takes
-that share of an item's words at least, so a window that reaches it holds one of the item's rarest words, of which as many
-count as the threshold leaves room for: without them too few words would be left. How rare a word is, is counted over all
-windows. Pairs that meet at such a word, but of whose item's words too few can be in the window, go before any text moves.
+Windows and items that share a seed are joined by it, if it is one of few items: that makes a few rows for a seed found. A
+seed of more than `HOT_ITEMS` items joins together with a rare word. A score of `threshold` takes that share of an item's words
+at least, so a window that reaches it holds one of the item's rarest words, of which as many count as the threshold leaves
+room for: without them too few words would be left. How rare a word is, is counted over the windows with such seeds. So
+documents and items that have a common phrase in common and nothing else never meet, and no other pair is lost.
 
 A pair scores by local alignment on words: `MATCH` for equal words, less `MISMATCH` and `GAP` for edits, over the score of
-the whole item, so 1.0 is a verbatim copy. Pairs without a common seed or without enough words are not aligned; those that
-are, are aligned together by as many as `CELLS` bounds.
+the whole item, so 1.0 is a verbatim copy. Pairs without enough words are not aligned; those that are, are aligned together
+by as many as `CELLS` bounds.
 
-The corpus is only ever filtered against Bloom filters of bounded size; which word belongs to which item is an ordinary
+The corpus is only ever filtered against Bloom filters of bounded size; which seed belongs to which item is an ordinary
 join, whatever the size of the benchmark. Words are compared in lower case without ASCII punctuation.
 
 Defined cases: null texts are empty and neither leak nor are leaked; items of fewer words than a seed are not searched
@@ -43,6 +44,8 @@ MATCH, MISMATCH, GAP = 2, 1, 1
 THRESHOLD = 0.5
 #: Cells of the rows that pairs take while they are aligned together; a pair alone may have more.
 CELLS = 1 << 19
+#: A seed of more items than that joins together with one of an item's rarest words.
+HOT_ITEMS = 4
 #: A window's seeds span so many times what the items of a class reach, at most.
 SPAN = 4
 #: Items are classed by length: up to this many words, up to this many times more, and so on.
@@ -121,76 +124,86 @@ def _scores(seed_words: int, threshold: float) -> Callable[[Iterator[pa.RecordBa
 
 
 def item_seeds(benchmark: DataFrame, seed_words: int) -> DataFrame:
-    """(item_id, words, h, w): the hashes of an item's n-grams and of its words, in order."""
+    """(item_id, words, h): the words of each item and the hashes of its n-grams, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
-            out = {"item_id": [], "words": [], "h": [], "w": []}
-            for i, t, s, w in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), shingle_sequences(texts, 1), strict=True):
+            out = {"item_id": [], "words": [], "h": []}
+            for i, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
                 words = t.split()
                 if len(words) >= seed_words:
                     out["item_id"].append(i)
                     out["words"].append(b" ".join(words).decode("utf-8"))
                     out["h"].append(s.view(np.int64).tolist())
-                    out["w"].append(w.view(np.int64).tolist())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64())), ("w", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("item_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64()))]))
 
     some = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(some, run, "item_id long, words string, h array<long>, w array<long>")
+    return map_arrow(some, run, "item_id long, words string, h array<long>")
 
 
-def _pieces(at: np.ndarray, reach: np.ndarray, seed_words: int) -> Iterator[tuple[int, int]]:
-    """First and last word + 1 of the windows around seeds at the places `at`: overlapping ones are one, up to a span."""
+def _pieces(at: np.ndarray, reach: np.ndarray, seed_words: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Which of the seeds at the places `at` a window has, its first word and its last + 1: overlapping windows are one, up to a span."""
     ends = np.maximum.accumulate(at + seed_words + reach)
     first = np.minimum.accumulate((at - reach)[::-1])[::-1]  # a later seed may reach further back
     for part in np.split(np.arange(len(at)), np.flatnonzero(first[1:] > ends[:-1]) + 1):
         turn = (at[part] - at[part[0]]) // (SPAN * int(reach[part].max()))
         for own in np.split(part, np.flatnonzero(np.diff(turn)) + 1):
-            yield max(0, int((at[own] - reach[own]).min())), int((at[own] + seed_words + reach[own]).max())
+            yield own, max(0, int((at[own] - reach[own]).min())), int((at[own] + seed_words + reach[own]).max())
 
 
-def _windows(docs: DataFrame, planes: list[tuple[int, np.ndarray]], vocabulary: np.ndarray, seed_words: int) -> DataFrame:
-    """(doc_id, words, w): runs of words around seeds, and the distinct hashes of those that items have. planes: how many words
-    items of a class reach, and their seeds; vocabulary: the items' words."""
-    shared = docs.sparkSession.sparkContext.broadcast((planes, vocabulary))
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("w", pa.list_(pa.int64()))])
+def _windows(docs: DataFrame, planes: list[tuple[int, np.ndarray]], seed_words: int) -> DataFrame:
+    """(doc_id, words, h): runs of words around seeds, and these. planes: how many words items of a class reach, and their seeds."""
+    shared = docs.sparkSession.sparkContext.broadcast(planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes, vocabulary = shared.value
+        schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("h", pa.list_(pa.int64()))])
         for b in in_pieces(batches, 1):
             texts = [plain(t) for t in b.column(1).to_pylist()]
-            held = []
+            out = {f.name: [] for f in schema}
             for doc_id, t, s in zip(b.column(0).to_pylist(), texts, shingle_sequences(texts, seed_words), strict=True):
                 reach = np.zeros(len(s), np.int64)
-                for around, plane in planes:  # from the shortest items to the longest
+                for around, plane in shared.value:  # from the shortest items to the longest
                     reach[_bloom.contains(plane, s)] = around
-                if len(at := np.flatnonzero(reach)):
-                    held.append((doc_id, t, at, reach[at]))
-            out = {f.name: [] for f in schema}
-            for (doc_id, t, at, reach), hashes in zip(held, shingle_sequences([t for _, t, *_ in held], 1), strict=True):
-                words, known = t.split(), _bloom.contains(vocabulary, hashes)
-                for start, end in _pieces(at, reach, seed_words):
-                    own = hashes[start:end][known[start:end]]
+                at = np.flatnonzero(reach)
+                if not len(at):
+                    continue
+                words = t.split()
+                for own, start, end in _pieces(at, reach[at], seed_words):
                     out["doc_id"].append(doc_id)
                     out["words"].append(b" ".join(words[start:end]).decode("utf-8"))
-                    out["w"].append(np.unique(own).view(np.int64).tolist())
+                    out["h"].append(np.unique(s[at[own]]).view(np.int64).tolist())
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     some = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(some, run, "doc_id long, words string, w array<long>")
+    return map_arrow(some, run, "doc_id long, words string, h array<long>")
 
 
 def rarest_words(items: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
-    """(item, w, times, other): of the words of `items` (item, w), rarest in `seen` (w, df) first, as many as it takes that the
-    others, `other` words with repeats, are less than `threshold` of all; `times`: how often the item has the word."""
-    words = items.select("item", F.size("w").alias("n"), F.explode("w").alias("w")).groupBy("item", "n", "w").agg(F.count("*").alias("times"))
-    ranked = words.join(seen, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    upto = F.sum("times").over(Window.partitionBy("item").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumn("left", F.col("n") - upto)
-    rare = ranked.where(F.col("left") + F.col("times") >= threshold * F.col("n") - 1e-9)  # without it, enough words would be left
-    other = F.min("left").over(Window.partitionBy("item"))
-    return rare.select("item", "n", "w", "times", other.alias("other")).where(F.col("w").isNotNull())
+    """(item, w): of the words of `items` (item, words), rarest in `seen` (w, df) first, as many as it takes that all others
+    together, repeats counted, are less than `threshold` of them."""
+    each = items.select("item", F.split("words", " ").alias("ws")).select("item", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    ranked = each.groupBy("item", "n", "w").agg(F.count("*").alias("times")).join(seen, "w", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    before = F.sum("times").over(Window.partitionBy("item").orderBy("df", "w").rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("left", F.col("n") - F.coalesce(before, F.lit(0))).where(F.col("left") >= threshold * F.col("n") - 1e-9).select("item", "w")
+
+
+def _meetings(windows: DataFrame, items: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(window, item) of all pairs that share a seed and can reach the threshold."""
+    hit = windows.select("window", F.explode("h").alias("h"))
+    seeds = scratch.write(items.select("item", F.explode(F.array_distinct("h")).alias("h")), "seeds")
+    hot = seeds.groupBy("h").agg(F.count("*").alias("items")).where(F.col("items") > HOT_ITEMS).select("h")
+    met = hit.join(seeds.join(hot, "h", "left_anti"), "h").select("window", "item")
+    if hot.isEmpty():
+        return met.distinct()
+    hot = scratch.write(hot, "hot_seeds")
+    found = scratch.write(hit.join(hot, "h").groupBy("window").agg(F.collect_list("h").alias("hs")), "hot_windows")  # of a window's own seeds
+    said = found.join(windows.select("window", F.array_distinct(F.split("words", " ")).alias("ws")), "window")
+    said = scratch.write(said, "hot_words")
+    rare = rarest_words(items, said.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("df")), threshold)
+    keys = seeds.join(hot, "h").join(rare, "item").select("h", "w", "item")
+    asked = said.select("window", "hs", F.explode("ws").alias("w")).join(rare.select("w").distinct(), "w", "left_semi").select("window", "w", F.explode("hs").alias("h"))
+    return met.unionByName(asked.join(keys, ["h", "w"]).select("window", "item")).distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, seed_words: int = SEED_WORDS) -> DataFrame:
@@ -199,7 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     scratch = Scratch(spark)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     named = scratch.write(item_seeds(benchmark, seed_words), "items")
-    items = named.groupBy("words").agg(F.min("item_id").alias("item"), F.first("h").alias("h"), F.first("w").alias("w"))
+    items = named.groupBy("words").agg(F.min("item_id").alias("item"), F.first("h").alias("h"))
     kind = F.ceil(F.greatest(F.lit(0.0), F.log2(F.size("h") / CLASS_WORDS)) / 2).cast("int")  # each class is up to four times as long
     items = scratch.write(items.withColumns({"n": F.size("h"), "kind": kind}), "item_classes")
     seeds = items.select("kind", F.explode("h").alias("h"))
@@ -207,14 +220,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     if not kinds:
         scratch.clear()
         return spark.createDataFrame([], "doc_id long, item_id long, score double")
-    most = _bloom.MAX_BITS // (len(kinds) + 1)
+    most = _bloom.MAX_BITS // len(kinds)
     planes = [(k.longest + seed_words, _bloom.build(seeds.where(F.col("kind") == k.kind), _bloom.segments_for(k.seeds, most))) for k in kinds]
-    vocabulary = _bloom.build(items.select(F.explode("w").alias("h")), _bloom.segments_for(sum(k.seeds + seed_words for k in kinds), most))
-    windows = scratch.write(_windows(texts, planes, vocabulary, seed_words).withColumn("window", F.monotonically_increasing_id()), "windows")
-    held = windows.select("window", F.explode("w").alias("w"))
-    rare = scratch.write(rarest_words(items, held.groupBy("w").agg(F.count("*").alias("df")), threshold), "rare")
-    met = held.join(rare, "w").groupBy("window", "item").agg((F.sum("times") + F.any_value("other")).alias("most"), F.any_value("n").alias("n"))
-    pairs = met.where(F.col("most") >= threshold * F.col("n") - 1e-9).select("window", "item")
+    windows = scratch.write(_windows(texts, planes, seed_words).withColumn("window", F.monotonically_increasing_id()), "windows")
+    pairs = _meetings(windows, items, threshold, scratch)
     pairs = pairs.join(windows.select("window", "doc_id", "words"), "window").join(items.select("item", F.col("words").alias("wanted")), "item")
     scored = map_arrow(pairs.select("doc_id", "item", "wanted", "words"), _scores(seed_words, threshold), "doc_id long, item long, score double")
     best = scored.where(F.col("score") >= threshold).groupBy("doc_id", "item").agg(F.max("score").alias("score"))

@@ -320,8 +320,7 @@ def test_decontamination_windows_follow_each_item(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(0, 0), (1, 1)}
     seeds = decontaminate.item_seeds(bench, 3).select(F.explode("h").alias("h"), F.size("h").alias("n"))
     planes = [(11, decontaminate._bloom.build(seeds.where("n < 100"), 1)), (5001, decontaminate._bloom.build(seeds.where("n > 100"), 8))]
-    words = decontaminate._bloom.build(decontaminate.item_seeds(bench, 3).select(F.explode("w").alias("h")), 8)
-    sizes = {r.doc_id: r.n for r in decontaminate._windows(docs, planes, words, 3).groupBy("doc_id").agg(F.max(F.size(F.split("words", " "))).alias("n")).collect()}
+    sizes = {r.doc_id: r.n for r in decontaminate._windows(docs, planes, 3).groupBy("doc_id").agg(F.max(F.size(F.split("words", " "))).alias("n")).collect()}
     assert sizes[0] < 100 and sizes[1] > 4000
 
 
@@ -342,11 +341,17 @@ def test_decontamination_of_a_common_seed(spark):
     docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("d"), F.col("id") * 31 + i)), " "), F.lit(" one of the "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(15)), lambda i: F.concat(F.lit("e"), F.col("id") * 31 + i)), " ")).alias("text"))
     bench = docs.where("doc_id < 150").select(F.col("doc_id").alias("item_id"), F.regexp_replace("text", r"\b([de]\d)", "x$1").alias("text"))
     assert decontaminate.find_leaks(docs, bench).count() == 0
-    items = decontaminate.item_seeds(bench, 3).select(F.col("item_id").alias("item"), "w")
-    hashes = decontaminate.item_seeds(docs.select(F.col("doc_id").alias("item_id"), "text"), 3).select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    rare = decontaminate.rarest_words(items, hashes, 0.5)
-    common = [r.w for r in hashes.orderBy(F.desc("df")).limit(3).collect()]
-    assert rare.where(F.col("w").isin(common)).count() == 0 and rare.groupBy("item").agg(F.sum("times").alias("n")).where("n <> 17").count() == 0
+    seen = docs.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    rare = decontaminate.rarest_words(bench.select(F.col("item_id").alias("item"), F.col("text").alias("words")), seen, 0.5)
+    assert rare.where("w in ('one', 'of', 'the')").count() == 0 and rare.groupBy("item").count().where("count <> 17").count() == 0
+    mixed = docs.withColumn("text", F.when(F.col("doc_id") < 20, F.regexp_replace("text", r"\b([de]\d)", "x$1")).otherwise(F.col("text")))
+    assert {(r.doc_id, r.item_id, r.score) for r in decontaminate.find_leaks(mixed, bench).collect()} == {(i, i, 1.0) for i in range(20)}
+
+
+@pytest.mark.parametrize("hot", [0, 1, 10**9])
+def test_decontamination_is_the_same_for_any_bound_of_hot_seeds(spark, monkeypatch, hot):
+    monkeypatch.setattr(decontaminate, "HOT_ITEMS", hot)
+    test_decontamination_equals_aligning_everything(spark)
 
 
 def test_decontamination_of_a_very_long_document(spark):
@@ -360,7 +365,7 @@ def test_decontamination_of_a_very_long_document(spark):
     bench = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, bench).collect()}
     assert got[0, 5] == 1.0
-    spans = [b - a for a, b in decontaminate._pieces(np.arange(0, 100_000, 5), np.full(20_000, 33), 3)]
+    spans = [b - a for _, a, b in decontaminate._pieces(np.arange(0, 100_000, 5), np.full(20_000, 33), 3)]
     assert max(spans) <= (decontaminate.SPAN + 2) * 33 + 3 and len(spans) < 900
 
 
