@@ -54,12 +54,12 @@ class PriceDrops(StatefulProcessor):
         before = frame["price"].shift()
         known = self.last.get()
         if known is not None:
-            before.iloc[0] = known[0]
+            self.handle.deleteTimer(known[1] // 1000 + self.keep_ms)
+            if known[1] // 1000 + self.keep_ms > timerValues.getCurrentWatermarkInMs():  # timers fire after a batch's rows
+                before.iloc[0] = known[0]
         drop = (before - frame["price"]) / before.where(before != 0) * 100
         newest = frame.iloc[-1]
         self.last.update((float(newest["price"]), int(newest["at_us"]), int(newest["ordinal"])))
-        if known is not None:
-            self.handle.deleteTimer(known[1] // 1000 + self.keep_ms)
         self.handle.registerTimer(int(newest["at_us"]) // 1000 + self.keep_ms)
         alerts = frame.assign(last_price=before, drop_percent=drop.round(2))[(drop >= self.threshold).to_numpy()]
         yield alerts[["url", "seen_at", "ordinal", "last_price", "price", "drop_percent"]]
@@ -87,12 +87,18 @@ class FirstSeen(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = newest = None
         for frame in rows:  # a frame at a time: nothing is held but the best row
-            for at, ordinal in (min(zip(frame["at_us"], frame["ordinal"], strict=True)),) if len(frame) else ():
-                best = min(best or (at, ordinal), (at, ordinal))
-            newest = max(newest or frame["at_us"].max(), frame["at_us"].max())
+            if len(frame):
+                least, most = min(zip(frame["at_us"], frame["ordinal"], strict=True)), frame["at_us"].max()
+                best, newest = min(best or least, least), max(newest or most, most)
         if best is None:
-            return iter(())
+            return
         known, last = self.first.get(), self.newest.get()
+        if last is not None and last[0] // 1000 + self.keep_ms + 1 <= timerValues.getCurrentWatermarkInMs():  # timers fire after a batch's rows
+            if not known[2]:
+                self.handle.deleteTimer(known[0] // 1000 + 1)
+                yield self._told(key, known)
+            self.handle.deleteTimer(last[0] // 1000 + self.keep_ms + 1)
+            known = last = None
         if known is None or not known[2] and best < (known[0], known[1]):
             if known is not None:
                 self.handle.deleteTimer(known[0] // 1000 + 1)
@@ -103,13 +109,15 @@ class FirstSeen(StatefulProcessor):
                 self.handle.deleteTimer(last[0] // 1000 + self.keep_ms + 1)
             self.newest.update((int(newest),))
             self.handle.registerTimer(int(newest) // 1000 + self.keep_ms + 1)
-        return iter(())
+
+    def _told(self, key: tuple, known: tuple) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "first_us": [known[0]], "ordinal": [known[1]]})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known, last, due = self.first.get(), self.newest.get(), expiredTimerInfo.getExpiryTimeInMs()
         told = iter(())
         if known is not None and not known[2] and due >= known[0] // 1000 + 1:
-            told = iter([pd.DataFrame({"key": [key[0]], "first_us": [known[0]], "ordinal": [known[1]]})])
+            told = iter([self._told(key, known)])
             self.first.update((known[0], known[1], True))
         if last is not None and due >= last[0] // 1000 + self.keep_ms + 1:
             self.first.clear()
