@@ -188,29 +188,33 @@ def _cards(page: Node, layout: Layout) -> Iterator[tuple[Node, Node]]:
 SCHEMA = "page_id long, position int, card int, url string, title string, image_url string, sale_text string, list_text string, stock_texts array<string>, category_path string, description string"
 
 
+def cards_of(page: Node, url: str | None, layout: str) -> list[tuple]:
+    """The card rows of one page's tree, without its id."""
+    chosen, out = LAYOUTS[layout], []
+    trail = page.first(classes=set(chosen.crumbs))
+    path = " > ".join([a.text() for a in trail.all("a")][1:]) if trail else ""
+    about = page.first(classes={"description", "product-description"})
+    seen: dict[Node, tuple] = {}  # what a card shows is read once
+    for k, (card, link) in enumerate(_cards(page, chosen)):
+        new = card not in seen
+        if new:
+            image = card.first("img", attr="data-src") or card.first("img", attr="src")
+            seen[card] = (len(seen), _price_texts(card, chosen), (image.attrs.get("data-src") or image.attrs.get("src")) if image else "")
+        number, prices, source = seen[card]
+        named = card.first(classes=set(chosen.title)) if chosen.title else None
+        title = link.attrs.get("title") or (named or link).text() or link.text()
+        shown = urljoin(url or "", source) if source else ""
+        out.append((k, number, urljoin(url or "", link.attrs["href"]), title, shown, *prices, _stock_texts(card) if new else None, path, about.text() if about else ""))
+    return out
+
+
 def card_rows(pages: DataFrame, layout: str = "generic") -> DataFrame:
     """Raw card rows of pages (page_id, url, html): one page gives any number, texts as they stand."""
-    chosen = LAYOUTS[layout]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string(), pa.string()]
         for b in batches:
-            out: list[tuple] = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                page = tree(html)
-                trail = page.first(classes=set(chosen.crumbs))
-                path = " > ".join([a.text() for a in trail.all("a")][1:]) if trail else ""
-                about = page.first(classes={"description", "product-description"})
-                seen: dict[Node, tuple] = {}  # what a card shows is read once
-                for k, (card, link) in enumerate(_cards(page, chosen)):
-                    new = card not in seen
-                    if new:
-                        image = card.first("img", attr="data-src") or card.first("img", attr="src")
-                        seen[card] = (len(seen), _price_texts(card, chosen), (image.attrs.get("data-src") or image.attrs.get("src")) if image else "")
-                    number, prices, source = seen[card]
-                    named = card.first(classes=set(chosen.title)) if chosen.title else None
-                    title = link.attrs.get("title") or (named or link).text() or link.text()
-                    out.append((page_id, k, number, urljoin(url, link.attrs["href"]), title, urljoin(url, source) if source else "", *prices, _stock_texts(card) if new else None, path, about.text() if about else ""))
-            types = [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string(), pa.string()]
+            out = [(page_id, *row) for page_id, url, html in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in cards_of(tree(html), url, layout)]
             columns = list(zip(*out, strict=True)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -219,7 +223,11 @@ def card_rows(pages: DataFrame, layout: str = "generic") -> DataFrame:
 
 def listing_items(pages: DataFrame, layout: str = "generic", percent_off: float = 0.0, absolute_off: float = 0.0) -> DataFrame:
     """Item rows of listing pages: prices, discount rules and stock are native expressions over the raw cards."""
-    rows = card_rows(pages, layout)
+    return card_items(card_rows(pages, layout), layout, percent_off, absolute_off)
+
+
+def card_items(rows: DataFrame, layout: str = "generic", percent_off: float = 0.0, absolute_off: float = 0.0) -> DataFrame:
+    """Item rows of card rows."""
     price = F.coalesce(parse_price(F.col("sale_text")), parse_price(F.col("list_text")))
     rows = rows.withColumn("_stock", F.get(F.filter(F.transform("stock_texts", stock_status), lambda x: x.isNotNull()), F.lit(0)))
     if LAYOUTS[layout].link_part:  # several links may share a card

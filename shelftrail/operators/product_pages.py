@@ -72,18 +72,20 @@ def _stock(page: Node) -> tuple[str, list[str]]:
 PARTS = "amount string, price_texts array<string>, image string, said string, stock_texts array<string>, description string"
 
 
+def parts_of(page: Node) -> tuple:
+    """What one page's tree has of `PARTS`."""
+    amount, box, about = page.first(attr="data-price-amount"), next((n for n in page.all() if any(g <= n.classes() for g in GALLERY)), None), page.first(classes=DESCRIPTION)
+    prices = list(dict.fromkeys(n.text() for spot in PRICE_SPOTS for n in _at(page, *spot)))
+    return (amount.attrs["data-price-amount"] if amount else "", prices, _image(box or page), *_stock(page), about.text() if about else "")
+
+
 def page_parts(pages: DataFrame) -> DataFrame:
     """`pages` (page_id, url, html) with what takes a tag tree to find: raw price, image, stock and description texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
         for b in in_pieces(batches, 2):
-            out = []
-            for html in b.column(2).to_pylist():
-                page = tree(html)
-                amount, box, about = page.first(attr="data-price-amount"), next((n for n in page.all() if any(g <= n.classes() for g in GALLERY)), None), page.first(classes=DESCRIPTION)
-                prices = list(dict.fromkeys(n.text() for spot in PRICE_SPOTS for n in _at(page, *spot)))
-                out.append((amount.attrs["data-price-amount"] if amount else "", prices, _image(box or page), *_stock(page), about.text() if about else ""))
+            out = [parts_of(tree(html)) for html in b.column(2).to_pylist()]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=["page_id", "url", "html", *(f.split()[0] for f in PARTS.split(", "))])
 
@@ -93,10 +95,15 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
 def product_rows(pages: DataFrame, percent_off: float = 0.0, absolute_off: float = 0.0) -> DataFrame:
     """One item row per product page: url, site, title, prices and their texts, source, image, stock and description."""
+    return parts_rows(page_parts(pages), percent_off, absolute_off)
+
+
+def parts_rows(parts: DataFrame, percent_off: float = 0.0, absolute_off: float = 0.0) -> DataFrame:
+    """The item rows of what `page_parts` gives."""
     html, url = F.col("html"), F.col("url")
     first = lambda k: F.get(F.filter(F.transform("named", lambda x: x[k]), lambda v: v.isNotNull() & (v.cast("string") != "")), F.lit(0))
     named = F.transform(P.structured_products(html), P.product_facts)
-    told = page_parts(pages).withColumns({"named": named, "canonical": P.canonical_url(html, url), "shown_title": P.page_title(html)})
+    told = parts.withColumns({"named": named, "canonical": P.canonical_url(html, url), "shown_title": P.page_title(html)})
     shown = F.coalesce(F.col("amount").try_cast("double"), F.get(F.filter(F.transform("price_texts", parse_price), lambda p: p.isNotNull()), F.lit(0)))
     rows = told.select(
         "page_id", F.col("canonical").alias("url"), host(url).alias("site"), F.coalesce(first("name"), "shown_title").alias("title"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cards as D
 from ..operators import navigation as N
+from ..operators import page_records as O
 from ..operators import pages as P
 from ..operators import runs as U
 from ..sources import readers as R
@@ -234,3 +235,23 @@ def category_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example/").alias("url"), html.alias("html"))
     return N.category_menu(pages)
+
+
+@query("""SELECT 'card' AS kind, p_partkey AS page_id, 'https://shop.example/p/' || p_partkey AS url, p_name AS label, CAST(p_retailprice AS DOUBLE) AS price FROM part
+UNION ALL SELECT 'product', p_partkey, 'https://shop.example/page/' || p_partkey, p_name, CAST(p_retailprice AS DOUBLE) FROM part
+UNION ALL SELECT 'menu', NULL, 'https://shop.example/replacement-parts/' || p_brand, arg_min(p_type, p_partkey), NULL FROM part GROUP BY p_brand""")
+def one_parse_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards, product rows and category links of the same pages, each page parsed once."""
+    price = F.format_number(F.col("p_retailprice").cast("decimal(18,2)"), 2)
+    html = F.concat(
+        F.lit("<html><h1>"), F.col("p_name"), F.lit('</h1><ul><li class="item"><a href="/p/'), F.col("p_partkey"), F.lit('">'), F.col("p_name"), F.lit('</a><span class="price">$'), price,
+        F.lit('</span></li></ul><nav><a href="/replacement-parts/'), F.col("p_brand"), F.lit('">'), F.col("p_type"), F.lit("</a></nav></html>"),
+    )
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://shop.example/page/"), F.col("p_partkey")).alias("url"), html.alias("html"))
+    path = scratch(spark, "parsed")
+    O.parse_pages(pages).write.parquet(path)
+    parsed = spark.read.schema(O.SCHEMA).parquet(path)
+    row = lambda df, kind, page_id, label, cost: df.select(F.lit(kind).alias("kind"), page_id.cast("long").alias("page_id"), "url", F.col(label).alias("label"), cost.cast("double").alias("price"))
+    nothing = F.lit(None)
+    views = row(O.listing_items(parsed), "card", F.col("page_id"), "title", F.col("price_value")), row(O.product_rows(parsed), "product", F.col("page_id"), "title", F.col("price_value"))
+    return views[0].unionByName(views[1]).unionByName(row(O.category_menu(parsed), "menu", nothing, "label", nothing))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shelftrail.operators import cards, catalog, day_tables, history, navigation, partials, search_index, sessions
+from shelftrail.operators import cards, catalog, day_tables, history, navigation, page_records, partials, product_pages, search_index, sessions
 from shelftrail.sources import readers
 from shelftrail.streaming import jobs, stateful, store
 
@@ -236,3 +236,15 @@ def test_second_schema(spark):
     assert got["u3"].price_value is None and got["u3"].price_currency == "USD" and got["u3"].source == "auto"
     first = second.select("url", F.lit(1.0).alias("price_value"), F.lit("x").alias("brand"))
     assert sessions.supplier_items([first, sessions.canonical_items(second, "d", "auto")]).where("brand is null").count() == 3
+
+
+def test_one_parse_gives_what_three_give(spark):
+    menu = '<nav><a href="/replacement-parts/z">Z</a></nav><div class="mobile-nav"><li class="lg"><ul class="level0"><ul class="sview-row"><a class="nlabel-f" href="/l">L</a></ul></ul></li></div>'
+    item = '<h1>T</h1><li class="item"><a href="/p/1">One</a><span class="price">$3.50</span><p class="stock">sold out</p></li><li class="item"><a href="/p/2" title="Two">2</a><img src="/i.png"></li>'
+    rows = [(1, "https://a.example/x", f"<html>{item}{menu}</html>"), (2, "https://a.ca/y", menu), (3, None, None), (4, "https://a.example/z", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parsed = page_records.parse_pages(df)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(page_records.listing_items(parsed, percent_off=10.0), cards.listing_items(df, percent_off=10.0)) and cards.listing_items(df).count() == 2
+    assert same(page_records.product_rows(parsed), product_pages.product_rows(df)) and same(page_records.category_menu(parsed), navigation.category_menu(df))
+    assert page_records.parse_pages(df.limit(0)).count() == 0
