@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelftrail.llm import bpe, decontaminate, exact_dedup, minhash_dedup, quality
-from shelftrail.llm._common import materialise, table
+from shelftrail.llm._common import Scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids_sha256 and decoded_sha256 of every document that the stages keep."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        here = Scratch(spark)
+        docs = here.write(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            before.clear()  # the next stage has read it to the end
+        before = here
     return docs

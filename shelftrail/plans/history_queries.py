@@ -448,7 +448,7 @@ def _tied_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TIED_SQL}, s AS (SELECT product_id, day, price, count(*) AS n FROM tied GROUP BY ALL), d AS (SELECT product_id, day, lag(day) OVER (PARTITION BY product_id ORDER BY day) AS before FROM (SELECT DISTINCT product_id, day FROM s))
-SELECT d.product_id, CAST(d.day AS VARCHAR) AS recorded_at, CAST(d.before AS VARCHAR) AS previous_at, CAST(sum(c.n * p.n) FILTER (c.price IS DISTINCT FROM p.price) AS BIGINT) AS changed,
+SELECT d.product_id, CAST(d.day AS VARCHAR) AS recorded_at, CAST(d.before AS VARCHAR) AS previous_at, CAST(coalesce(sum(c.n * p.n) FILTER (c.price IS DISTINCT FROM p.price), 0) AS BIGINT) AS changed,
   CAST(coalesce(sum(c.n * p.n) FILTER (c.price > p.price), 0) AS BIGINT) AS up, CAST(coalesce(sum(c.n * p.n) FILTER (c.price < p.price), 0) AS BIGINT) AS down, CAST(count(DISTINCT coalesce(c.price, -1)) AS INTEGER) AS n_prices
 FROM d JOIN s c ON c.product_id = d.product_id AND c.day = d.day JOIN s p ON p.product_id = d.product_id AND p.day = d.before GROUP BY d.product_id, d.day, d.before""")
 def tied_price_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
