@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelftrail.llm import quality, toxicity
+from shelftrail.llm._common import materialise
 from shelftrail.llm._linear import fit_logistic
 from shelftrail.llm.queries import QUERIES
 
@@ -308,7 +309,7 @@ def test_pipeline_stages_and_bruteforce(spark):
     at = docs
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = corpus_pipeline.materialise(stage(spark, at, SF), f"test-{name}")
+        out = materialise(stage(spark, at, SF), f"test-{name}")
         assert out.columns == docs.columns
         before, after = ({r.doc_id: r.text for r in d.select("doc_id", "text").collect()} for d in (at, out))
         assert after.items() <= before.items()
