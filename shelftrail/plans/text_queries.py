@@ -56,8 +56,8 @@ _KEY = r"coalesce(nullif(array_to_string(regexp_extract_all({0}, '\b([a-z]{{1,3}
 
 @query(f"SELECT doc_id, length(norm) AS n_norm, md5(norm) AS norm_md5, md5({_KEY.format('norm')}) AS key_md5 FROM (SELECT doc_id, {_NORM.format('text')} AS norm FROM documents)")
 def title_norm_model_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(T.normal_title(t)).cast("long").alias("n_norm"), F.md5(T.normal_title(t)).alias("norm_md5"), F.md5(T.model_key(t)).alias("key_md5"))
+    told = T.let(T.normal_title(F.col("text")), lambda n: F.struct(F.length(n).cast("long").alias("n_norm"), F.md5(n).alias("norm_md5"), F.md5(T.key_of_normal_title(n)).alias("key_md5")))
+    return table(spark, sf_dir, "documents").select("doc_id", told.alias("told")).select("doc_id", "told.*")
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
