@@ -20,18 +20,19 @@ STRONG_SIGNS = ["checking your browser", "challenge-platform", "cf-browser-verif
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 
-def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES.items():
+def unescape(c: Column, quote: str = '"') -> Column:
+    """`quote` is what `&quot;` becomes: a caller whose SQL writes it otherwise says so."""
+    for entity, char in (ENTITIES | {"&quot;": quote}).items():
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
 
 
-def inner_text(html: Column) -> Column:
-    return clean_text(unescape(F.regexp_replace(html, "<[^>]*>", " ")))
+def inner_text(html: Column, quote: str = '"') -> Column:
+    return clean_text(unescape(F.regexp_replace(html, "<[^>]*>", " "), quote))
 
 
-def _first_match(html: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*[F.nullif(inner_text(F.regexp_extract(html, p, 1)), F.lit("")) for p in patterns])
+def _first_match(html: Column, patterns: list[str], quote: str = '"') -> Column:
+    return F.coalesce(*[F.nullif(inner_text(F.regexp_extract(html, p, 1), quote), F.lit("")) for p in patterns])
 
 
 def is_challenge(html: Column) -> Column:
@@ -50,9 +51,9 @@ def page_kind(html: Column) -> Column:
     return F.when(product, "product").when(listing, "category").otherwise("default")
 
 
-def page_title(html: Column) -> Column:
+def page_title(html: Column, quote: str = '"') -> Column:
     heads = [r'(?is)<h1[^>]*class="[^"]*page-title[^"]*"[^>]*>(.*?)</h1>', r'(?is)<span[^>]*data-ui-id="page-title-wrapper"[^>]*>(.*?)</span>', r'(?is)<h1[^>]*class="[^"]*product[^"]*"[^>]*>(.*?)</h1>', r"(?is)<h1[^>]*>(.*?)</h1>"]
-    return F.coalesce(_first_match(html, [*heads, r'(?i)<meta[^>]*property="og:title"[^>]*content="([^"]*)"']), F.lit(""))
+    return F.coalesce(_first_match(html, [*heads, r'(?i)<meta[^>]*property="og:title"[^>]*content="([^"]*)"'], quote), F.lit(""))
 
 
 def canonical_url(html: Column, url: Column) -> Column:
@@ -68,11 +69,11 @@ def image_url(html: Column) -> Column:
     return F.coalesce(*found, F.lit(""))
 
 
-def page_facts(pages: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, quote: str = '"') -> DataFrame:
     """One row per page: url, canonical_url, title, kind, challenged, image_url."""
     html, url = F.col("html"), F.col("url")
     return pages.select(
-        "page_id", "url", canonical_url(html, url).alias("canonical_url"), page_title(html).alias("title"), page_kind(html).alias("kind"),
+        "page_id", "url", canonical_url(html, url).alias("canonical_url"), page_title(html, quote).alias("title"), page_kind(html).alias("kind"),
         is_challenge(html).alias("challenged"), image_url(html).alias("image_url"),
     )
 
@@ -80,16 +81,16 @@ def page_facts(pages: DataFrame) -> DataFrame:
 ANCHOR = r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'
 
 
-def links(pages: DataFrame) -> DataFrame:
+def links(pages: DataFrame, quote: str = '"') -> DataFrame:
     """One row per anchor of each page: page_id, position, url (absolute), label."""
     found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("position", "anchor"))
     href = unescape(F.regexp_extract("anchor", r'(?is)href="([^"]*)"', 1))
-    return found.select("page_id", "position", absolute_url(href, F.col("base")).alias("url"), inner_text(F.col("anchor")).alias("label"))
+    return found.select("page_id", "position", absolute_url(href, F.col("base")).alias("url"), inner_text(F.col("anchor"), quote).alias("label"))
 
 
-def category_links(pages: DataFrame, pattern: str) -> DataFrame:
+def category_links(pages: DataFrame, pattern: str, quote: str = '"') -> DataFrame:
     """Distinct link targets that contain `pattern`, each with the label it had first."""
-    some = links(pages).where(F.col("url").contains(pattern) & (F.col("label") != ""))
+    some = links(pages, quote).where(F.col("url").contains(pattern) & (F.col("label") != ""))
     return first_wins(some, ["url"], ["page_id", "position"]).select("url", "label")
 
 
