@@ -160,11 +160,15 @@ def result_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, heads)
 
 
+#: A page number that no list reaches, however large the tables are.
+_BEYOND = 1 << 62
+
+
 @query(f"WITH {_LISTED_SQL}, last AS (SELECT greatest(0, ((count(*) - 1) // 50) * 50) AS skip FROM shown WHERE f > 99000) SELECT ordinal, title, row_number() OVER (ORDER BY f DESC, ordinal) AS position FROM shown WHERE f > 99000 QUALIFY position > (SELECT skip FROM last)")
 def result_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page number beyond the end is the last page."""
     rows = E.price_filter(E.enrich(_listed(spark, sf_dir)), 99000.01, None)
-    return E.deep_page(rows, 1000, 50, "final-desc", scratch(spark, "ranked")).select("ordinal", "title", "position")
+    return E.deep_page(rows, _BEYOND, 50, "final-desc", scratch(spark, "ranked")).select("ordinal", "title", "position")
 
 
 @query(f"WITH {_LISTED_SQL}, r AS (SELECT ordinal, title, d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, ordinal) AS position, count(*) OVER () AS n FROM shown) SELECT ordinal, title, position FROM r WHERE position > 50 * (n // 100) AND position <= 50 * (n // 100) + 50")
