@@ -44,11 +44,11 @@ DESCRIPTION = {"description", "product-description", "product-short-description"
 
 
 def _at(page: Node, around: Test | None, at: Test) -> Iterator[Node]:
-    boxes = [page] if around is None else [n for n in page.all() if around(n)]
+    boxes = [page] if around is None else [n for n in page.below() if n.attrs and around(n)]
     seen: set[int] = set()
     for box in boxes:
-        for n in box.all():
-            if at(n) and id(n) not in seen:
+        for n in box.below():
+            if n.attrs and at(n) and id(n) not in seen:
                 seen.add(id(n))
                 yield n
 
@@ -65,7 +65,11 @@ def _stock(page: Node) -> tuple[str, list[str]]:
     said = next((n.attrs.get("content") for n in page.all("meta") if (n.attrs.get("itemprop") == "availability" or n.attrs.get("property") == "product:availability") and n.attrs.get("content")), None)
     link = next((n.attrs["href"] for n in page.all("link", attr="href") if n.attrs.get("itemprop") == "availability"), None)
     spots = [n for a in STOCK_ATTRIBUTES[:3] if (n := page.first(attr=a))]
-    spots += [n for c in STOCK_ORDER if (n := page.first(classes={c}))]
+    named: dict[str, Node] = {}  # the first element of each class
+    for n in page.below():
+        for c in n.classes():
+            named.setdefault(c, n)
+    spots += [named[c] for c in STOCK_ORDER if c in named]
     return said or link or "", [t for n in spots for t in [*(n.attrs.get(a) for a in STOCK_ATTRIBUTES), n.text()] if t]
 
 

@@ -16,7 +16,7 @@ def against_sql(spark, folder, name, tables):
         df.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
         con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
     out = con.sql(ORACLES[name])
-    return sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*out.columns).collect())), sorted(out.fetchall())
+    return sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*out.columns).collect()), key=str), sorted(out.fetchall(), key=str)
 
 
 @pytest.mark.parametrize("name", ["page_title_canonical", "page_links", "discovery_merge"])
@@ -41,3 +41,40 @@ def lines(spark, n, price):
 def test_last_page_of_a_list_of_more_than_a_thousand_pages(spark, tmp_path):
     got, want = against_sql(spark, tmp_path, "result_last_page", lines(spark, 120_000, lambda i: 99_001 + i * 0 + 20_000))
     assert got == want and got
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    from shelftrail.operators import cards
+
+    def parsed(html):
+        slow = cards._Tree()
+        slow.feed(html)
+        slow.close()
+        return slow.done()
+
+    said = lambda page: [(n.tag, n.attrs, n.text(), n.parent.tag) for n in page.all()]
+    plain = '<UL><li Class="item">a &amp; b<li class="item"><a href="/p/1">x</a><br/><p>1<p>2<div>3</div></ul></b><table><tr><td>4<td>5</table>'
+    for html in (plain, plain + "<!-- c -->d", "a < b", "<b x='1'>", "<script>1<2</script>", "", "<title>a<b></title>"):
+        assert said(cards.tree(html)) == said(parsed(html))
+    assert cards._Tree().plain(plain) and not cards._Tree().plain("a < b") and not cards._Tree().plain("<script>1</script>")
+
+
+def test_small_files_are_dealt_to_all_cores(spark, tmp_path):
+    from shelftrail.plans.tables import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "few"))
+    out = spread(spark.read.parquet(str(tmp_path / "few")), "id").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert out == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["grid_cards", "loop_cards", "link_cards"])
+def test_a_brand_with_many_parts_takes_many_pages(spark, tmp_path, monkeypatch, name):
+    from shelftrail.operators import cards
+
+    seen = []
+    rows = cards.listing_items
+    monkeypatch.setattr(cards, "listing_items", lambda pages, *a: seen.append(pages.agg(F.count("*"), F.max(F.length("html"))).first()) or rows(pages, *a))
+    i = F.col("id")
+    part = spark.range(12_000).select(i.alias("p_partkey"), F.concat(F.lit("part "), i).alias("p_name"), F.concat(F.lit("B"), i % 3).alias("p_brand"), (i % 50).cast("int").alias("p_size"), (900.25 + i % 7).alias("p_retailprice"))
+    got, want = against_sql(spark, tmp_path, name, {"part": part})
+    assert len(got) == 12_000 and sorted(map(str, got)) == sorted(map(str, want)) and seen[0][0] == 9
