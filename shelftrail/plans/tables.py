@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to all cores: a small file is read by a task or two, and pages made of its rows take long to parse. With a
+    number of partitions, as without one Spark joins partitions of few bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a query that writes and reads back: the shared checkpoint folder, or a local one in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
