@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,15 @@ def page(rows: DataFrame, number: int, size: int, order: str) -> DataFrame:
     return held.where(F.col("position") > (last - 1) * size).drop("_n")
 
 
+def heads(rows: DataFrame, size: int, orders: list[str], path: str) -> DataFrame:
+    """The first `size` rows of each order, as (sorted, position, ordinal). What the orders look at is worked out once for all
+    of them, and written to the new folder `path`."""
+    rows.select("ordinal", "title", "site", "original", "final", "discount_percent", *(["model"] if any(o.startswith("model") for o in orders) else [])).write.parquet(path)
+    told = rows.sparkSession.read.parquet(path)
+    found = [page(told, 1, size, o).select(F.lit(o).alias("sorted"), "position", "ordinal") for o in orders]
+    return reduce(DataFrame.unionByName, found)
+
+
 def deep_page(rows: DataFrame, number: int, size: int, order: str, path: str) -> DataFrame:
     """The same page by its number, or the last page there is, from the list ranked under the new folder `path`: no task
     holds more than a partition of it, and what is read is the partition that the page is in."""

@@ -78,3 +78,15 @@ def test_a_brand_with_many_parts_takes_many_pages(spark, tmp_path, monkeypatch,
     part = spark.range(12_000).select(i.alias("p_partkey"), F.concat(F.lit("part "), i).alias("p_name"), F.concat(F.lit("B"), i % 3).alias("p_brand"), (i % 50).cast("int").alias("p_size"), (900.25 + i % 7).alias("p_retailprice"))
     got, want = against_sql(spark, tmp_path, name, {"part": part})
     assert len(got) == 12_000 and sorted(map(str, got)) == sorted(map(str, want)) and seen[0][0] == 9
+
+
+def test_heads_of_all_orders_come_from_one_stored_table(spark, tmp_path):
+    from shelftrail.operators import results
+
+    rows = [(i, f"t {i % 5}", f"s{i % 3}", "u", f"${i % 7 + 1}.00", "" if i % 2 else "$1.00", "yes") for i in range(40)]
+    listed = results.enrich(spark.createDataFrame(rows, "ordinal long, title string, site string, url string, original_formatted string, discounted_formatted string, stock_status string"))
+    orders = ["final-asc", "title-desc", "discount-desc", "model-asc"]
+    got = results.heads(listed, 6, orders, str(tmp_path / "heads"))
+    want = [(o, r.position, r.ordinal) for o in orders for r in results.page(listed, 1, 6, o).collect()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {f.rpartition("/")[0] for f in got.inputFiles()} == {f"file://{tmp_path}/heads"}  # the items themselves are not read again
