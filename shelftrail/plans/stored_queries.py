@@ -155,9 +155,8 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 ))
 def result_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of the list in each of its ten orders."""
-    rows = E.enrich(_listed(spark, sf_dir))
-    heads = [E.page(rows, 1, 12, f"{name}-{way}").select(F.lit(f"{name}-{way}").alias("sorted"), "position", "ordinal") for name in _ORDERS for way in ("asc", "desc")]
-    return reduce(DataFrame.unionByName, heads)
+    orders = [f"{name}-{way}" for name in _ORDERS for way in ("asc", "desc")]
+    return E.heads(E.enrich(_listed(spark, sf_dir)), 12, orders, scratch(spark, "heads"))
 
 
 #: A page number that no list reaches, however large the tables are.
@@ -167,14 +166,15 @@ _BEYOND = 1 << 62
 @query(f"WITH {_LISTED_SQL}, last AS (SELECT greatest(0, ((count(*) - 1) // 50) * 50) AS skip FROM shown WHERE f > 99000) SELECT ordinal, title, row_number() OVER (ORDER BY f DESC, ordinal) AS position FROM shown WHERE f > 99000 QUALIFY position > (SELECT skip FROM last)")
 def result_last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page number beyond the end is the last page."""
-    rows = E.price_filter(E.enrich(_listed(spark, sf_dir)), 99000.01, None)
+    rows = E.price_filter(E.priced(_listed(spark, sf_dir)), 99000.01, None).select("ordinal", "title", "final")
     return E.deep_page(rows, _BEYOND, 50, "final-desc", scratch(spark, "ranked")).select("ordinal", "title", "position")
 
 
 @query(f"WITH {_LISTED_SQL}, r AS (SELECT ordinal, title, d, row_number() OVER (ORDER BY coalesce(d, 0) DESC, ordinal) AS position, count(*) OVER () AS n FROM shown) SELECT ordinal, title, position FROM r WHERE position > 50 * (n // 100) AND position <= 50 * (n // 100) + 50")
 def result_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page in the middle of the whole list, by discount, where thousands of rows share a value."""
-    listed = ranked(E.enrich(_listed(spark, sf_dir)), E.order_columns("discount-desc"), scratch(spark, "ranked"))
+    rows = E.enrich(_listed(spark, sf_dir)).select("ordinal", "title", "discount_percent")  # all that the order and the page need
+    listed = ranked(rows, E.order_columns("discount-desc"), scratch(spark, "ranked"))
     return listed.page(listed.total // 100 + 1, 50).select("ordinal", "title", "position")
 
 
