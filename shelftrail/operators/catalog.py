@@ -61,15 +61,19 @@ class ItemBatch:
     products: DataFrame
 
 
-def item_batch(items: DataFrame, order: list[str]) -> ItemBatch:
+def item_batch(items: DataFrame, order: list[str], path: str | None = None) -> ItemBatch:
     """Collected items (url, sku, title, description, price, stock_status, category_path, label, brand + order) as what the
     dimension and product upserts take. Ids are hashes of natural keys, so they need no lookup; of items with the same
-    derived sku the first counts."""
-    t = taxonomy(F.col("category_path"), F.col("label"), F.col("brand"))
-    rows = items.withColumns({"sku": derive_sku(F.col("sku"), F.col("url")), "_t": t})
+    derived sku the first counts; with a new folder `path` these are written there, and items are read once for all four."""
+    first = first_wins(items.withColumn("sku", derive_sku(F.col("sku"), F.col("url"))), ["sku"], order)
+    if path:
+        first.write.parquet(path)
+        first = first.sparkSession.read.schema(first.schema).parquet(path)
+    # names and slugs are worked out for the rows that count, not for every item
+    rows = first.withColumn("_t", taxonomy(F.col("category_path"), F.col("label"), F.col("brand")))
     rows = rows.withColumns({f"{k}_slug": slug(F.col(f"_t.{k}")) for k in ("brand", "category", "model")})
     levels = {"brand": ["brand_slug"], "category": ["brand_slug", "category_slug"], "model": ["brand_slug", "category_slug", "model_slug"]}
-    rows = first_wins(rows.withColumns({f"{k}_id": F.xxhash64(*slugs) for k, slugs in levels.items()}), ["sku"], order)
+    rows = rows.withColumns({f"{k}_id": F.xxhash64(*slugs) for k, slugs in levels.items()})
 
     def dimension(name: str, parent: list[str]) -> DataFrame:
         named = rows.select(*parent, F.col(f"{name}_slug").alias("slug"), F.col(f"_t.{name}").alias("name"), F.concat(F.lit("/"), F.array_join(F.array(*levels[name]), "/")).alias("url"), *order)

@@ -359,7 +359,7 @@ def item_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://shop.example/p-"), "l_partkey", F.lit("/")).alias("url"), F.lit(None).cast("string").alias("sku"), F.col("p_name").alias("title"), F.lit("").alias("description"),
         F.col("l_extendedprice").alias("price"), F.col("l_linestatus").alias("stock_status"), F.concat_ws(" > ", "p_brand", "p_type", "p_name").alias("category_path"),
         F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("brand"), (((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("o"),
-    ), ["o"])
+    ), ["o"], scratch(spark, "items"))
     parts = [("brands", batch.brands, "name"), ("categories", batch.categories, "name"), ("models", batch.models, "name"), ("products", batch.products, "sku")]
     counted = [df.agg(F.count("*").alias("n"), F.min(c).alias("first")).select(F.lit(name).alias("table"), "n", "first") for name, df, c in parts]
     return counted[0].union(counted[1]).union(counted[2]).union(counted[3])
