@@ -126,7 +126,7 @@ def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ITEMS_SQL} SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(original) AS DOUBLE) AS total FROM items JOIN orders ON o_orderkey = session_id GROUP BY 1")
 def session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = sessions(spark, sf_dir)
-    listed = items(spark, sf_dir).join(held.select("session_id", "ts"), "session_id")
+    listed = items(spark, sf_dir, held)
     path = scratch(spark, "sessions")
     # stored by year, which keeps the files of these few rows few; the day is a column
     save_session(held, listed.withColumns({"date": F.to_date("ts"), "ts": F.trunc("ts", "year")}), path)

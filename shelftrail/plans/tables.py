@@ -97,10 +97,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("note"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as listings: the part's name is the title, the return flag the site, formatted prices beside numbers."""
+def items(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """Line items as listings: the part's name is the title, the return flag the site, formatted prices beside numbers. With
+    sessions `held` those of their items, and `ts`: the numbers are joined, the texts made of them behind that."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"), F.col("p_type").alias("kind"))
     line = table(spark, sf_dir, "lineitem")
+    if held is not None:
+        line = line.join(held.select(F.col("session_id").alias("l_orderkey"), "ts"), "l_orderkey")
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     cut = (price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,2)")
     return line.join(part, "l_partkey").select(
@@ -111,6 +114,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("$"), F.format_number(price, 2)).alias("original_formatted"),
         F.when(F.col("l_discount") > 0, F.concat(F.lit("$"), F.format_number(cut, 2))).otherwise("").alias("discounted_formatted"),
         F.when(F.col("l_linestatus") == "F", "In stock").otherwise("ships in 3 days").alias("stock_status"),
+        *([] if held is None else ["ts"]),
     )
 
 

@@ -90,3 +90,25 @@ def test_heads_of_all_orders_come_from_one_stored_table(spark, tmp_path):
     want = [(o, r.position, r.ordinal) for o in orders for r in results.page(listed, 1, 6, o).collect()]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert {f.rpartition("/")[0] for f in got.inputFiles()} == {f"file://{tmp_path}/heads"}  # the items themselves are not read again
+
+
+def test_an_item_batch_reads_its_items_once(spark, tmp_path):
+    from shelftrail.operators import catalog
+
+    rows = [(i, f"https://a.example/p-{i % 4}/", None, f"t {i}", "", 1.0, "yes", "Apple > Phones > X", None, None) for i in range(12)]
+    items = spark.createDataFrame(rows, "o long, url string, sku string, title string, description string, price double, stock_status string, category_path string, label string, brand string")
+    stored, plain = catalog.item_batch(items, ["o"], str(tmp_path / "first")), catalog.item_batch(items, ["o"])
+    for name in ("brands", "categories", "models", "products"):
+        got = getattr(stored, name)
+        assert sorted(map(str, got.collect())) == sorted(map(str, getattr(plain, name).select(*got.columns).collect()))
+        assert {f.rpartition("/")[0] for f in got.inputFiles()} == {f"file://{tmp_path}/first"}
+
+
+def test_items_of_sessions_carry_their_time(spark, tmp_path):
+    from shelftrail.plans.tables import items
+
+    for t, df in lines(spark, 40, lambda i: 10 + i).items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    held = spark.range(3).select(F.col("id").alias("session_id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+    got, want = items(spark, str(tmp_path), held), items(spark, str(tmp_path)).join(held, "session_id")
+    assert got.count() == 12 and sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
