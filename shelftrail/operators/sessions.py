@@ -41,8 +41,11 @@ def with_json(sessions: DataFrame) -> DataFrame:
 
 
 def as_json(sessions: DataFrame) -> DataFrame:
-    """The other way: `urls` and `rules` as the JSON texts they are stored as."""
-    return sessions.withColumns({"urls": F.to_json("urls"), "rules": F.to_json("rules")})
+    """The other way: `urls` and `rules` as the JSON texts they are stored as. Texts stay, a null is JSON's; columns that are not
+    there are empty."""
+    kinds = dict(sessions.dtypes)
+    text = lambda c: F.col(c) if kinds[c] == "string" else F.to_json(c)
+    return sessions.withColumns({c: F.coalesce(text(c), F.lit("null")) if c in kinds else F.lit(none) for c, none in (("urls", "[]"), ("rules", "{}"))})
 
 
 def session_report(sessions: DataFrame, items: DataFrame, session_id) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators.compare import with_compare_price
 from ..sources.readers import comparison_sheet
 from ..sources.writers import export_results, export_watchlist, save_session
 from .registry import query
-from .tables import ITEMS_SQL, items, scratch, sessions, table
+from .tables import ITEMS_SQL, items, listed_lines, listings, scratch, sessions, table
 
 
 @query("SELECT o_orderkey AS session_id, CAST(o_orderdate AS VARCHAR) AS ts, epoch_ms(o_orderdate) AS epoch_ms FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 25 OFFSET 50")
@@ -125,13 +125,18 @@ def session_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ITEMS_SQL} SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(sum(original) AS DOUBLE) AS total FROM items JOIN orders ON o_orderkey = session_id GROUP BY 1")
 def session_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = sessions(spark, sf_dir)
-    listed = items(spark, sf_dir, held)
-    path = scratch(spark, "sessions")
-    # stored by year, which keeps the files of these few rows few; the day is a column
-    save_session(held, listed.withColumns({"date": F.to_date("ts"), "ts": F.trunc("ts", "year")}), path)
-    back = spark.read.parquet(f"{path}/items")
-    return back.groupBy(F.col("date").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum(F.col("price").cast("decimal(18,2)")).cast("double").alias("total"))
+    """All sessions but the newest are stored with their items, then the newest is appended; both tables are read back."""
+    listed_at = F.concat(F.lit("https://shop.example/c/"), F.col("o_custkey").cast("string"))
+    held = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("ts"), F.array(listed_at).alias("urls"),
+        F.struct((F.col("o_custkey") % 30).cast("double").alias("percent_off"), F.col("o_orderpriority").alias("category_path")).alias("rules"),
+    )
+    path, newest = scratch(spark, "sessions"), F.lit(held.agg(F.max("session_id")).first()[0])
+    for some in (held.where(F.col("session_id") != newest), held.where(F.col("session_id") == newest)):
+        save_session(some, listed_lines(spark, sf_dir, some), path, lambda lines: listings(lines).withColumnRenamed("price", "price_value"))
+    counted = spark.read.parquet(f"{path}/sessions").where("n_items > 0").select(F.to_date("ts").alias("day"), "n_items", F.lit(None).cast("decimal(18,2)").alias("price"))
+    priced = spark.read.schema("price_value double, day date").parquet(f"{path}/items").select("day", F.lit(0).cast("long").alias("n_items"), F.col("price_value").cast("decimal(18,2)").alias("price"))
+    return counted.unionByName(priced).groupBy(F.col("day").cast("string").alias("day")).agg(F.sum("n_items").alias("n"), F.sum("price").cast("double").alias("total"))
 
 
 ENRICHED = f"""{ITEMS_SQL}, money AS (

@@ -100,13 +100,22 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
     """Line items as listings: the part's name is the title, the return flag the site, formatted prices beside numbers. With
     sessions `held` those of their items, and `ts`: the numbers are joined, the texts made of them behind that."""
+    return listings(listed_lines(spark, sf_dir, held))
+
+
+def listed_lines(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> DataFrame:
+    """What `listings` makes its columns of: numbers, flags, and the part's name and type."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"), F.col("p_type").alias("kind"))
     line = table(spark, sf_dir, "lineitem")
     if held is not None:
         line = line.join(held.select(F.col("session_id").alias("l_orderkey"), "ts"), "l_orderkey")
+    return line.join(part, "l_partkey")
+
+
+def listings(lines: DataFrame) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     cut = (price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,2)")
-    return line.join(part, "l_partkey").select(
+    return lines.select(
         F.col("l_orderkey").alias("session_id"), (((F.col("l_orderkey") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")).alias("ordinal"),
         F.col("l_linenumber").alias("page"), "title", "kind", F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("seen_at"),
         F.concat(F.lit("site"), F.lower("l_returnflag"), F.lit(".example")).alias("site"),
@@ -114,7 +123,7 @@ def items(spark: SparkSession, sf_dir: str, held: DataFrame | None = None) -> Da
         F.concat(F.lit("$"), F.format_number(price, 2)).alias("original_formatted"),
         F.when(F.col("l_discount") > 0, F.concat(F.lit("$"), F.format_number(cut, 2))).otherwise("").alias("discounted_formatted"),
         F.when(F.col("l_linestatus") == "F", "In stock").otherwise("ships in 3 days").alias("stock_status"),
-        *([] if held is None else ["ts"]),
+        *(["ts"] if "ts" in lines.columns else []),
     )
 
 
